@@ -7,13 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_search, near_vectors
+from . import graph_search, near_vectors, packing, quality, tokens, toxicity, warc
+from .common import fold_of, shared_folder
+
+#: Sequence length of the packing query.
+SEQUENCE = 2048
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def byte_tokenizer() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    warc.write_warc(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder, payloads=False).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _labels(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
+    return _table(spark, sf_dir, "labels").filter(fold_of("doc_id", folds) != held)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.toxicity_model(docs, _labels(spark, sf_dir, 5, 0))
+    return toxicity.score_documents(docs, model).select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.quality_model(docs, _labels(spark, sf_dir, 4, 2))
+    return quality.score_documents(docs, model).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digests(_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), byte_tokenizer(), SEQUENCE, with_ids=False)
+    return packing.pack(pieces, SEQUENCE)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -23,7 +70,7 @@ def op9_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_embedding_near_dedup, op9_approximate_neighbours)}
+    return {f.__name__: f for f in (op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality)}
 
 
 #: Links, then everything reachable by them. Approximate and learned results have no SQL.
@@ -44,5 +91,13 @@ from embeddings e left join least l on l.a = e.vec_id left join counts c on c.a
 """
 
 
+OP4_SQL = """
+with p as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, '')))::bigint n, sha1(coalesce(html, '')) d from pages),
+g as (select d, n, max(page_id) m from p where n >= 1000 group by d, n)
+select page_id, p.n payload_bytes, p.d payload_digest, case when m > page_id then 'revisit' else 'response' end record_type, case when m > page_id then m end refers_to
+from p left join g on g.d = p.d and g.n = p.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_near_dedup": OP8_SQL}
+    return {"op4_warc_round_trip": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL}
