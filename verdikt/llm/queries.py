@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_search, near_vectors, packing, quality, tokens, toxicity, warc
+from . import graph_search, near_vectors, ngram_join, packing, quality, tokens, toxicity, warc
 from .common import fold_of, shared_folder
 
 #: Sequence length of the packing query.
@@ -30,6 +30,10 @@ def byte_tokenizer() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     warc.write_warc(_table(spark, sf_dir, "pages"), folder)
@@ -70,7 +74,7 @@ def op9_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality)}
 
 
 #: Links, then everything reachable by them. Approximate and learned results have no SQL.
@@ -91,6 +95,22 @@ from embeddings e left join least l on l.a = e.vec_id left join counts c on c.a
 """
 
 
+OP3_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') t from documents
+), s as (
+  select doc_id, list_distinct(case when len(t) = 0 then [] when len(t) < 3 then [array_to_string(t, ' ')]
+    else list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) end) g from w
+), e as (select doc_id, unnest(g) g from s),
+sizes as (select doc_id, len(g)::bigint n from s),
+common as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)
+), both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+least as (select a, min(b) b from reach group by a)
+select doc_id, n n_shingles, least(doc_id, coalesce(b, doc_id)) component_id from sizes left join least on a = doc_id
+"""
 OP4_SQL = """
 with p as (select page_id, coalesce(html, '') h, octet_length(encode(coalesce(html, '')))::bigint n, sha1(coalesce(html, '')) d from pages),
 g as (select d, n, max(page_id) m from p where n >= 1000 group by d, n)
@@ -100,4 +120,4 @@ from p left join g on g.d = p.d and g.n = p.n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_round_trip": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL}
