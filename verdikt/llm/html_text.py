@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Pages of the table that training may look at, and made-up pages.
 SAMPLE_PAGES, MADE_PAGES = 300, 900
 #: Rows of each hashed embedding table, their width, width of the LSTM, training passes.
-ROWS, WIDTH, HIDDEN, PASSES, RATE = 4096, 12, 16, 4, 0.01
+ROWS, WIDTH, HIDDEN, PASSES, RATE = 4096, 12, 16, 6, 0.01
 TABLE_WORDS, BATCH_PAGES = 300_000, 128
 
 # Fixed values of HTML: elements that start a block, that are empty, whose content isn't text, that end an open p.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_search, html_text, near_vectors, ngram_join, packing, quality, tokens, toxicity, warc
+from . import graph_search, html_text, lm, near_vectors, ngram_join, packing, quality, tokens, toxicity, warc
 from .common import fold_of, shared_folder
 
 #: Sequence length of the packing query.
@@ -35,6 +35,13 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages, html_text.labeller(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trained = lm.train(docs.filter(fold_of("doc_id", 7) != 2))
+    scores = lm.score_texts(docs, trained)
+    return scores.select("doc_id", (fold_of("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -79,7 +86,7 @@ def op9_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op3_ngram_jaccard_join, op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_lm_scoring, op3_ngram_jaccard_join, op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality)}
 
 
 #: Links, then everything reachable by them. Approximate and learned results have no SQL.
