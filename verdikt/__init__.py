@@ -1,0 +1 @@
+"""Spark jobs for model-evaluation data: DataFrame in, DataFrame out."""
