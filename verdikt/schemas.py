@@ -1,28 +1,38 @@
-"""Explicit schemas of the tables that jobs exchange. Nothing is inferred."""
+"""Explicit schemas of the tables that jobs exchange. Nothing is inferred, and no session is needed to import them."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-METADATA = T.StructType.fromDDL(
-    "item_id string, question string, choices array<string>, transcript string, modality string, category string, "
-    "sub_category string, original_item_id string, variant_idx int, permutation array<int>, original_choices array<string>, "
-    "votes array<string>, choice_scores map<string,double>, cycle_spans array<array<double>>"
+STRING, INT, LONG, DOUBLE, BOOL = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+STRINGS = T.ArrayType(STRING)
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+METADATA = struct(
+    item_id=STRING,
+    question=STRING,
+    choices=STRINGS,
+    transcript=STRING,
+    modality=STRING,
+    category=STRING,
+    sub_category=STRING,
+    original_item_id=STRING,
+    variant_idx=INT,
+    permutation=T.ArrayType(INT),
+    original_choices=STRINGS,
+    votes=STRINGS,
+    choice_scores=T.MapType(STRING, DOUBLE),
+    cycle_spans=T.ArrayType(T.ArrayType(DOUBLE)),
 )
-EVALUATION = T.StructType.fromDDL("reasoning string, acoustic_accuracy int, diagnostic_accuracy int, hallucination_penalty int, extracted_class string, extracted_choice string")
+EVALUATION = struct(reasoning=STRING, acoustic_accuracy=INT, diagnostic_accuracy=INT, hallucination_penalty=INT, extracted_class=STRING, extracted_choice=STRING)
 #: One answer line. ``instruction`` is a string: the JSON reader keeps the raw text of both its string and its list form.
-RESPONSE = (
-    T.StructType()
-    .add("sample_id", "string")
-    .add("instruction", "string")
-    .add("generated_text", "string")
-    .add("final_turn_text", "string")
-    .add("ground_truth", "string")
-    .add("metadata", METADATA)
-    .add("evaluation", EVALUATION)
-)
-OUTCOMES = T.StructType.fromDDL("model string, experiment string, run_idx int, item_id string, correct boolean, category string")
-MAJORITY = T.StructType.fromDDL("model string, experiment string, item_id string, correct boolean, n_runs long, category string")
-SPLIT = T.StructType.fromDDL("item_id string, subset string")
-NEIGHBORS = T.StructType.fromDDL("item_id string, rank int, neighbor_id string, score double")
-PAIRS = T.StructType.fromDDL("left_id string, right_id string, corr double")
+RESPONSE = struct(sample_id=STRING, instruction=STRING, generated_text=STRING, final_turn_text=STRING, ground_truth=STRING, metadata=METADATA, evaluation=EVALUATION)
+OUTCOMES = struct(model=STRING, experiment=STRING, run_idx=INT, item_id=STRING, correct=BOOL, category=STRING)
+MAJORITY = struct(model=STRING, experiment=STRING, item_id=STRING, correct=BOOL, n_runs=LONG, category=STRING)
+SPLIT = struct(item_id=STRING, subset=STRING)
+NEIGHBORS = struct(item_id=STRING, rank=INT, neighbor_id=STRING, score=DOUBLE)
+PAIRS = struct(left_id=STRING, right_id=STRING, corr=DOUBLE)
