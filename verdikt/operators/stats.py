@@ -139,7 +139,12 @@ def label_shuffle(rows: DataFrame, by: list[str], truth: str, predicted: str, st
             left = np.tile(np.array([sum(c["n"] for c in own if c["t"] == t) for t in truths]), (DRAWS, 1))
             for p in sorted({c["p"] for c in own}):
                 n = sum(c["n"] for c in own if c["p"] == p)
-                got = np.array([r.multivariate_hypergeometric(row, n, method="marginals") for row in left])
+                got, draw, rest = np.zeros_like(left), np.full(DRAWS, n), left.sum(axis=1)
+                for t in range(len(truths)):  # one label after the other, all draws at once
+                    rest = rest - left[:, t]
+                    some = draw > 0
+                    got[some, t] = r.hypergeometric(left[some, t], rest[some], draw[some])
+                    draw = draw - got[:, t]
                 if p in truths:
                     hits[:, truths.index(p)] += got[:, truths.index(p)]
                 left = left - got
