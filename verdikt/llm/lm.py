@@ -156,7 +156,8 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
                 if len(seen) > COUNTER_WORDS:
                     yield give()
                     seen.clear()
-        yield give()
+        if seen:
+            yield give()
 
     return texts.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
