@@ -137,11 +137,10 @@ def p18_chunk_bounds(s, d):
     return docs.select("doc_id", F.size("c").cast("long").alias("chunks"), F.get("c", F.lit(0))["end"].alias("first_end"), F.size("w").cast("long").alias("windows"), F.element_at("w", -1)["end"].alias("last_end"))
 
 
-@query("select event_type, case when user_id % 10 = 0 then 'middle' when event_id % 100 < 33 + 1e-9 then 'early' when event_id % 100 < 66 + 1e-9 then 'middle' else 'late' end third, count(*) n from events where event_id % 100 not in (33, 66) group by 1, 2")
+@query("select event_type, case when user_id % 10 = 0 then 'middle' when event_id % 96 < 32 then 'early' when event_id % 96 < 64 then 'middle' else 'late' end third, count(*) n from events group by 1, 2")
 def p19_position_in_cycle(s, d):
-    e = table(s, d, "events").filter("event_id % 100 not in (33, 66)")
-    end = F.when(F.col("user_id") % 10 == 0, 5.0).otherwise(105.0)
-    return e.groupBy("event_type", X.position_in_cycle((F.col("event_id") % 100).cast("double") + 5, F.lit(5.0), end).alias("third")).agg(F.count("*").alias("n"))
+    end = F.when(F.col("user_id") % 10 == 0, 5.0).otherwise(101.0)
+    return table(s, d, "events").groupBy("event_type", X.position_in_cycle((F.col("event_id") % 96).cast("double") + 5, F.lit(5.0), end).alias("third")).agg(F.count("*").alias("n"))
 
 
 @query("""with r as (select conv_id, count(*) filter (role = 'user') clips, coalesce(sum(turn + 1.5) filter (role = 'user'), 0)::double audio_s, coalesce(sum(length(text)), 0)::bigint chars from conversations group by 1)
@@ -542,28 +541,27 @@ def t3_peak_clusters(s, d):
 
 
 def signals(s, d) -> DataFrame:
-    """The first 48 values of each user as a short signal, some of them cut from another user's."""
-    rows = samples(s, d).filter("idx < 48 and item_id < 40").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda v: v["x"]).alias("samples"))
-    cut = rows.filter("item_id % 4 = 0").select((F.col("item_id") + 1000).alias("item_id"), F.slice("samples", 6, 40).alias("samples"))
+    """Each user's values as a signal, and for every fourth user a second one that is cut from it."""
+    rows = samples(s, d).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda v: v["x"]).alias("samples"))
+    cut = rows.filter("item_id % 4 = 0").select((F.col("item_id") + 1000000).alias("item_id"), F.slice("samples", 6, 1000000).alias("samples"))
     return rows.union(cut)
 
 
-SIGNALS = f"(select item_id, idx, x from {SAMPLES} where idx < 48 and item_id < 40 union all select item_id + 1000, idx - 5, x from {SAMPLES} where idx between 5 and 44 and item_id < 40 and item_id % 4 = 0)"
+SIGNALS = f"(select item_id, idx, x from {SAMPLES} union all select item_id + 1000000, idx - 5, x from {SAMPLES} where idx >= 5 and item_id % 4 = 0)"
 
 
-@query(f"""with s as materialized {SIGNALS}, n as (select item_id, count(*) n from s group by 1), l as (select unnest(range(-48, 49)) lag),
-c as (select a.item_id l, b.item_id r, lag, corr(a.x, b.x) c, count(*) k from l cross join s a join s b on b.idx = a.idx - lag and a.item_id < b.item_id group by 1, 2, 3 having count(*) >= 24)
+@query(f"""with s as materialized {SIGNALS}, c as (select a.item_id l, b.item_id r, a.idx - b.idx lag, corr(a.x, b.x) c from s a join s b on a.item_id < b.item_id group by 1, 2, 3 having count(*) >= 24)
 select left_id, right_id, round(max(c), 5) corr from (select l left_id, r right_id, c from c union all select r, l, c from c) group by 1, 2 having max(c) >= 0.8""")
 def j12_near_duplicates(s, d):
     return rounded(U.near_duplicates(signals(s, d), 24, 0.8), "corr", digits=5)
 
 
 def clips(s, d) -> DataFrame:
-    """A 4 kHz clip per order customer: a slow swell whose pace and tone follow the id."""
+    """A 4 kHz clip per supplier: a slow swell whose pace and tone follow the key."""
     i, n = F.col("item_id"), 4000 * 6
     t = lambda k: k / F.lit(4000.0)
     wave = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.sin(t(k) * (F.lit(2000.0) + i % 7 * 300)) * (F.lit(0.2) + F.abs(F.sin(t(k) * (F.lit(1.1) + i % 3 * 0.2)))))
-    return table(s, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.lit(4000).alias("sample_rate"), wave.alias("samples"))
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("item_id"), F.lit(4000).alias("sample_rate"), wave.alias("samples"))
 
 
 @query()
