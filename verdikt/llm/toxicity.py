@@ -9,6 +9,7 @@ which sentences carry the label, and the same weights then locate offending sent
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,28 +61,27 @@ class WordWeights(dict):
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the noisy-or likelihood of the documents' labels, by adaptive gradient steps."""
-    cols, owner, counts = [], [], []
+    cols, owner, counts = array("i"), array("i"), array("i")
     n_sentences = 0
-    table: dict[str, list[int]] = {}
+    table: dict[str, array] = {}
     for d, text in enumerate(texts):
         for s in sentences(text):
-            ids: list[int] = []
+            before = len(cols)
             for piece in set(s.split()):
                 known = table.get(piece)
                 if known is None:
-                    known = table[piece] = word_features(piece)
-                ids += known
-            if ids:
-                counts.append(len(ids))
-                cols.append(np.array(ids, dtype=np.int32))
+                    known = table[piece] = array("i", word_features(piece))
+                cols.extend(known)
+            if len(cols) > before:
+                counts.append(len(cols) - before)
                 owner.append(d)
                 n_sentences += 1
     weights, bias = np.zeros(SPACE), -4.0
     if not n_sentences:
         return weights, bias
-    counts = np.array(counts)
+    cols, owner, counts = (np.frombuffer(x, dtype=np.int32) for x in (cols, owner, counts))
+    counts = counts.astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)])
-    cols, owner = np.concatenate(cols), np.array(owner)
     by_doc = np.searchsorted(owner, np.arange(len(texts) + 1))  # a document's sentences stand together
     squares, square_b = np.full(SPACE, 1e-6), 1e-6
     rng = np.random.default_rng(seed)
