@@ -123,8 +123,8 @@ class Model(NamedTuple):
     tables: Tables
 
 
-def word_lists(texts: pd.Series) -> list[list[bytes]]:
-    return [(t or "").encode().lower().split() for t in texts]
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
 
 class Lookup(dict):
@@ -151,8 +151,8 @@ def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
         seen: Counter[bytes] = Counter()
         give = lambda: pd.DataFrame({"word": [w.decode() for w in seen], "c": list(seen.values())})
         for pdf in batches:
-            for words in word_lists(pdf["text"]):
-                seen.update(words)
+            for text in pdf["text"]:
+                seen.update(words_of(text))
                 if len(seen) > COUNTER_WORDS:
                     yield give()
                     seen.clear()
@@ -190,8 +190,8 @@ def train(texts: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, d
         lookup, own = Lookup(head_words), _classes_of_rows(head_words)
         dense = np.zeros((CLASSES + 1) ** 2 * CLASSES, dtype=np.int32)
         for pdf in batches:
-            for texts_words in word_lists(pdf["text"]):
-                c = own[np.fromiter(map(lookup.__getitem__, texts_words), dtype=np.int64, count=len(texts_words))]
+            for words_here in map(words_of, pdf["text"]):
+                c = own[np.fromiter(map(lookup.__getitem__, words_here), dtype=np.int64, count=len(words_here))]
                 c = np.concatenate([[START, START], c, [0]])
                 np.add.at(dense, (c[:-2] * (CLASSES + 1) + c[1:-1]) * CLASSES + c[2:], 1)
         at = np.flatnonzero(dense)
@@ -243,9 +243,9 @@ def score_texts(docs: DataFrame, trained: tuple[Model, DataFrame, dict[str, int]
         logs = np.concatenate([m.log_counts, np.zeros(CLASSES), [m.end_log_count]])
         tail_logs = np.where(classes >= HEAD, logs, 0.0)
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                lists = word_lists(part["text"])
+            for at in range(0, len(pdf), 100):
+                part = pdf.iloc[at : at + 100]
+                lists = [words_of(t) for t in part["text"]]
                 sizes = np.array([len(w) + 1 for w in lists])
                 flat = [w for ws in lists for w in (*ws, None)]
                 last = np.cumsum(sizes) - 1
