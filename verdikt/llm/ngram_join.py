@@ -1,11 +1,12 @@
 """Exact Jaccard self-join on word n-grams with token-combination prefixes.
 
 A document is the set of its hashed n-grams ("tokens"). All tokens are counted in a sketch of fixed size, which gives
-a global order (tokens of fuller counters later) and the class of each token: rare, or one of ``CLASSES`` frequent
-classes. With at least ``o`` tokens in common, at most ``d = size - o`` of a set's tokens are missing in the other, so
-the prefix is extended until no ``d`` missing tokens can spoil all its signatures: a rare token is a signature of its
-own, tokens of one frequent class make signatures in pairs, and the first of each frequent class counts for nothing.
-Small sets, which may run out of tokens before that, use single tokens only; sets near that size emit both kinds.
+a global order (tokens of fuller counters later) and says whether a token is rare or frequent. With at least ``o``
+tokens in common, at most ``d = size - o`` of a set's tokens are missing in the other, so the prefix is extended until
+no ``d`` missing tokens can spoil all its signatures: a rare token is a signature of its own, frequent tokens are
+dealt to classes by their hash and make signatures in pairs inside a class, where the first of each class counts for
+nothing. The number of classes follows the set's size in bands that double; a set near a band's edge emits the
+signatures of both bands, so any two sets that can link have a band in common. Small sets use single tokens only.
 
 Equal sets collapse to one. Signatures held by more than one set give candidates: first each set with the least of
 its bucket, then, only in buckets whose sets are not yet all connected, the pairs that connectivity leaves open.
@@ -20,18 +21,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored
 
-#: Counters of the sketch (a power of two), frequent classes, and rounds that compare with one set of a bucket only.
-COUNTERS, CLASSES, PIVOT_ROUNDS = 1 << 18, 32, 2
-#: A counter is frequent from this level on; a level more is twice the excess over what chance fills in.
-FREQUENT_LEVEL, LEVELS = 4, 15
+#: Counters of the sketch (a power of two), the fullest that are still rare, and rounds that compare with one set of a bucket only.
+COUNTERS, RARE_COUNT, PIVOT_ROUNDS = 1 << 18, 8, 2
+#: Levels of the order beyond rare: each is twice the excess over what chance fills in.
+LEVELS = 15
+#: Size of the smallest set that uses pairs.
+SMALL = 32
 TABLE_WORDS = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SALTS = (0x51ED270B_7F4A7C15, 0x2545F491_4F6CDD1D)
+SALT = 0x2545F4914F6CDD1D
 
 
 class _Words(dict):
@@ -61,37 +64,49 @@ def shingle_set(text: str | None, n: int, table: dict[bytes, bytes]) -> np.ndarr
 
 
 def counter_levels(counts: np.ndarray) -> np.ndarray:
-    """Level of each counter: 0 where chance explains its count, then one more for each doubling of the excess."""
+    """Level of each counter: 0 for rare, 1 where chance explains its count, then one more for each doubling of the excess."""
     mean = counts.mean() if len(counts) else 0.0
     excess = (counts - mean) / (2.0 * np.sqrt(mean) + 16.0)
-    return np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 1, 0, LEVELS).astype(np.uint64)
+    level = np.clip(np.floor(np.log2(np.maximum(excess, 0.5))) + 2, 1, LEVELS)
+    return np.where(counts <= RARE_COUNT, 0, level).astype(np.uint64)
+
+
+def band_of(size: int) -> int:
+    """-1 for small sets, then 0, 1, ... for sizes from SMALL, twice SMALL, ..."""
+    return (size // SMALL).bit_length() - 1
 
 
 def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of one set, so that any two sets with ``100 * common >= percent * union`` share one at least."""
     size = len(tokens)
-    missing = size - -(-percent * size // 100)
+    least = -(-percent * size // 100)
+    missing = size - least
     level = levels[(tokens >> np.uint64(46)).astype(np.int64)]
     order = np.argsort((level << np.uint64(60)) | (tokens >> np.uint64(4)), kind="stable")
-    small = -(-(CLASSES + 1) * 100 // percent)  # from this size on a prefix always suffices
+    ordered, n_rare = tokens[order], size - int(np.count_nonzero(level))
     out = []
-    if size * percent <= small * 100:
-        out.append(_mixed(tokens[order[: missing + 1]] ^ np.uint64(SALTS[0])))
-    if size > small:
-        frequent = level[order] >= FREQUENT_LEVEL
-        rare = tokens[order[: size - int(frequent.sum())]]
-        out.append(_mixed(rare[: missing + 1] ^ np.uint64(SALTS[1])))
-        if len(rare) <= missing:
-            rest = tokens[order[len(rare) :]]
-            kind = (rest % np.uint64(CLASSES)).astype(np.int64)
-            first = np.zeros(len(rest), dtype=bool)
-            first[np.unique(kind, return_index=True)[1]] = True
-            end = int(np.searchsorted(np.cumsum(~first), missing + 1 - len(rare))) + 1
-            rest, kind = rest[:end], kind[:end]
-            for k in np.unique(kind):
-                own = np.sort(rest[kind == k])
-                a, b = np.triu_indices(len(own), 1)
-                out.append(_mixed(_mixed(own[a]) * MIX + own[b]))
+    for band in range(band_of(least), band_of(size) + 1):  # the smaller of two linked sets is in one of these
+        salt = np.uint64((SALT * (2 * band + 5)) & 0xFFFFFFFFFFFFFFFF)
+        if band < 0:
+            out.append(_mixed(ordered[: missing + 1] ^ salt))
+            continue
+        out.append(_mixed(ordered[: min(n_rare, missing + 1)] ^ salt))
+        if n_rare > missing:
+            continue
+        low = SMALL << band
+        classes = max(1, min(375 * (100 - percent) * low // 10_000, percent * low // 100 - 2))
+        rest = ordered[n_rare:]
+        kind = (rest % np.uint64(classes)).astype(np.int64)
+        first = np.zeros(len(rest), dtype=bool)
+        first[np.unique(kind, return_index=True)[1]] = True
+        end = int(np.searchsorted(np.cumsum(~first), missing + 1 - n_rare)) + 1
+        rest, kind = rest[:end], kind[:end]
+        by = np.lexsort((rest, kind))
+        rest, kind = rest[by], kind[by]
+        step = 1
+        while step < len(rest) and (same := kind[step:] == kind[:-step]).any():
+            out.append(_mixed(_mixed(rest[:-step][same] ^ salt) * MIX + rest[step:][same]))
+            step += 1
     return np.unique(np.concatenate(out))
 
 
@@ -135,23 +150,28 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     sets = stored(base.filter("size > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("size").alias("size")))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Signatures with a short handle of their set. Sets whose handles collide are told apart by verification."""
         table, levels = _Words(), sent.value
         for pdf in batches:
-            sigs, keys = [], []
+            sigs, handles, n_rows = [], [], 0
             for text in pdf["text"]:
                 s = shingle_set(text, n, table)
                 if len(s):
                     sigs.append(signatures(s, levels, percent))
-                    keys += [xxhash.xxh3_128_digest(s.tobytes())] * len(sigs[-1])
-                if len(keys) > 100_000:
-                    yield pd.DataFrame({"sig": _long(np.concatenate(sigs)), "key": keys})
-                    sigs, keys = [], []
-            if keys:
-                yield pd.DataFrame({"sig": _long(np.concatenate(sigs)), "key": keys})
-
-    signed = stored(docs.select("text").mapInPandas(sign, "sig long, key binary"))
-    shared = signed.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("sig")
-    buckets = stored(signed.join(shared, "sig").distinct().join(sets, "key").select("sig", "id", "size"))
+                    handles.append(np.full(len(sigs[-1]), int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[8:], "big", signed=True)))
+                    n_rows += len(sigs[-1])
+                if n_rows > 100_000:
+                    yield pd.DataFrame({"sig": _long(np.concatenate(sigs)), "handle": np.concatenate(handles)})
+                    sigs, handles, n_rows = [], [], 0
+            if sigs:
+                yield pd.DataFrame({"sig": _long(np.concatenate(sigs)), "handle": np.concatenate(handles)})
+
+    signed = docs.select("text").mapInPandas(sign, "sig long, handle long")
+    # One shuffle of two numbers a row; all but the shared signatures end here and are never written.
+    of_sig = Window.partitionBy("sig")
+    shared = signed.withColumn("low", F.min("handle").over(of_sig)).withColumn("high", F.max("handle").over(of_sig)).filter("low <> high").select("sig", "handle").distinct()
+    named = sets.select(F.conv(F.hex(F.substring("key", 9, 8)), 16, -10).cast("long").alias("handle"), "id", "size")
+    buckets = stored(shared.join(named, "handle").select("sig", "id", "size"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _Words()
@@ -159,13 +179,12 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
             rows = [_long(shingle_set(t, n, table)) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "tokens": rows, "size": [len(r) for r in rows]})
 
-    wanted = docs.join(buckets.select("id").distinct(), "id", "left_semi")
-    tokens = stored(wanted.mapInPandas(whole, "id long, tokens array<long>, size long"))
-    # Of rows that repeat an id, the one that stands for it.
-    tokens = tokens.join(sets.select("id", "size"), ["id", "size"], "left_semi").dropDuplicates(["id"])
-
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a < b) of sets that link."""
+        """Pairs (a < b) of sets that link. Only sets in some pair are made again from their texts."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        again = docs.join(wanted, "id", "left_semi").mapInPandas(whole, "id long, tokens array<long>, size long")
+        # Of rows that repeat an id, the one that stands for it.
+        tokens = stored(again).join(sets.select("id", "size"), ["id", "size"], "left_semi").dropDuplicates(["id"])
         left = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         joined = left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
