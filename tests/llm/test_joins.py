@@ -223,3 +223,14 @@ def test_salvage_logs_gaps():
     got = list(W.salvage(data))
     assert [r["page_id"] for r in got if not r.get("gap")] == [0, 2, 4, 5] and sum(r["stop"] - r["start"] for r in got if r.get("gap")) == len(hurt) + len(packed[3]) // 2 + 3
     assert zlib.decompress(packed[0], 31) == plain[0] and packed[0][-1] == 0
+
+
+def test_warc_headers_of_any_length(spark, tmp_path):
+    pages = [(1, "data:," + "u" * 100_000, "x" * 1500), (2, "é" * 100_000, "x" * 1500), (3, "u" * 65_000, "short"), (4, "u4", "short")]
+    W.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: r for r in W.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert {k: (r.gap, r.uri, r.payload_bytes, r.refers_to) for k, r in got.items()} == {k: (None, u, len(h), 2 if k == 1 else None) for k, u, h in pages}
+    plain = [W.record(k, u, h.encode(), hashlib.sha1(h.encode()).hexdigest(), None) for k, u, h in pages]
+    assert [(r.get("page_id"), r.get("uri")) for r in W.salvage(b"".join(plain))] == [(k, u) for k, u, _ in pages]
+    hurt = list(W.salvage(plain[0][:-30] + b"!" + plain[0][-29:] + plain[1] + plain[2]))
+    assert [r.get("page_id") for r in hurt] == [None, 2, 3] and hurt[0]["stop"] == len(plain[0])

@@ -101,19 +101,21 @@ def _inflate(data: bytes, at: int) -> tuple[bytes | None, int]:
 
 def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """The record at ``at`` of uncompressed bytes, where it ends, and what failed."""
-    end = data.find(b"\r\n\r\n", at, at + 65536)
-    if not data.startswith(VERSION, at) or end < 0:
-        return None, at, "no header"
     head: dict[str, str] = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        key, colon, value = line.partition(b":")
-        if not colon:
-            return None, at, "bad header line"
-        head[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+    line, end = at, data.find(b"\r\n", at) if data.startswith(VERSION, at) else -1
+    while end > line:  # an empty line ends the header, however long it is
+        if line > at:
+            key, colon, value = data[line:end].partition(b":")
+            if not colon:
+                return None, at, "bad header line"
+            head[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        line, end = end + 2, data.find(b"\r\n", end + 2)
+    if end < 0:
+        return None, at, "no header"
     size = head.get("content-length", "")
     if not size.isdigit():
         return None, at, "no length"
-    begin, stop = end + 4, end + 4 + int(size)
+    begin, stop = end + 2, end + 2 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         return None, at, "length does not fit"
     block = data[begin:stop]
