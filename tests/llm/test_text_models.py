@@ -53,6 +53,14 @@ def test_quality_learns_shapes(spark):
     assert np.mean([(got[k] >= 0.5) != y[300 + k] for k in range(100)]) > 0.95
 
 
+def test_quality_sees_whole_pieces():
+    assert Y.shape("日本" * 100 + "!!ABc" + "1" * 70) == "a!Aa0"
+    x = ["日本語" * (30 + k) + ("★A1" if k % 2 else "") for k in range(200)]
+    rows, y = [Y.indicators(t, Y.WordHashes()) for t in x], np.arange(200) % 2
+    model = Y.train(rows[:100], y[:100])
+    assert np.array_equal(Y._margins(rows[100:], model.weights, model.squares, model.bias) > 0, y[100:] == 1)
+
+
 @pytest.mark.parametrize("module", [T, Y])
 def test_scores_of_odd_rows(spark, module):
     df = spark.createDataFrame([(*r, "keep", 0.5) for r in ODD], SCHEMA + ", source string, score double")

@@ -32,7 +32,7 @@ UPPER, LOWER, DIGIT, RUNS = regex.compile(r"\p{Lu}"), regex.compile(r"[\p{L}--\p
 
 def shape(word: str) -> str:
     """A word's letters as A or a and digits as 0, runs shortened to one; other characters as they are."""
-    return RUNS.sub(r"\1", DIGIT.sub("0", LOWER.sub("a", UPPER.sub("A", word[:64]))))
+    return RUNS.sub(r"\1", DIGIT.sub("0", LOWER.sub("a", UPPER.sub("A", word))))
 
 
 class WordHashes(dict):
