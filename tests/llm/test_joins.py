@@ -156,6 +156,21 @@ def test_graph_search_recall_ties_and_odd_rows(spark, monkeypatch):
     assert few.count() == 6 and A.graph_neighbours(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_graph_search_of_mixed_lengths(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHARD_ROWS", 40)
+    r = np.random.default_rng(4)
+    rows = [(k, r.standard_normal([8, 5, 5, 1][k % 4] if k < 160 else 8).tolist()) for k in range(200)] + [(300, [1.0, 2.0]), (301, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+
+    got = sorted((g.query_id, g["rank"], g.vec_id, round(g.score, 9)) for g in A.graph_neighbours(df, F.col("vec_id") % 3 == 0, k=10).collect())
+    want = []
+    for q, v in rows[:200:3]:
+        near = sorted((-float(np.dot(v, w)), i) for i, w in rows[:200] if i != q and len(w) == len(v))[:10]
+        want += [(q, k + 1, i, round(-s, 9)) for k, (s, i) in enumerate(near)]
+    assert got == sorted(want)
+
+
 def test_packing_is_complete_gapless_and_tight(spark):
     r = random.Random(5)
     rows = [(k, r.choice([1, 7, 64, 64, 64, 33, r.randint(1, 64)])) for k in range(4000)]

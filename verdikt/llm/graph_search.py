@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product over robust-pruned directed graphs, one for each shard.
 
-Rows are dealt to shards of bounded size by a hash of their id. In a shard, points are added in growing batches: a
-greedy beam search over the graph so far proposes neighbours, relaxed distance pruning keeps a diverse few, and
-reverse edges are pruned the same way. Queries go to every shard in blocks, beam search finds candidates there, and a
-window merges the shards' nearest. Largest inner product is turned into smallest distance by one more coordinate.
+Rows are dealt to shards of bounded size by their vector's length and a hash of their id. In a shard, points are added
+in growing batches: a greedy beam search over the graph so far proposes neighbours, relaxed distance pruning keeps a
+diverse few, and reverse edges are pruned the same way. Queries go to every shard of their length in blocks, beam
+search finds candidates there, and a window merges the shards' nearest. Largest inner product is turned into smallest
+distance by one more coordinate.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
     return graph, start
 
 
-def _built(largest: float, keep: int):
+def _built(keep: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         """The shard's graph over distinct vectors. Of equal vectors the ``keep`` smallest ids stay: no more can be in a result."""
         pdf = pdf.sort_values("id", kind="stable")
@@ -136,10 +137,10 @@ def _built(largest: float, keep: int):
         by = np.argsort(inverse.ravel(), kind="stable")
         bounds = np.searchsorted(inverse.ravel()[by], np.arange(len(distinct) + 1))
         owners = [ids[by[bounds[k] : min(bounds[k + 1], bounds[k] + keep)]] for k in range(len(distinct))]
-        lift = np.sqrt(np.maximum(largest - (distinct * distinct).sum(axis=1), 0.0))
+        lift = np.sqrt(np.maximum(pdf["largest"].iloc[0] - (distinct * distinct).sum(axis=1), 0.0))
         points = np.concatenate([distinct, lift[:, None]], axis=1).astype(np.float32)
         graph, start = build_graph(points)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "index": [pickle.dumps((distinct, points, graph, start, owners), protocol=5)]})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in ("size", "shard", "blocks")}, "index": [pickle.dumps((distinct, points, graph, start, owners), protocol=5)]})
 
     return build
 
@@ -175,25 +176,23 @@ def graph_neighbours(df: DataFrame, query_filter: Column, id_col: str = "vec_id"
     """The ``k`` nearest rows found, by largest inner product in double precision, for each row that ``query_filter`` picks.
 
     Returns ``query_id, rank, vec_id, score``, rank 1 the nearest, ties to the smaller id; the query's own row is never
-    its candidate. All candidates come if there are fewer than ``k``. Vectors that are null, empty, zero or hold null
-    or non-finite components take no part, nor do vectors whose length is not the most common one, nor rows without an
-    id; rows that repeat an id count once (the smallest vector). Every row is indexed. An empty table gives no rows.
+    its candidate. Vectors are compared with those of their own length. All candidates come if there are fewer than
+    ``k``. Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
+    an id; rows that repeat an id count once (the smallest vector). Every row is indexed. An empty table gives no rows.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), query_filter.alias("asks")).filter("id is not null")
     base = base.filter(usable()).groupBy("id").agg(F.min("vec").alias("vec"), F.bool_or("asks").alias("asks"))
-    base = stored(base)
-    lengths = base.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("largest"))
-    common = lengths.orderBy(F.desc("n"), "size").first()
-    schema = "query_id long, vec_id long, score double"
-    if common is None:
-        merged = df.sparkSession.createDataFrame([], schema)
-    else:
-        shards, blocks = max(1, round(common["n"] / SHARD_ROWS)), max(1, round(common["q"] / QUERY_ROWS))
-        rows = base.filter(F.size("vec") == common["size"])
-        index = stored(rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_built(common["largest"], k + 1), "shard int, index binary"))
-        left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        asked = rows.filter("asks").select("id", "vec", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
-        right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        merged = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_searched(k), schema)
+    base = stored(base.withColumn("size", F.size("vec")))
+    parts = lambda n, rows: F.greatest(F.lit(1), F.bround(F.col(n) / rows).cast("int")).alias
+    lengths = base.groupBy("size").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("largest"))
+    # A row for each length: at most the square root of twice the number of all components.
+    lengths = lengths.select("size", "largest", parts("n", SHARD_ROWS)("shards"), parts("q", QUERY_ROWS)("blocks"))
+    rows = base.join(F.broadcast(lengths), "size")
+    built = rows.select("id", "vec", "size", "largest", "blocks", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard")).groupBy("size", "shard").applyInPandas(_built(k + 1), "size int, shard int, blocks int, index binary")
+    left = stored(built).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = rows.filter("asks").select("id", "vec", "size", "shards", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int").alias("block"))
+    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    by = ["size", "shard", "block"]
+    merged = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_searched(k), "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
