@@ -543,7 +543,7 @@ def t3_peak_clusters(s, d):
 def signals(s, d) -> DataFrame:
     """Each user's values as a signal, and for every fourth user a second one that is cut from it."""
     rows = samples(s, d).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda v: v["x"]).alias("samples"))
-    cut = rows.filter("item_id % 4 = 0").select((F.col("item_id") + 1000000).alias("item_id"), F.slice("samples", 6, 1000000).alias("samples"))
+    cut = rows.filter("item_id % 4 = 0").select((F.col("item_id") + 1000000).alias("item_id"), F.slice("samples", 6, F.size("samples")).alias("samples"))
     return rows.union(cut)
 
 
