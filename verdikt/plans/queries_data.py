@@ -364,14 +364,24 @@ def r10_contingency(s, d):
 
 @query()
 def r10_dataset_report(s, d):
-    """Label counts, the contingency of language, rule baselines and held-out rows in one long table."""
+    """Label counts, the contingency of language, rule baselines, durations and held-out rows in one long table."""
     i = labelled(s, d)
     rules = {"fixed rule": i.withColumn("predicted", F.when(F.col("lang") == "en", "1/0").otherwise("0/0")), "cell majority": D.loo_cell_majority(i, ["lang"], "label", "item_id")}
+    counts = D.label_counts(i, i.filter("item_id % 10 = 3"), "label")
+    ceiling = R.metadata_ceiling(i, "label", rules)
+    lengths = D.duration_summary(table(s, d, "documents"), F.col("n_chars") / 16.0, 8000 + F.col("doc_id") % 3)
+    split = D.demo_split(i, twins(s, d), "label")
     parts = [
-        D.label_counts(i, i.filter("item_id % 10 = 3"), "label").select(F.lit("labels").alias("part"), F.col("label").alias("name"), F.col("n_all").cast("double").alias("value")),
+        counts.select(F.lit("labels").alias("part"), F.col("label").alias("name"), F.col("n_all").cast("double").alias("value")),
+        counts.select(F.lit("evaluation labels"), "label", F.col("n_eval").cast("double")),
         D.contingency(i, "lang", "label").select(F.lit("contingency"), F.concat_ws(" ", "lang", "label"), F.col("n").cast("double")),
-        R.metadata_ceiling(i, "label", rules).select(F.lit("rules"), "rule", "ba_pct"),
-        D.demo_split(i, twins(s, d), "label").groupBy("role").agg(F.count("*").cast("double").alias("n")).select(F.lit("split"), "role", "n"),
+        ceiling.select(F.lit("rules"), "rule", "ba_pct"),
+        ceiling.select(F.lit("rule accuracy"), "rule", "accuracy_pct"),
+        ceiling.agg(F.max("ceiling").alias("c")).select(F.lit("ceiling"), F.lit("ba_pct"), "c"),
+        lengths.unpivot([], ["min_s", "median_s", "max_s"], "name", "value").select(F.lit("durations"), "name", F.col("value").cast("double")),
+        lengths.select(F.explode("rates").alias("r")).select(F.lit("rates"), F.col("r").cast("string"), F.col("r").cast("double")),
+        split.groupBy("role").agg(F.count("*").cast("double").alias("n")).select(F.lit("split"), "role", "n"),
+        split.select("role", F.col("item_id").cast("string"), F.lit(1.0)),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -432,7 +432,7 @@ def r5_compare_models(s, d):
 
 @query()
 def r6_compare_runs(s, d):
-    return R.compare_runs(outcomes(s, d))
+    return R.compare_runs(outcomes(s, d), split(s, d))
 
 
 @query(f"""with s as {SUBSETS}, x as (select * from s where experiment <> 'baseline'), b as (select model, acc baseline_acc, acc_ad baseline_ad from s where experiment = 'baseline')

@@ -79,12 +79,30 @@ def compare_models(parsed: DataFrame, a: str, b: str) -> DataFrame:
     return out
 
 
-def compare_runs(rows: DataFrame, baseline: str = "baseline") -> DataFrame:
-    """Per arm: accuracy with its interval, mean of runs, gained and lost against the baseline and the exact p."""
+def compare_runs(rows: DataFrame, split: DataFrame, baseline: str = "baseline") -> DataFrame:
+    """Per arm: accuracy and balanced accuracy with intervals, mean of runs, delta and test against the baseline, subsets.
+
+    ``split`` has ``item_id, subset``. The exact p belongs to accuracy, ``p_ba`` (permutation) to balanced accuracy,
+    which is over the categories present; ``categories`` has accuracy and n of each.
+    """
     majority = O.majority_correct(rows)
+    classed = "category is not null"
     ci = S.bootstrap_ci(majority, ARM).withColumn("acc", F.col("right") / F.col("n") * 100)
-    paired = C.won_lost(C.with_baseline(majority, baseline), ARM).drop("n")
-    return ci.join(O.mean_of_runs(rows), ARM).join(paired, ARM).withColumn("p", S.mcnemar_exact("won", "lost"))
+    pairs = C.with_baseline(majority, baseline)
+    paired = C.won_lost(pairs, ARM).withColumn("delta", (F.col("won") - F.col("lost")) / F.col("n") * 100).drop("n")
+    ba = S.stratified_bootstrap(majority.filter(classed), ARM).withColumnsRenamed({"low": "ba_low", "high": "ba_high"})
+    swapped = S.paired_permutation(pairs.filter(classed), ARM).select(*ARM, (F.col("ba") - F.col("base_ba")).alias("delta_ba"), F.col("p").alias("p_ba"))
+    runs = O.balanced_accuracy(rows.filter(classed), [*ARM, "run_idx"], "category", F.col("correct")).groupBy(*ARM).agg(F.avg("balanced_accuracy").alias("mean_ba"))
+    members = majority.join(split, "item_id")
+    one = lambda s, c: F.max(F.when(F.col("subset") == s, F.col(c)))
+    sides = members.groupBy(*ARM, "subset").agg(F.count("*").alias("k")).join(O.balanced_accuracy(members.filter(classed), [*ARM, "subset"], "category", F.col("correct")), [*ARM, "subset"], "left")
+    sides = sides.groupBy(*ARM).agg(*[f(s, c).alias(f"{name}_{short}") for s, short in (("transcript_solvable", "ts"), ("audio_dependent", "ad")) for f, c, name in ((one, "k", "n"), (one, "balanced_accuracy", "ba"))])
+    subsets = C.subset_scores(majority, split).select(*ARM, "acc_ts", "acc_ad").join(sides, ARM, "left").na.fill(0, ["n_ts", "n_ad"])
+    per = O.category_report(majority, ARM).groupBy(*ARM).agg(F.array_sort(F.collect_list(F.struct("category", "accuracy_pct", "n"))).alias("categories"))
+    out = ci.join(O.mean_of_runs(rows), ARM).join(paired, ARM).withColumn("p", S.mcnemar_exact("won", "lost"))
+    for more in (ba, runs, swapped, subsets, per):
+        out = out.join(more, ARM, "left")
+    return out
 
 
 def scaling_table(scores: DataFrame, dependent: DataFrame, baseline: str = "baseline") -> DataFrame:
