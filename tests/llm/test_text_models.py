@@ -69,6 +69,9 @@ def test_scores_of_odd_rows(spark, module):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     kept = module.score_documents(df, model, keep=True)
     assert kept.columns == ["doc_id", "text", "source", "score"] and kept.filter("source = 'keep'").count() == len(ODD)
+    both = module.score_documents(df.withColumnRenamed("source", "_text"), model, keep=True, score_col="mine")
+    assert both.columns == ["doc_id", "text", "_text", "score", "mine"] and {r.score for r in both.collect()} == {0.5}
+    assert sorted(map(str, both.select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
     assert module.score_documents(df.limit(0), model).count() == 0
     one_class = T.train([], np.array([])) if module is T else Y.train([], np.array([]))
     assert module.score_documents(df, one_class).count() == len(ODD)
@@ -80,6 +83,8 @@ def test_labelled_sample_is_bounded_and_ignores_strangers(spark):
     x, y = T.labelled_sample(docs, labels, "toxic", 10)
     assert len(x) <= 20 and set(y.tolist()) <= {0, 1} and len(x) == len(y)
     assert T.labelled_sample(docs, labels, "toxic", 10)[0] == x
+    few = T.labelled_sample(docs, labels, "toxic", 10, most_bytes=64)[0]
+    assert few and set(few) < set(x) and T.labelled_sample(docs, labels, "toxic", 10, most_bytes=16)[0] == []
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

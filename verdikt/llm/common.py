@@ -1,12 +1,18 @@
-"""Helpers that several corpus operators share: stored intermediates, the row folds, connected components."""
+"""Helpers that several corpus operators share: stored intermediates, scores of whole texts, the row folds, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Texts that a task turns into Python strings at once.
+SLICE = 128
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +35,38 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def scored(docs: DataFrame, keep: list[str], text_col: str, name: str, task: Callable[[], Callable[[list[str]], object]]) -> DataFrame:
+    """Columns ``keep`` of every row and the double ``name``, which ``task()``'s function gives for a list of texts.
+
+    A task calls ``task`` once. Rows stay in Arrow and only a slice of texts at a time becomes Python strings (null as
+    the empty text), so memory follows the slice; a text that is kept isn't sent twice. Columns go by position: no name
+    of the table can clash.
+    """
+    held = keep.index(text_col) if text_col in keep else None
+    ins = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if held is not None else [F.col(f"`{text_col}`")]))
+    ins = ins.toDF(*[f"c{k}" for k in range(len(ins.columns))])
+    at, width = len(keep) if held is None else held, len(keep)
+    out = T.StructType([*ins.schema.fields[:width], T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = task()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                scores = pa.array(score([t or "" for t in part.column(at).to_pylist()]), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], scores], names=out.names)
+
+    return ins.mapInArrow(run, out).toDF(*keep, name)
+
+
 def fold_of(id_col: str, folds: int) -> Column:
     """``crc32(id as text) mod folds``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

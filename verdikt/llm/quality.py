@@ -8,21 +8,19 @@ dual coordinate descent. A logistic curve fitted on margins of documents left ou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .common import scored
 from .toxicity import labelled_sample
 
 #: Bound of the labelled documents of each class that are learnt from, and of the hashed feature space.
 SAMPLE_ROWS, SPACE = 3000, 1 << 18
-TABLE_WORDS = 500_000
+TABLE_WORDS = 100_000
 #: Hinge-loss cost, rounds of coordinate descent, smoothing of counts, share of the sample that only calibrates.
 COST, ROUNDS, SMOOTHING, HELD = 1.0, 12, 1.0, 4
 #: Odd multipliers that mix neighbouring hashes into one.
@@ -121,21 +119,18 @@ def quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     return train([indicators(t, table) for t in texts], y)
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``id_col, score`` for every row (with ``keep``: all columns and ``score``), from the whole text.
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, score_col: str = "score") -> DataFrame:
+    """``id_col`` and ``score_col`` for every row, from the whole text. With ``keep`` all other columns as well.
 
     Null and empty texts have no indicators and get the score of the bare bias. Rows are scored on their own: repeated
-    rows repeat. Needs no shuffle.
+    rows repeat. With ``keep``, a column that is already called ``score_col`` gives way; choose another name to have
+    both. Needs no shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.squares.astype(np.float32), *model[2:]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        table = WordHashes()
-        for pdf in batches:
-            margin = np.concatenate([_margins([indicators(t, table)], m.weights, m.squares, m.bias) for t in pdf["_text"].fillna("")] or [np.zeros(0)])
-            yield pdf.drop(columns="_text").assign(score=1 / (1 + np.exp(-np.clip(m.slope * margin + m.shift, -30, 30))))
+    def task():
+        m, table = sent.value, WordHashes()
+        margin = lambda t: _margins([indicators(t, table)], m.weights, m.squares, m.bias)[0]
+        return lambda texts: 1 / (1 + np.exp(-np.clip(m.slope * np.array([margin(t) for t in texts]) + m.shift, -30, 30)))
 
-    ins = docs.drop("score").withColumn("_text", F.col(text_col)) if keep else docs.select(id_col, F.col(text_col).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ins.schema if f.name != "_text"]
-    return ins.mapInPandas(run, ", ".join([*fields, "score double"]))
+    return scored(docs, [c for c in docs.columns if c != score_col] if keep else [id_col], text_col, score_col, task)

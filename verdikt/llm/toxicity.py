@@ -15,13 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scored
+
 #: Bound of the labelled documents of each class that are learnt from, and of the hashed feature space.
 SAMPLE_ROWS, SPACE = 3000, 1 << 18
+#: Bound of the bytes of these texts, for each class.
+SAMPLE_BYTES = 32 << 20
 #: Words a worker's table holds before it is emptied.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 100_000
 EPOCHS, RATE, SHRINK = 16, 0.5, 2e-5
 #: Sentences end at these characters, as long as something follows.
 BREAKS = re.compile(r"[.!?\n\r  。！？]+")
@@ -115,19 +119,23 @@ def sentence_scores(text: str, table: WordWeights, bias: float) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """At most ``rows`` labelled texts of each class, chosen by a hash of the id: the bound on what the driver holds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """At most ``rows`` labelled texts and ``most_bytes`` of each class, in the order of a hash of the id: what the driver holds.
 
-    ``labels`` may be as large as it likes; only the chosen ids are joined with the texts.
+    ``labels`` may be as large as it likes; only the chosen ids are joined with the texts. Texts of more than a
+    sixteenth of ``most_bytes`` aren't learnt from.
     """
-    out_t, out_l = [], []
     chosen = None
     for value in (0, 1):
         part = labels.filter(F.col(label_col) == value).select(F.col(id_col).alias("id"), F.lit(value).alias("y")).filter("id is not null").distinct()
         part = part.orderBy(F.xxhash64("id"), "id").limit(rows)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    for r in texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("t").alias("t")).orderBy("id", "y").toLocalIterator():
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(F.octet_length("t") <= most_bytes // 16)
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
+    # A window over a class's sample, which ``rows`` bounds.
+    so_far = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    out_t, out_l = [], []
+    for r in found.withColumn("sum", so_far).filter(F.col("sum") <= most_bytes).select("id", "y", "t").orderBy("id", "y").toLocalIterator():
         out_t.append(r["t"])
         out_l.append(r["y"])
     return out_t, np.array(out_l, dtype=np.int64)
@@ -139,26 +147,22 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     return train(texts, y)
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``id_col, score`` for every row (with ``keep``: all columns and ``score``): the noisy-or over all its sentences.
+def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False, score_col: str = "score") -> DataFrame:
+    """``id_col`` and ``score_col`` for every row: the noisy-or over all its sentences. With ``keep`` all other columns as well.
 
     Null and empty texts, and texts without a word, get the score of one sentence without words. Rows are scored on
-    their own: repeated rows repeat. Needs no shuffle.
+    their own: repeated rows repeat. With ``keep``, a column that is already called ``score_col`` gives way; choose
+    another name to have both. Needs no shuffle.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    sent = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task():
         weights, bias = sent.value
         table = WordWeights(weights)
-        for pdf in batches:
-            scores = [-float(np.expm1(np.log1p(-np.minimum(sentence_scores(t, table, bias), 1 - 1e-12)).sum())) for t in pdf["_text"].fillna("")]
-            yield pdf.drop(columns="_text").assign(score=np.clip(scores, 0.0, 1.0))
+        one = lambda t: -float(np.expm1(np.log1p(-np.minimum(sentence_scores(t, table, bias), 1 - 1e-12)).sum()))
+        return lambda texts: np.clip([one(t) for t in texts], 0.0, 1.0)
 
-    ins = docs.withColumn("_text", F.col(text_col)) if keep else docs.select(id_col, F.col(text_col).alias("_text"))
-    ins = ins.drop("score") if keep else ins
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ins.schema if f.name != "_text"]
-    return ins.mapInPandas(run, ", ".join([*fields, "score double"]))
+    return scored(docs, [c for c in docs.columns if c != score_col] if keep else [id_col], text_col, score_col, task)
 
 
 def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
