@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdikt.llm import ngram_join, packing, quality, toxicity
-from verdikt.llm.common import fold_of, stored
+from verdikt.llm.common import fold_of, free_name, stored
 from verdikt.llm.queries import SEQUENCE, byte_tokenizer
 
 #: Words of a shingle, and the Jaccard similarity in percent from which two documents are one.
@@ -27,13 +27,15 @@ def _labels(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFram
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score stays below ``TOXIC_FROM``. Empty texts stay."""
     model = toxicity.toxicity_model(docs, _labels(spark, sf_dir, 5, 0))
-    return toxicity.score_documents(docs, model, keep=True).filter(F.col("score") < TOXIC_FROM).select(docs.columns)
+    name = free_name(docs, "score")
+    return toxicity.score_documents(docs, model, keep=True, score_col=name).filter(F.col(name) < TOXIC_FROM).drop(name)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches ``GOOD_FROM``."""
     model = quality.quality_model(docs, _labels(spark, sf_dir, 4, 2))
-    return quality.score_documents(docs, model, keep=True).filter(F.col("score") >= GOOD_FROM).select(docs.columns)
+    name = free_name(docs, "score")
+    return quality.score_documents(docs, model, keep=True, score_col=name).filter(F.col(name) >= GOOD_FROM).drop(name)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
