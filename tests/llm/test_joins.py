@@ -44,8 +44,9 @@ def shingles(text, n):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 50)])
-def test_ngram_components_equal_brute_force(spark, n, percent):
+@pytest.mark.parametrize("n,percent,block", [(3, 90, 1024), (5, 80, 4), (2, 50, 7)])
+def test_ngram_components_equal_brute_force(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(J, "BLOCK_ROWS", block)
     r = random.Random(n)
     base = [[f"w{r.randrange(60 if k % 3 else 2000)}" for _ in range(r.choice([1, 2, 4, 12, 40, 90, 200]))] for k in range(40)]
     passage = [f"p{k}" for k in range(60)]
@@ -92,6 +93,27 @@ def test_signatures_lose_no_pair(seed, percent, size, frequent):
         assert len(np.intersect1d(J.signatures(np.sort(x), levels, percent), J.signatures(np.sort(y), levels, percent)))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 400), st.integers(0, 60), st.integers(0, 60))
+def test_parity_sketches_never_rule_out_too_much(seed, size, gone, new):
+    r = np.random.default_rng(seed)
+    pool = np.unique(r.integers(0, 2**63, size + 80, dtype=np.uint64))
+    x, y = pool[:size], pool[min(gone, size - 1) : size + new]
+    band = J.band_of(min(len(x), len(y)))
+    rows = np.frombuffer(J.parity_sketch(x, band) + J.parity_sketch(y, band), dtype=np.uint64).reshape(2, -1)
+    assert int(np.bitwise_count(rows[0] ^ rows[1]).sum()) <= len(np.setxor1d(x, y))
+    both, common = len(x) + len(y), len(np.intersect1d(x, y))
+    far = J.bounds(rows, np.array([len(x), len(y)]), np.zeros(2), np.arange(2), False, 80)
+    assert far[0, 1] < np.inf or 100 * common < 80 * (both - common)
+
+
+def test_forest_spans():
+    far = np.full((5, 5), np.inf)
+    for a, b, d in [(0, 1, 1), (1, 2, 1), (0, 2, 3), (3, 4, 2)]:
+        far[a, b] = far[b, a] = d
+    assert sorted(map(sorted, J.forest(far))) == [[0, 1], [1, 2], [3, 4]]
+
+
 def vectors():
     r = np.random.default_rng(1)
     base = r.standard_normal((60, 8))

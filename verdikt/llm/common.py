@@ -18,9 +18,11 @@ SLICE = 128
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is missing (as in tests on one machine) a temporary folder is made and set.
+    Where the setting is missing, a local master (tests) gets a temporary folder, a cluster the warehouse, which it shares.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        base = spark.conf.get("spark.sql.warehouse.dir")
     if not base:
         base = tempfile.mkdtemp(prefix="verdikt-")
         spark.sparkContext.setCheckpointDir(base)
@@ -32,7 +34,16 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage is cut, lost executors lose nothing."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -77,7 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns ``node, component`` (the smallest node of its component) for every node that has a link. Each step is two
     map-side combined minima and a join, so a hub with many links is never gathered in one task. Every round is
-    written to the shared folder, and rounds end when the edge set no longer changes.
+    written to the shared folder, the one before it removed, and rounds end when the edge set no longer changes.
     """
     pairs = lambda d: d.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = stored(pairs(edges.select("a", "b")))
@@ -88,8 +99,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        state = stored(pairs(small))
+        small = large.join(low, "a").select("b", "m").union(low.select("a", "m")).toDF("a", "b")
+        was, state = state, stored(pairs(small))
+        forget(was)
         after = said(state)
         if after == before:
             break

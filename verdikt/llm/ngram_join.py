@@ -8,14 +8,17 @@ dealt to classes by their hash and make signatures in pairs inside a class, wher
 nothing. The number of classes follows the set's size in bands that double; a set near a band's edge emits the
 signatures of both bands, so any two sets that can link have a band in common. Small sets use single tokens only.
 
-Equal sets collapse to one. Signatures held by more than one set give candidates: first each set with the least of
-its bucket, then, only in buckets whose sets are not yet all connected, the pairs that connectivity leaves open.
-Candidates are verified on the whole sets. So the components are exact, and a group of near copies is not expanded
-into all its pairs.
+Equal sets collapse to one. The sets that share a signature make a bucket. In a bucket, parity sketches (a bit for each
+of 8 times as many places as tokens: whether an odd number of tokens fell there) give a lower bound of the number of
+tokens that two sets do not share, so all pairs are ruled out or kept without a row for any of them: a large bucket is
+cut into blocks that meet two by two. The first pass keeps a spanning forest of each block's graph, the second, in
+buckets that this left unconnected, every pair between different components. What is kept is verified on the whole
+sets. So the components are exact, and a group of near copies is never expanded into its pairs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored
-
-#: Counters of the sketch (a power of two), the fullest that are still rare, and rounds that compare with one set of a bucket only.
-COUNTERS, RARE_COUNT, PIVOT_ROUNDS = 1 << 18, 8, 2
+from .common import components, forget, stored
+
+#: Counters of the sketch (a power of two) and the fullest that are still rare. As a corpus fills the counters, fewer
+#: tokens are rare and more go into pairs, which stay selective; the order keeps apart what exceeds chance.
+COUNTERS, RARE_COUNT = 1 << 18, 8
+#: Counters that travel as one row, and how many tasks' rows are first added up together.
+COUNTER_BLOCK, MERGED_TASKS = 1 << 12, 256
+#: Rows of a bucket that one block holds; two blocks meet in a task.
+BLOCK_ROWS = 1024
+#: Bits of a parity sketch for each token of the band's smallest set, and its least and greatest length.
+SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 8, 256, 1 << 15
+#: Bits of the filter that keeps most texts out of the second reading.
+FILTER_BITS = 1 << 23
 #: Levels of the order beyond rare: each is twice the excess over what chance fills in.
 LEVELS = 15
 #: Size of the smallest set that uses pairs.
@@ -76,10 +88,18 @@ def band_of(size: int) -> int:
     return (size // SMALL).bit_length() - 1
 
 
+def least_size(size: int, percent: int) -> int:
+    """Tokens that a set of ``size`` has in common with another, if they link; also the least size of that other."""
+    return -(-percent * size // 100)
+
+
 def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set, so that any two sets with ``100 * common >= percent * union`` share one at least."""
+    """Signatures of one set, so that any two sets with ``100 * common >= percent * union`` share one at least.
+
+    The last five bits of a signature are its band, counted from 0.
+    """
     size = len(tokens)
-    least = -(-percent * size // 100)
+    least = least_size(size, percent)
     missing = size - least
     level = levels[(tokens >> np.uint64(46)).astype(np.int64)]
     order = np.argsort((level << np.uint64(60)) | (tokens >> np.uint64(4)), kind="stable")
@@ -87,10 +107,11 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarr
     out = []
     for band in range(band_of(least), band_of(size) + 1):  # the smaller of two linked sets is in one of these
         salt = np.uint64((SALT * (2 * band + 5)) & 0xFFFFFFFFFFFFFFFF)
+        mark = lambda sigs, band=band: sigs & ~np.uint64(31) | np.uint64(band + 1)
         if band < 0:
-            out.append(_mixed(ordered[: missing + 1] ^ salt))
+            out.append(mark(_mixed(ordered[: missing + 1] ^ salt)))
             continue
-        out.append(_mixed(ordered[: min(n_rare, missing + 1)] ^ salt))
+        out.append(mark(_mixed(ordered[: min(n_rare, missing + 1)] ^ salt)))
         if n_rare > missing:
             continue
         low = SMALL << band
@@ -105,15 +126,98 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarr
         rest, kind = rest[by], kind[by]
         step = 1
         while step < len(rest) and (same := kind[step:] == kind[:-step]).any():
-            out.append(_mixed(_mixed(rest[:-step][same] ^ salt) * MIX + rest[step:][same]))
+            out.append(mark(_mixed(_mixed(rest[:-step][same] ^ salt) * MIX + rest[step:][same])))
             step += 1
     return np.unique(np.concatenate(out))
 
 
+def parity_sketch(tokens: np.ndarray, band: int) -> bytes:
+    """Bits that say where an odd number of tokens fell. Two sketches differ in no more bits than the sets differ in tokens."""
+    bits = min(SKETCH_MOST, max(SKETCH_LEAST, SKETCH_BITS * (SMALL << band if band >= 0 else SMALL)))
+    odd = np.bincount(((tokens >> np.uint64(13)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def bounds(sketches: np.ndarray, size: np.ndarray, block: np.ndarray, component: np.ndarray, across: bool, percent: int) -> np.ndarray:
+    """Least number of tokens that two sets differ in, as a share of their sizes' sum; infinite where they can't link.
+
+    ``across``: only pairs of sets of different blocks count. Pairs inside a component are left out.
+    """
+    m = len(size)
+    out = np.full((m, m), np.inf)
+    for i in range(m - 1):
+        rest = slice(i + 1, m)
+        both = size[rest] + size[i]
+        differ = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        # 100 * common >= percent * (both - common)
+        ok = (differ <= both - 2 * -(-percent * both // (100 + percent))) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+        ok &= component[rest] != component[i]
+        if across:
+            ok &= block[rest] != block[i]
+        out[i, rest] = out[rest, i] = np.where(ok, differ / both, np.inf)
+    return out
+
+
+def forest(far: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs with finite distance, by nearest pairs (Prim)."""
+    m = len(far)
+    if m == 2:
+        return [(0, 1)] if far[0, 1] < np.inf else []
+    out, left, near, by = [], np.ones(m, dtype=bool), np.full(m, np.inf), np.zeros(m, dtype=np.int64)
+    for _ in range(m):
+        at = int(np.where(left, near, np.inf).argmin())
+        if not left[at] or near[at] == np.inf:
+            at = int(left.argmax())
+        else:
+            out.append((int(by[at]), at))
+        left[at] = False
+        closer = left & (far[at] < near)
+        near[closer], by[closer] = far[at][closer], at
+    return out
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows with equal ``keys``, which stand together; a group may reach over batches."""
+    held = None
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        values = pdf[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        for begin, end in zip(cuts[:-2], cuts[1:-1], strict=True):
+            yield pdf.iloc[begin:end]
+        held = pdf.iloc[cuts[-2] :] if len(pdf) else None
+    if held is not None:
+        yield held
+
+
+def _candidates(percent: int, whole: bool):
+    """Pairs of each block that may link: all of them (``whole``) or a spanning forest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[np.ndarray] = []
+        give = lambda: pd.DataFrame(np.unique(np.sort(np.concatenate(found), axis=1), axis=0), columns=["a", "b"])
+        n = 0
+        for g in _groups(batches, ["sig", "p", "q"]):
+            ids, words = g["id"].to_numpy(), np.frombuffer(b"".join(g["sketch"]), dtype=np.uint64).reshape(len(g), -1)
+            far = bounds(words, g["size"].to_numpy(), g["block"].to_numpy(), g["component"].to_numpy(), bool(g["p"].iloc[0] != g["q"].iloc[0]), percent)
+            pairs = np.argwhere(np.triu(far < np.inf)) if whole else np.array(forest(far), dtype=np.int64).reshape(-1, 2)
+            if len(pairs):
+                found.append(ids[pairs])
+                n += len(pairs)
+            if n > 200_000:
+                yield give()
+                found, n = [], 0
+        if found:
+            yield give()
+
+    return run
+
+
 def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` for every document: its set's size and the smallest id reachable by links.
 
@@ -121,11 +225,14 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     without words (null, empty or blank texts) have no sequence and link with nothing. Rows that repeat an id count as
     one document (of differing texts the one with the fewest sequences, then the least hash); rows without an id are
     left out. Other columns are ignored; an empty table gives an empty result. Ids must be integers.
+
+    Joins of tables that grow with the corpus are merge joins at every size.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each document, and the task's share of the sketch (rows with a counter)."""
+        """A row for each document, and the task's share of the sketch (rows with a block of counters)."""
         table, sketch = _Words(), np.zeros(COUNTERS, dtype=np.int64)
         for pdf in batches:
             keys, sizes = [], []
@@ -133,33 +240,51 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
                 s = shingle_set(text, n, table)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
-                sketch += np.bincount((s >> np.uint64(46)).astype(np.int64), minlength=COUNTERS) if len(s) > COUNTERS // 8 else 0
-                if len(s) <= COUNTERS // 8:
-                    np.add.at(sketch, (s >> np.uint64(46)).astype(np.int64), 1)
-            yield pd.DataFrame({"id": pdf["id"], "key": keys, "size": sizes, "counter": pd.Series([None] * len(pdf), dtype="Int64", index=pdf.index)})
-        at = np.flatnonzero(sketch)
-        yield pd.DataFrame({"id": pd.Series([None] * len(at), dtype="Int64"), "key": None, "size": sketch[at], "counter": at})
-
-    both = stored(docs.mapInPandas(count, "id long, key binary, size long, counter long"))
-    counts = np.zeros(COUNTERS)
-    filled = both.filter("counter is not null").groupBy("counter").agg(F.sum("size").alias("c")).toPandas()  # COUNTERS rows at most
-    counts[filled["counter"].to_numpy(dtype=np.int64)] = filled["c"].to_numpy(dtype=np.float64)
-    sent = df.sparkSession.sparkContext.broadcast(counter_levels(counts))
-    base = both.filter("counter is null").groupBy("id").agg(F.min(F.struct("size", "key")).alias("s")).select("id", "s.size", "s.key")
-    base = stored(base)
+                at = (s >> np.uint64(46)).astype(np.int64)
+                if len(s) > COUNTERS // 8:
+                    sketch += np.bincount(at, minlength=COUNTERS)
+                else:
+                    np.add.at(sketch, at, 1)
+            yield pd.DataFrame({"id": pdf["id"], "key": keys, "size": sizes, "block": -1, "counts": None})
+        parts = np.flatnonzero(sketch.reshape(-1, COUNTER_BLOCK).any(axis=1))
+        packed = [zlib.compress(sketch[k * COUNTER_BLOCK : (k + 1) * COUNTER_BLOCK].astype("<i8").tobytes(), 1) for k in parts]
+        yield pd.DataFrame({"id": pd.Series([None] * len(parts), dtype="Int64"), "key": None, "size": 0, "block": parts, "counts": packed})
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(COUNTER_BLOCK, dtype=np.int64)
+        for packed in pdf["counts"]:
+            total += np.frombuffer(zlib.decompress(packed), dtype="<i8")
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    both = stored(docs.mapInPandas(count, "id long, key binary, size long, block int, counts binary"))
+    counts = np.zeros((COUNTERS // COUNTER_BLOCK, COUNTER_BLOCK))
+    some = both.filter("block >= 0").select("block", "counts", F.floor(F.spark_partition_id() / MERGED_TASKS).alias("salt"))
+    some = some.groupBy("block", "salt").applyInPandas(merged, "block int, counts binary").groupBy("block").applyInPandas(merged, "block int, counts binary")
+    for r in some.collect():  # COUNTERS numbers
+        counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<i8")
+    sent = spark.sparkContext.broadcast(counter_levels(counts.ravel()))
+    base = stored(both.filter("block < 0").groupBy("id").agg(F.min(F.struct("size", "key")).alias("s")).select("id", "s.size", "s.key"))
     sets = stored(base.filter("size > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("size").alias("size")))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Signatures with a short handle of their set. Sets whose handles collide are told apart by verification."""
-        table, levels = _Words(), sent.value
+        """Signatures with a short handle of their set, once for equal sets of a task as long as they are remembered.
+
+        Sets whose handles collide are told apart by verification.
+        """
+        table, levels, seen = _Words(), sent.value, set()
         for pdf in batches:
             sigs, handles, n_rows = [], [], 0
             for text in pdf["text"]:
                 s = shingle_set(text, n, table)
-                if len(s):
-                    sigs.append(signatures(s, levels, percent))
-                    handles.append(np.full(len(sigs[-1]), int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[8:], "big", signed=True)))
-                    n_rows += len(sigs[-1])
+                handle = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[8:], "big", signed=True)
+                if not len(s) or handle in seen:
+                    continue
+                if len(seen) >= TABLE_WORDS:
+                    seen.clear()
+                seen.add(handle)
+                sigs.append(signatures(s, levels, percent))
+                handles.append(np.full(len(sigs[-1]), handle))
+                n_rows += len(sigs[-1])
                 if n_rows > 100_000:
                     yield pd.DataFrame({"sig": _long(np.concatenate(sigs)), "handle": np.concatenate(handles)})
                     sigs, handles, n_rows = [], [], 0
@@ -171,52 +296,61 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     of_sig = Window.partitionBy("sig")
     shared = signed.withColumn("low", F.min("handle").over(of_sig)).withColumn("high", F.max("handle").over(of_sig)).filter("low <> high").select("sig", "handle").distinct()
     named = sets.select(F.conv(F.hex(F.substring("key", 9, 8)), 16, -10).cast("long").alias("handle"), "id", "size")
-    buckets = stored(shared.join(named, "handle").select("sig", "id", "size"))
+    buckets = stored(shared.join(named.hint("merge"), "handle").select("sig", "id", "size"))
+
+    wanted = buckets.select("id").distinct()
+    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    filled = wanted.select(spot.alias("s")).groupBy((F.col("s") / 8).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("bits")).collect()  # FILTER_BITS at most
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    bits[[r["at"] for r in filled]] = [r["bits"] for r in filled]
+    marked = spark.sparkContext.broadcast(bits)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sets and sketches of the texts that pass the filter."""
         table = _Words()
         for pdf in batches:
-            rows = [_long(shingle_set(t, n, table)) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "tokens": rows, "size": [len(r) for r in rows]})
+            at = pdf["spot"].to_numpy()
+            pdf = pdf[(marked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1]
+            for begin in range(0, len(pdf), 500):
+                part = pdf.iloc[begin : begin + 500]
+                rows = [shingle_set(t, n, table) for t in part["text"]]
+                low = [band_of(least_size(len(r), percent)) for r in rows]
+                made = [[parity_sketch(r, b) for b in range(k, band_of(len(r)) + 1)] for r, k in zip(rows, low, strict=True)]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "key": [xxhash.xxh3_128_digest(r.tobytes()) for r in rows], "tokens": [_long(r) for r in rows], "band": low, "sketches": made})
+
+    again = docs.select("id", "text", spot.alias("spot")).mapInPandas(whole, "id long, key binary, tokens array<long>, band int, sketches array<binary>")
+    # Of rows that repeat an id, the one that stands for it.
+    tokens = stored(again.join(sets.join(wanted.hint("merge"), "id", "left_semi").select("id", "key").hint("merge"), ["id", "key"], "left_semi").dropDuplicates(["id"]))
+    sketches = tokens.select("id", "band", F.posexplode("sketches").alias("k", "sketch")).select("id", (F.col("band") + F.col("k") + 1).alias("band"), "sketch")
+
+    def candidates(rows: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a < b) to verify, of ``rows`` (sig, id, size, component)."""
+        n_parts = F.ceil(F.count("*").over(of_sig) / BLOCK_ROWS).cast("int")
+        rows = rows.withColumn("parts", n_parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("band", (F.col("sig").bitwiseAND(31)).cast("int"))
+        meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
+        rows = rows.join(sketches.hint("merge"), ["id", "band"])
+        one = rows.filter("parts = 1").withColumns({"p": F.lit(0), "q": F.lit(0)})
+        more = rows.filter("parts > 1").withColumn("at", F.explode(meets)).withColumns({"p": F.col("at.p"), "q": F.col("at.q")})
+        dealt = one.unionByName(more.drop("at")).select("sig", "p", "q", "id", "size", "component", "block", "sketch")
+        dealt = dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
+        return dealt.mapInPandas(_candidates(percent, every), "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a < b) of sets that link. Only sets in some pair are made again from their texts."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        again = docs.join(wanted, "id", "left_semi").mapInPandas(whole, "id long, tokens array<long>, size long")
-        # Of rows that repeat an id, the one that stands for it.
-        tokens = stored(again).join(sets.select("id", "size"), ["id", "size"], "left_semi").dropDuplicates(["id"])
-        left = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-        joined = left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+        left = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
+        joined = left.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b")
         common = F.size(F.array_intersect("x", "y"))
         return joined.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    def of_sizes(pairs: DataFrame) -> DataFrame:
-        fits = F.least("m", "size") * 100 >= F.greatest("m", "size") * percent
-        return pairs.filter(fits).select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).filter("a <> b").distinct()
-
-    open_rows, links, labels = buckets, None, None
-    done: DataFrame | None = None
-    for step in range(PIVOT_ROUNDS + 1):
-        if step < PIVOT_ROUNDS:
-            pivot = open_rows.groupBy("sig").agg(F.min(F.struct("id", "size")).alias("s")).select("sig", F.col("s.id").alias("p"), F.col("s.size").alias("m"))
-            pairs = of_sizes(open_rows.join(pivot, "sig"))
-        else:
-            other = open_rows.select("sig", F.col("id").alias("p"), F.col("size").alias("m"), F.col("component").alias("c"))
-            pairs = of_sizes(open_rows.join(other, "sig").filter("p < id and c <> component"))
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        found = verified(pairs)
-        done = pairs if done is None else done.union(pairs)
-        links = stored(found if links is None else links.union(found))
-        labels = stored(components(links))
-        if step < PIVOT_ROUNDS:
-            rows = open_rows.join(pivot, "sig").filter("id <> p").select("sig", "id", "size")
-            rows = rows.join(labels, rows["id"] == labels["node"], "left").select("sig", "id", "size", F.coalesce("component", "id").alias("component"))
-            still = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-            open_rows = stored(rows.join(still, "sig"))
-            if open_rows.isEmpty():
-                break
-    per_set = sets.join(labels, sets["id"] == labels["node"], "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    out = base.join(per_set, "key", "left")
+    first = stored(candidates(buckets.withColumn("component", F.col("id")), False))
+    links = stored(verified(first))
+    labels = stored(components(links))
+    rows = buckets.join(labels.hint("merge"), buckets["id"] == labels["node"], "left").select("sig", "id", "size", F.coalesce("component", "id").alias("component"))
+    still = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
+    rest = candidates(rows.join(still.hint("merge"), "sig", "left_semi"), True).join(first.hint("merge"), ["a", "b"], "left_anti")
+    more = stored(verified(rest))
+    if not more.isEmpty():
+        labels = stored(components(links.union(more)))
+    forget(both, buckets, tokens, first, links, more)
+    per_set = sets.join(labels.hint("merge"), sets["id"] == labels["node"], "left").select("key", F.coalesce("component", "id").alias("component_id"))
+    out = base.join(per_set.hint("merge"), "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
