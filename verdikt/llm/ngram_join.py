@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,17 +45,30 @@ FILTER_BITS = 1 << 23
 LEVELS = 15
 #: Size of the smallest set that uses pairs.
 SMALL = 32
-TABLE_WORDS = 500_000
+#: Sets that a task remembers, so as to sign equal ones once.
+SEEN_SETS = 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SALT = 0x2545F4914F6CDD1D
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= TABLE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_digest(word)
-        return value
+#: Bytes hashed at once; longer texts go in pieces that end between words.
+PIECE = 1 << 20
+_rng = np.random.default_rng(20)
+#: A number for each byte, and the powers of an odd base and of its inverse (modulo 2^64) by position.
+_CODE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers 0 to ``n`` at least, of the base and of its inverse."""
+    if not _powers or len(_powers[0]) <= n:
+        size = 1 << max(12, n.bit_length())
+        grow = lambda base: np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, base, dtype=np.uint64)]), dtype=np.uint64)
+        _powers[:] = [grow(_BASE), grow(pow(_BASE, -1, 1 << 64))]
+    return _powers
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -62,17 +76,39 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(text: str | None, n: int, table: dict[bytes, bytes]) -> np.ndarray:
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word (A-Z lower-cased, split at ASCII white space): a polynomial in its bytes, from running sums."""
+    raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
+    gap = np.concatenate([[True], _SPACE[raw], [True]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    begin, end = edge[::2], edge[1::2]
+    up, down = _powers_to(len(raw))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_CODE[raw] * up[: len(raw)], dtype=np.uint64)])
+    return _mixed((sums[end] - sums[begin]) * down[begin])
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(data) - at > PIECE:
+        cut = at + PIECE
+        while cut < len(data) and not _SPACE[data[cut]]:
+            cut += 1
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of all ``n``-word sequences (A-Z lower-cased, ASCII white space); the whole text if shorter."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.frombuffer(b"".join(map(table.__getitem__, words)), dtype=">u8").astype(np.uint64)
-    k = min(n, len(words))
+    h = np.concatenate([word_hashes(x) for x in _pieces((text or "").encode())])
+    if not len(h):
+        return h
+    k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
         out = _mixed(out * MIX + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def counter_levels(counts: np.ndarray) -> np.ndarray:
@@ -96,14 +132,14 @@ def least_size(size: int, percent: int) -> int:
 def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of one set, so that any two sets with ``100 * common >= percent * union`` share one at least.
 
-    The last five bits of a signature are its band, counted from 0.
+    The last five bits of a signature are its band, counted from 0. A signature may come more than once.
     """
     size = len(tokens)
     least = least_size(size, percent)
     missing = size - least
     level = levels[(tokens >> np.uint64(46)).astype(np.int64)]
-    order = np.argsort((level << np.uint64(60)) | (tokens >> np.uint64(4)), kind="stable")
-    ordered, n_rare = tokens[order], size - int(np.count_nonzero(level))
+    order = np.sort((level << np.uint64(60)) | (tokens >> np.uint64(4)))  # by level, then by hash
+    ordered, n_rare = order & np.uint64((1 << 60) - 1), int(np.searchsorted(order, np.uint64(1 << 60)))
     out = []
     for band in range(band_of(least), band_of(size) + 1):  # the smaller of two linked sets is in one of these
         salt = np.uint64((SALT * (2 * band + 5)) & 0xFFFFFFFFFFFFFFFF)
@@ -112,23 +148,26 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarr
             out.append(mark(_mixed(ordered[: missing + 1] ^ salt)))
             continue
         out.append(mark(_mixed(ordered[: min(n_rare, missing + 1)] ^ salt)))
-        if n_rare > missing:
+        need = missing + 1 - n_rare  # tokens that aren't the first of their class
+        if need <= 0:
             continue
         low = SMALL << band
         classes = max(1, min(375 * (100 - percent) * low // 10_000, percent * low // 100 - 2))
-        rest = ordered[n_rare:]
+        rest = ordered[n_rare : n_rare + need + classes]
         kind = (rest % np.uint64(classes)).astype(np.int64)
-        first = np.zeros(len(rest), dtype=bool)
-        first[np.unique(kind, return_index=True)[1]] = True
-        end = int(np.searchsorted(np.cumsum(~first), missing + 1 - n_rare)) + 1
-        rest, kind = rest[:end], kind[:end]
-        by = np.lexsort((rest, kind))
+        begins = np.full(classes, -1, dtype=np.int64)
+        begins[kind[::-1]] = np.arange(len(rest) - 1, -1, -1)
+        later = np.ones(len(rest), dtype=np.int64)
+        later[begins[begins >= 0]] = 0
+        rest = np.sort(rest[: int(np.searchsorted(np.cumsum(later), need)) + 1])
+        kind = (rest % np.uint64(classes)).astype(np.int32)
+        by = np.argsort(kind.astype(np.int16) if classes < 1 << 15 else kind, kind="stable")
         rest, kind = rest[by], kind[by]
         step = 1
         while step < len(rest) and (same := kind[step:] == kind[:-step]).any():
             out.append(mark(_mixed(_mixed(rest[:-step][same] ^ salt) * MIX + rest[step:][same])))
             step += 1
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
 
 
 def parity_sketch(tokens: np.ndarray, band: int) -> bytes:
@@ -147,19 +186,18 @@ def bounds(sketches: np.ndarray, size: np.ndarray, block: np.ndarray, component:
 
     ``across``: only pairs of sets of different blocks count. Pairs inside a component are left out.
     """
-    m = len(size)
-    out = np.full((m, m), np.inf)
-    for i in range(m - 1):
-        rest = slice(i + 1, m)
-        both = size[rest] + size[i]
-        differ = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-        # 100 * common >= percent * (both - common)
-        ok = (differ <= both - 2 * -(-percent * both // (100 + percent))) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
-        ok &= component[rest] != component[i]
-        if across:
-            ok &= block[rest] != block[i]
-        out[i, rest] = out[rest, i] = np.where(ok, differ / both, np.inf)
-    return out
+    m, width = sketches.shape
+    differ = np.empty((m, m), dtype=np.int64)
+    step = max(1, 4_000_000 // (m * width))
+    for at in range(0, m, step):
+        differ[at : at + step] = np.bitwise_count(sketches[at : at + step, None] ^ sketches[None]).sum(axis=2, dtype=np.int64)
+    both = size[:, None] + size[None]
+    # 100 * common >= percent * (both - common)
+    ok = (differ <= both - 2 * -(-percent * both // (100 + percent))) & (100 * np.minimum(size[:, None], size[None]) >= percent * np.maximum(size[:, None], size[None]))
+    ok &= component[:, None] != component[None]
+    if across:
+        ok &= block[:, None] != block[None]
+    return np.where(ok, differ / both, np.inf)
 
 
 def forest(far: np.ndarray) -> list[tuple[int, int]]:
@@ -180,40 +218,56 @@ def forest(far: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows with equal ``keys``, which stand together; a group may reach over batches."""
-    held = None
-    for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        values = pdf[keys].to_numpy()
-        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
-        for begin, end in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield pdf.iloc[begin:end]
-        held = pdf.iloc[cuts[-2] :] if len(pdf) else None
-    if held is not None:
-        yield held
-
-
-def _candidates(percent: int, whole: bool):
-    """Pairs of each block that may link: all of them (``whole``) or a spanning forest."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[np.ndarray] = []
-        give = lambda: pd.DataFrame(np.unique(np.sort(np.concatenate(found), axis=1), axis=0), columns=["a", "b"])
-        n = 0
-        for g in _groups(batches, ["sig", "p", "q"]):
-            ids, words = g["id"].to_numpy(), np.frombuffer(b"".join(g["sketch"]), dtype=np.uint64).reshape(len(g), -1)
-            far = bounds(words, g["size"].to_numpy(), g["block"].to_numpy(), g["component"].to_numpy(), bool(g["p"].iloc[0] != g["q"].iloc[0]), percent)
-            pairs = np.argwhere(np.triu(far < np.inf)) if whole else np.array(forest(far), dtype=np.int64).reshape(-1, 2)
-            if len(pairs):
-                found.append(ids[pairs])
+def _candidates(percent: int, every: bool):
+    """Pairs of each block that may link: all of them (``every``) or a spanning forest.
+
+    Rows of a block (sig, p, q) stand together; a block may reach over batches.
+    """
+
+    def pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[np.ndarray]:
+        sketch = table.column("sketch").chunk(0)
+        at = np.frombuffer(sketch.buffers()[1], dtype=np.int32)[sketch.offset : sketch.offset + len(sketch) + 1] // 8
+        data = np.frombuffer(sketch.buffers()[2], dtype=np.uint64)
+        ids, size, component, block, p, q = (table.column(c).chunk(0).to_numpy() for c in ("id", "size", "component", "block", "p", "q"))
+        first, many = cuts[:-1], np.diff(cuts)
+        twos = first[many == 2]
+        for width in np.unique(at[twos + 1] - at[twos]):  # two sets: no matrix
+            own = twos[at[twos + 1] - at[twos] == width]
+            x, y = (data[at[k][:, None] + np.arange(width)] for k in (own, own + 1))
+            both = size[own] + size[own + 1]
+            ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
+            ok &= (100 * np.minimum(size[own], size[own + 1]) >= percent * np.maximum(size[own], size[own + 1])) & (component[own] != component[own + 1]) & ((p[own] == q[own]) | (block[own] != block[own + 1]))
+            yield np.stack([ids[own[ok]], ids[own[ok] + 1]], axis=1)
+        for k, m in zip(first[many > 2].tolist(), many[many > 2].tolist(), strict=True):
+            rows = slice(k, k + m)
+            far = bounds(data[at[k] : at[k + m]].reshape(m, -1), size[rows], block[rows], component[rows], bool(p[k] != q[k]), percent)
+            yield ids[rows][np.argwhere(np.triu(far < np.inf)) if every else np.array(forest(far), dtype=np.int64).reshape(-1, 2)]
+
+    def give(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, n = None, [], 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            if not table.num_rows:
+                continue
+            key = np.stack([table.column(c).chunk(0).to_numpy().astype(np.int64) for c in ("sig", "p", "q")], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1])
+            held = table.slice(cuts[-1])
+            for pairs in pairs_of(table, cuts) if len(cuts) > 1 else ():
+                found.append(pairs)
                 n += len(pairs)
-            if n > 200_000:
-                yield give()
-                found, n = [], 0
+                if n > 200_000:
+                    yield give(found)
+                    found, n = [], 0
+        if held is not None:
+            held = held.combine_chunks()
+            found += pairs_of(held, np.array([0, held.num_rows]))
         if found:
-            yield give()
+            yield give(found)
 
     return run
 
@@ -233,11 +287,11 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row for each document, and the task's share of the sketch (rows with a block of counters)."""
-        table, sketch = _Words(), np.zeros(COUNTERS, dtype=np.int64)
+        sketch = np.zeros(COUNTERS, dtype=np.int64)
         for pdf in batches:
             keys, sizes = [], []
             for text in pdf["text"]:
-                s = shingle_set(text, n, table)
+                s = shingle_set(text, n)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 at = (s >> np.uint64(46)).astype(np.int64)
@@ -271,15 +325,15 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
         Sets whose handles collide are told apart by verification.
         """
-        table, levels, seen = _Words(), sent.value, set()
+        levels, seen = sent.value, set()
         for pdf in batches:
             sigs, handles, n_rows = [], [], 0
             for text in pdf["text"]:
-                s = shingle_set(text, n, table)
+                s = shingle_set(text, n)
                 handle = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[8:], "big", signed=True)
                 if not len(s) or handle in seen:
                     continue
-                if len(seen) >= TABLE_WORDS:
+                if len(seen) >= SEEN_SETS:
                     seen.clear()
                 seen.add(handle)
                 sigs.append(signatures(s, levels, percent))
@@ -296,7 +350,11 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     of_sig = Window.partitionBy("sig")
     shared = signed.withColumn("low", F.min("handle").over(of_sig)).withColumn("high", F.max("handle").over(of_sig)).filter("low <> high").select("sig", "handle").distinct()
     named = sets.select(F.conv(F.hex(F.substring("key", 9, 8)), 16, -10).cast("long").alias("handle"), "id", "size")
-    buckets = stored(shared.join(named.hint("merge"), "handle").select("sig", "id", "size"))
+    rows = stored(shared.join(named.hint("merge"), "handle").select("sig", "id", "size"))
+    # Of buckets with the same members (128 bits of their ids' hashes tell) one is enough.
+    members = rows.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    buckets = stored(rows.join(members.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig").hint("merge"), "sig", "left_semi"))
+    forget(rows)
 
     wanted = buckets.select("id").distinct()
     spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
@@ -307,13 +365,12 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sets and sketches of the texts that pass the filter."""
-        table = _Words()
         for pdf in batches:
             at = pdf["spot"].to_numpy()
             pdf = pdf[(marked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1]
             for begin in range(0, len(pdf), 500):
                 part = pdf.iloc[begin : begin + 500]
-                rows = [shingle_set(t, n, table) for t in part["text"]]
+                rows = [shingle_set(t, n) for t in part["text"]]
                 low = [band_of(least_size(len(r), percent)) for r in rows]
                 made = [[parity_sketch(r, b) for b in range(k, band_of(len(r)) + 1)] for r, k in zip(rows, low, strict=True)]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "key": [xxhash.xxh3_128_digest(r.tobytes()) for r in rows], "tokens": [_long(r) for r in rows], "band": low, "sketches": made})
@@ -333,7 +390,7 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         more = rows.filter("parts > 1").withColumn("at", F.explode(meets)).withColumns({"p": F.col("at.p"), "q": F.col("at.q")})
         dealt = one.unionByName(more.drop("at")).select("sig", "p", "q", "id", "size", "component", "block", "sketch")
         dealt = dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
-        return dealt.mapInPandas(_candidates(percent, every), "a long, b long").distinct()
+        return dealt.mapInArrow(_candidates(percent, every), "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
