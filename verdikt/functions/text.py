@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -14,7 +14,9 @@ HEALTHY_LABEL = "No potential disease detected"
 NON_ENGLISH_SHARE = 0.2
 PAD_SECONDS = 0.5
 CJK_CLASS = "[\\u3000-\\u303F\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uAC00-\\uD7AF\\uFF00-\\uFFEF]"
-LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
+BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+WHITE = "\t\n \x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000" + BREAKS
+QUOTES = "\"'`.*"
 EXPLICIT = r"(?U)(?i:final answer|correct (?:answer|choice|option)|answer)\s*(?i:is)?\s*:?\s*[\(\[]?\*{0,2}([A-Z])\b(?![\w'])"
 ALONE = r"^[\(\[]?\*{0,2}([A-Z])\*{0,2}[\.\):\]]?$"
 PREFIX = r"^[\(\[]?\*{0,2}([A-Z])\*{0,2}[\.\):\]]\s+\S"
@@ -28,7 +30,8 @@ def falsy_or(*texts: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """The text without white space at its ends, Unicode's and the separators 1C to 1F included."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def canonical(text: Column) -> Column:
@@ -70,70 +73,82 @@ def format_lettered_choices(choices: Column) -> Column:
     return F.array_join(F.transform(choices, lambda c, i: F.concat(letter_for_index(i), F.lit(". "), c)), "\n")
 
 
-def _matching(wanted: Column, choices: Column) -> Column:
-    return F.filter(F.transform(choices, lambda c, i: F.when(canonical(c) == wanted, i)), lambda i: i.isNotNull())
+def canonical_choices(choices: Column) -> Column:
+    return F.transform(choices, canonical)
+
+
+def _sought(text: Column) -> Column:
+    """A text as it is compared with canonical choices: quotes, backticks, dots, asterisks, case and spacing aside."""
+    return canonical(F.btrim(strip(text), F.lit(QUOTES)))
+
+
+def _only(sought: Column, canon: Column) -> Column:
+    """Letter of the one canonical choice that equals ``sought``; null where none or several do."""
+    at = F.array_position(canon, sought).cast("int")
+    once = (at > 0) & (F.size(F.array_remove(canon, sought)) == F.size(canon) - 1)
+    return F.when((sought != "") & once, letter_for_index(at - 1))
 
 
 def match_choice_text(text: Column, choices: Column) -> Column:
     """Letter of the one choice that equals the text, quotes, backticks, dots, asterisks, case and spacing aside."""
-    wanted = canonical(F.regexp_replace(strip(text), "^[\"'`.*]+|[\"'`.*]+$", ""))
-    found = _matching(wanted, choices)
-    return F.when((wanted != "") & (F.size(found) == 1), letter_for_index(F.get(found, F.lit(0))))
+    return _only(_sought(text), canonical_choices(choices))
 
 
 def answer_to_letter(answer: Column, choices: Column) -> Column:
     """Letter of the first choice that equals the gold answer; null where none does."""
-    found = _matching(canonical(answer), choices)
-    return F.when(F.size(found) > 0, letter_for_index(F.get(found, F.lit(0))))
+    at = F.array_position(canonical_choices(choices), canonical(answer)).cast("int")
+    return F.when(at > 0, letter_for_index(at - 1))
 
 
 def strip_thinking(text: Column) -> Column:
     """The text without closed reasoning blocks, and without an unclosed one and all that follows."""
+    kept = text
     for pattern in (r"(?is)<think>.*?</think>", r"(?is)<\|channel>thought.*?<channel\|>", r"(?is)<think>.*\z"):
-        text = F.regexp_replace(text, pattern, "")
-    return strip(text)
+        kept = F.regexp_replace(kept, pattern, "")
+    return strip(F.when(text.contains("<"), kept).otherwise(text))
 
 
 def _valid(letter: Column, choices: Column) -> Column:
     return F.when((letter != "") & (F.ascii(letter) - 65 < F.size(choices)), letter)
 
 
-def _first_of(line: Column, choices: Column) -> Column:
+def _leading(line: Column, choices: Column) -> Column:
     return F.coalesce(*[_valid(F.regexp_extract(line, p, 1), choices) for p in (ALONE, PREFIX)])
 
 
-def parse_choice_letter(text: Column, choices: Column) -> Column:
-    """The chosen letter, or null where nothing is unambiguous.
+def with_letter(rows: DataFrame, text: str = "text", choices: str = "choices", out: str = "letter") -> DataFrame:
+    """``rows`` with ``out``: the chosen letter, or null where nothing is unambiguous.
 
     In this order: the last explicit statement with a valid letter; the whole answer, then its first line, equal to one
     choice's text; a letter on the first, then on the last line; the one letter that all answer-shaped lines name. Of
     an answer in tags only the inside counts.
+
+    Projections only, so streams work as well. Each step is a column of its own: an answer is cleaned and a row's
+    choices are made canonical once, and what an earlier stage decides never reaches a later one.
     """
-    shown = strip_thinking(text)
-    shown = F.when(shown.rlike("(?i)<answer>"), strip(F.regexp_extract(shown, r"(?is)<answer>(.*?)(?:</answer>|$)", 1))).otherwise(shown)
-
-    def staged(answer: Column) -> Column:
-        said = F.filter(F.regexp_extract_all(answer, F.lit(EXPLICIT), 1), lambda x: F.ascii(x) - 65 < F.size(choices))
-        lines = F.filter(F.transform(F.split(answer, LINE_BREAK), strip), lambda x: x != "")
-        first, last = F.get(lines, F.lit(0)), F.get(lines, F.size(lines) - 1)
-
-        def named(line: Column) -> Column:
-            letter = _valid(F.regexp_extract(line, WITH_TEXT, 1), choices)
-            return F.coalesce(_valid(F.regexp_extract(line, ALONE, 1), choices), F.when(match_choice_text(F.regexp_extract(line, WITH_TEXT, 2), choices) == letter, letter))
-
-        names = F.array_distinct(F.filter(F.transform(lines, named), lambda x: x.isNotNull()))
-        return F.coalesce(
-            F.get(said, F.size(said) - 1),
-            match_choice_text(answer, choices),
-            match_choice_text(first, choices),
-            _first_of(first, choices),
-            _first_of(last, choices),
-            F.when(F.size(names) == 1, F.get(names, F.lit(0))),
-        )
-
-    # The array makes each stage read the cleaned answer instead of cleaning it again.
-    parsed = F.get(F.transform(F.array(shown), staged), F.lit(0))
-    return F.when((F.coalesce(text, F.lit("")) != "") & (F.size(choices) > 0), parsed)
+    canon, shown, flat, first, last = (F.col(f"_{c}") for c in ("canon", "shown", "flat", "first", "last"))
+    options, said = F.col(choices), F.col("_said")
+    inside = F.when(shown.rlike("(?i)<answer>"), strip(F.regexp_extract(shown, r"(?is)<answer>(.*?)(?:</answer>|$)", 1))).otherwise(shown)
+    valid = F.filter(F.regexp_extract_all(shown, F.lit(EXPLICIT), 1), lambda x: F.ascii(x) - 65 < F.size(options))
+
+    def named(line: Column) -> Column:
+        """The letter that a line names alone or before the text of just that choice."""
+        letter = _valid(F.regexp_extract(line, WITH_TEXT, 1), options)
+        return F.coalesce(_valid(F.regexp_extract(line, ALONE, 1), options), F.when(_only(_sought(F.regexp_extract(line, WITH_TEXT, 2)), canon) == letter, letter))
+
+    names = F.array_distinct(F.filter(F.transform(F.split(flat, "\n"), lambda x: named(strip(x))), lambda x: x.isNotNull()))
+    steps = rows.withColumns({"_shown": strip_thinking(F.col(text)), "_canon": canonical_choices(options)})
+    steps = steps.withColumn("_shown", F.when(shown.contains("<"), inside).otherwise(shown))
+    steps = steps.withColumn("_said", F.when(shown.rlike("(?i)answer|choice|option"), valid))
+    steps = steps.withColumn("_said", F.get(said, F.size(said) - 1)).withColumn("_flat", F.translate(shown, BREAKS, "\n" * len(BREAKS)))
+    steps = steps.withColumns({"_first": strip(F.substring_index(flat, "\n", 1)), "_last": strip(F.substring_index(flat, "\n", -1))})
+    steps = steps.withColumn("_said", F.coalesce(said, F.when(said.isNull(), _only(_sought(shown), canon))))
+    steps = steps.withColumn("_said", F.coalesce(said, F.when(F.contains(flat, F.lit("\n")), _only(_sought(first), canon))))
+    steps = steps.withColumn("_said", F.coalesce(said, _leading(first, options), _leading(last, options)))
+    steps = steps.withColumn("_names", F.when(said.isNull(), names))
+    letter = F.coalesce(said, F.when(F.size("_names") == 1, F.get("_names", F.lit(0))))
+    known = (F.coalesce(F.col(text), F.lit("")) != "") & (F.size(options) > 0)
+    return steps.withColumn(out, F.when(known, letter)).drop("_shown", "_canon", "_said", "_flat", "_first", "_last", "_names")
 
 
 def cjk_share(text: Column) -> Column:

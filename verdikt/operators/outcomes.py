@@ -17,8 +17,7 @@ def pct(condition: Column) -> Column:
 
 def parsed(responses: DataFrame) -> DataFrame:
     """Responses with ``letter``, ``answer`` (text of the choice) and ``non_english``; the text goes no further."""
-    out = responses.withColumn("letter", X.parse_choice_letter(F.col("text"), F.col("choices")))
-    return out.withColumn("answer", X.answer_text(F.col("letter"), F.col("choices"))).withColumn("non_english", X.is_non_english(F.col("text"))).drop("text")
+    return X.with_letter(responses).withColumn("answer", X.answer_text(F.col("letter"), F.col("choices"))).withColumn("non_english", X.is_non_english(F.col("text"))).drop("text")
 
 
 def outcomes(parsed_rows: DataFrame) -> DataFrame:
@@ -151,14 +150,17 @@ def unpermuted(letter: Column, permutation: Column) -> Column:
     return F.when(permutation.isNull(), letter).otherwise(X.letter_for_index(F.get(permutation, X.index_for_letter(letter))))
 
 
-def contrastive_scores(logprobs: DataFrame, alphas: DataFrame) -> DataFrame:
-    """Per item and alpha: score of each letter (real minus alpha times the references' mean) and the best, ties to the first."""
+def contrastive_scores(logprobs: DataFrame, alphas: DataFrame, digits: int = 12) -> DataFrame:
+    """Per item and alpha: score of each letter (real minus alpha times the references' mean) and the best, ties to the first.
+
+    Scores are rounded to ``digits``, so that sums in another order don't break ties.
+    """
     real = F.avg(F.when(F.col("signal") == "real", F.col("logprob")))
     base = F.avg(F.when(F.col("signal") != "real", F.col("logprob")))
     per = logprobs.groupBy("item_id", "letter").agg(real.alias("real"), base.alias("base"))
-    scored = per.crossJoin(F.broadcast(alphas)).withColumn("score", F.col("real") - F.col("alpha") * F.col("base"))
-    best = scored.groupBy("item_id", "alpha").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", "score")))).alias("choice_scores"), F.min_by("letter", F.struct(-F.col("score"), F.col("letter"))).alias("best"))
-    return best
+    scored = per.crossJoin(F.broadcast(alphas)).withColumn("score", F.round(F.col("real") - F.col("alpha") * F.col("base"), digits))
+    entries = F.array_sort(F.collect_list(F.struct("letter", "score")))  # an item's letters
+    return scored.groupBy("item_id", "alpha").agg(F.map_from_entries(entries).alias("choice_scores"), F.min_by("letter", F.struct(-F.col("score"), F.col("letter"))).alias("best"))
 
 
 def mean_of_runs(rows: DataFrame, by: list[str] = ARM) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHOICES = ["A dog barks", "Stuttering", "Speech is too fast", "the first speaker"]
+CHOICES = ["a kettle boils", "Two people whisper", "rain on a tin roof", "the engine stalls"]
 CHINESE = "我认为这段录音里的选项是这个"
 
 RESPONSES = """
@@ -34,12 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers with their texts: model, experiment, run_idx, item_id, category, sub_category, gold, text, choices."""
-    rows = spark.sql(RESPONSES, orders=table(spark, sf_dir, "orders"))
+def responses(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Answers with their texts: model, experiment, run_idx, item_id, category, sub_category, gold, text, choices.
+
+    Items are dealt to tasks by id before each becomes 24 answers, so texts are made and parsed in parallel and what is
+    grouped by item later needs no shuffle. ``more``: further columns of ``RESPONSES`` to keep.
+    """
+    items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    rows = spark.sql(RESPONSES, orders=items)
     choices = F.array(*[F.lit(c) for c in CHOICES])
     said = F.chr(F.lit(65) + F.col("said_idx"))
     texts = [said, F.concat(F.lit("("), said, F.lit(")")), F.concat(F.lit("**"), said, F.lit("**")), F.concat(F.lit("First, it looks odd.\nFinal answer: "), said), F.get(choices, F.col("said_idx"))]
     texts += [F.concat(F.lit("<analysis>A or B.</analysis><answer>"), said, F.lit("</answer>")), F.concat(F.lit("<think>maybe A</think>"), said), F.concat(F.lit("<think>"), said), F.concat(F.lit(CHINESE + "\n"), said), F.lit("It could be A or B")]
     text = F.get(F.array(*texts), F.col("template"))
-    return rows.select("model", "experiment", "run_idx", "item_id", "category", "sub_category", F.chr(F.lit(65) + F.col("gold_idx")).alias("gold"), text.alias("text"), choices.alias("choices"))
+    return rows.select("model", "experiment", "run_idx", "item_id", "category", "sub_category", F.chr(F.lit(65) + F.col("gold_idx")).alias("gold"), text.alias("text"), choices.alias("choices"), *more)

@@ -10,6 +10,7 @@ from ..operators import compare as C
 from ..operators import outcomes as O
 from ..operators import requests as Q
 from ..operators import stats as S
+from ..sources.store import stored
 from . import derived as V
 from . import reports as R
 
@@ -32,6 +33,11 @@ def parsed(s: SparkSession, d: str) -> DataFrame:
     return O.parsed(V.responses(s, d))
 
 
+def parsed_once(s: SparkSession, d: str) -> DataFrame:
+    """Parsed answers for jobs that read them more than once."""
+    return stored(parsed(s, d))
+
+
 def outcomes(s: SparkSession, d: str) -> DataFrame:
     return O.outcomes(parsed(s, d))
 
@@ -54,9 +60,8 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 @query(f"select model, experiment, run_idx, letter, count(*) n, sum(said_idx)::bigint meant from {R_} group by 1, 2, 3, 4")
 def p8_parse_choice_letter(s, d):
     """Letters parsed out of every answer text, counted by arm and run."""
-    rows = V.responses(s, d).withColumn("letter", X.parse_choice_letter(F.col("text"), F.col("choices")))
-    meant = s.sql(V.RESPONSES, orders=V.table(s, d, "orders")).select("model", "experiment", "run_idx", "item_id", "said_idx")
-    return rows.join(meant, ["model", "experiment", "run_idx", "item_id"]).groupBy("model", "experiment", "run_idx", "letter").agg(F.count("*").alias("n"), F.sum("said_idx").alias("meant"))
+    rows = X.with_letter(V.responses(s, d, "said_idx"))
+    return rows.groupBy("model", "experiment", "run_idx", "letter").agg(F.count("*").alias("n"), F.sum("said_idx").alias("meant"))
 
 
 @query(f"select model, template = 6 or template = 7 as had_thinking, count(*) n, sum(case when template = 7 then 0 when template = 6 then 1 else 0 end)::bigint left_over from {R_} group by 1, 2")
@@ -106,9 +111,8 @@ def p11_is_correct(s, d):
 
 def judged(s, d):
     """A judge that reads the intended letter, wrong for some items."""
-    rows = s.sql(V.RESPONSES, orders=V.table(s, d, "orders")).select(*O.RUN, "item_id", "said_idx")
     letter = F.when(F.col("item_id") % 11 == 0, "Unknown").otherwise(F.concat(F.lit(" "), F.chr(F.lit(65) + F.col("said_idx"))))
-    return parsed(s, d).join(rows.select(*O.RUN, "item_id", letter.alias("judged")), [*O.RUN, "item_id"])
+    return O.parsed(V.responses(s, d, "said_idx")).withColumn("judged", letter)
 
 
 J_ = f"(select *, case when item_id % 11 = 0 then 'Unknown' else chr(65 + said_idx) end judged from {R_})"
@@ -237,10 +241,8 @@ def a16_contrastive_scores(s, d):
     rows = o.select("item_id", "i", F.posexplode(F.array(F.lit("real"), F.lit("silence"), F.lit("noise"))).alias("k", "signal"))
     rows = rows.select("item_id", F.chr(F.lit(65) + F.col("i")).alias("letter"), "signal", (-((F.col("item_id") * 7 + F.col("i") * 13 + F.col("k") * 5) % 23) / F.lit(10.0)).alias("logprob"))
     alphas = s.createDataFrame([(0.0,), (0.5,), (1.0,)], "alpha double")
-    per = rows.groupBy("item_id", "letter").agg(F.avg(F.when(F.col("signal") == "real", F.col("logprob"))).alias("real"), F.avg(F.when(F.col("signal") != "real", F.col("logprob"))).alias("base"))
-    scored = per.crossJoin(F.broadcast(alphas)).withColumn("score", F.round(F.col("real") - F.col("alpha") * F.col("base"), 9))
-    best = scored.groupBy("item_id", "alpha").agg(F.min_by(F.struct("letter", "score"), F.struct(-F.col("score"), F.col("letter"))).alias("b"))
-    return best.select("item_id", "alpha", F.col("b.letter").alias("best"), F.round("b.score", 6).alias("score"))
+    best = O.contrastive_scores(rows, alphas, digits=9)
+    return best.select("item_id", "alpha", "best", F.round(F.element_at("choice_scores", F.col("best")), 6).alias("score"))
 
 
 @query(f"select model, experiment, avg(acc) mean_accuracy_pct, count(*) runs from (select model, experiment, run_idx, {PCT.format('correct')} acc from {O_} group by 1, 2, 3) group by 1, 2")
@@ -252,7 +254,17 @@ SPLIT = f"(select item_id, case when correct then 'transcript_solvable' else 'au
 
 
 def split(s, d):
-    return C.subset_split(majority(s, d).filter("model = 'm1' and experiment = 't3'"))
+    return control_split(majority(s, d))
+
+
+def control_split(rows: DataFrame) -> DataFrame:
+    return C.subset_split(rows.filter("model = 'm1' and experiment = 't3'"))
+
+
+def scores(s, d) -> DataFrame:
+    """Accuracy overall and in both subsets, from majorities that are made once."""
+    rows = stored(majority(s, d))
+    return C.subset_scores(rows, control_split(rows))
 
 
 @query(f"select * from {SPLIT}")
@@ -265,7 +277,7 @@ SUBSETS = f"(select model, experiment, count(*) n, {PCT.format('correct')} acc,
 
 @query(f"select s.*, s.acc - b.acc d_acc, s.acc_ts - b.acc_ts d_ts, s.acc_ad - b.acc_ad d_ad from {SUBSETS} s left join (select * from {SUBSETS} where experiment = 'baseline') b using (model)")
 def a24_subset_scores(s, d):
-    return C.deltas(C.subset_scores(majority(s, d), split(s, d)), ["acc", "acc_ts", "acc_ad"])
+    return C.deltas(scores(s, d), ["acc", "acc_ts", "acc_ad"])
 
 
 @query("select o_orderpriority subset, avg(1.0 / (2 + o_orderkey % 3)) * 100 chance_pct, count(*) n from orders group by rollup (o_orderpriority)")
@@ -284,7 +296,7 @@ TWO = f"(select a.correct x, b.correct y from {M_} a join {M_} b using (item_id)
 
 @query(f"select count(*) filter (x and y) \"both\", count(*) filter (x and not y) only_a, count(*) filter (not x and y) only_b, count(*) filter (not x and not y) neither, {PCT.format('(x or y)')} either_pct from {TWO}")
 def a27_fusion_bound(s, d):
-    m = majority(s, d)
+    m = stored(majority(s, d))
     return C.fusion_bound(m.filter("model = 'm1' and experiment = 'baseline'"), m.filter("model = 'm2' and experiment = 't1'"))
 
 
@@ -362,7 +374,7 @@ def h6_above_chance(s, d):
 @query(f"""with s as {SUBSETS}, x as (select * from s where experiment <> 'baseline')
 select model, (arg_min(experiment, (-acc, experiment))) best, max(acc) best_acc, arg_min(experiment, (acc, experiment)) worst, min(acc) worst_acc, max(acc) - min(acc) "range" from x group by 1""")
 def t1_best_worst(s, d):
-    return C.best_worst(C.subset_scores(majority(s, d), split(s, d)))
+    return C.best_worst(scores(s, d))
 
 
 @query("with a as (select distinct o_orderstatus model, o_orderpriority || '-' || o_custkey experiment from orders) select experiment from a group by 1 having count(*) = (select count(distinct model) from a)")
@@ -400,25 +412,26 @@ R1_ROUND = [f"{c}{x}" for c in ("acc", "d", "p") for x in ("", "_ts", "_ad")] +
 @query(R1_SQL.replace("select e.* replace", "select model, experiment, e.* exclude (model, experiment) replace"))
 def r1_choice_summary(s, d):
     """Which technique beats its model's baseline, overall and on both subsets."""
-    return rounded(R.choice_summary(parsed(s, d)), *R1_ROUND)
+    return rounded(R.choice_summary(parsed_once(s, d)), *R1_ROUND)
 
 
 @query(f"select model, experiment, item_id, correct, subset, category layer, o_orderstatus sub_category from {M_} left join {SPLIT} using (item_id) left join orders on o_orderkey = item_id")
 def r2_item_table(s, d):
     items = V.table(s, d, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("sub_category"))
-    return R.item_table(majority(s, d), split(s, d), items)
+    rows = stored(majority(s, d))
+    return R.item_table(rows, control_split(rows), items)
 
 
 @query()
 def r3_balanced_summary(s, d):
-    return R.balanced_summary(majority(s, d))
+    return R.balanced_summary(stored(majority(s, d)))
 
 
 @query(f"""with g as (select list_extract({V.CHOICES!r}, (o_orderkey % 4 + 1)::int) answer, count(*) / sum(count(*)) over () * 100 truth_pct from orders group by 1), c as (select model, answer, share_pct control_pct from {DIST} where experiment = 't1')
 select model, experiment, answer, round(share_pct, 6) share_pct, round(truth_pct, 6) truth_pct, round(control_pct, 6) control_pct from {DIST} left join g using (answer) left join c using (model, answer)""")
 def r4_answer_shares(s, d):
     gold = V.table(s, d, "orders").select(F.get(F.array(*[F.lit(c) for c in V.CHOICES]), (F.col("o_orderkey") % 4).cast("int")).alias("answer"))
-    return rounded(R.answer_shares(parsed(s, d), gold), "share_pct", "truth_pct", "control_pct")
+    return rounded(R.answer_shares(parsed_once(s, d), gold), "share_pct", "truth_pct", "control_pct")
 
 
 @query(f"""with j as (select experiment, count(*) n, {PCT.format('a.correct')} score_a, {PCT.format('b.correct')} score_b, count(*) filter (b.correct and not a.correct) won, count(*) filter (a.correct and not b.correct) lost from {M_} a join {M_} b using (experiment, item_id) where a.model = 'm1' and b.model = 'm2' group by 1),
@@ -427,34 +440,35 @@ t as (select * from {DIST} qualify row_number() over (partition by model, experi
 select experiment, r.n, round(score_a, 6) score_a, round(score_b, 6) score_b, won, lost, round(delta, 6) delta, round(p, 6) p, round(max(least(1.0, (m - k + 1) * p)) over (order by p, k rows unbounded preceding), 6) holm, round(x.share_pct, 6) top_pct_a, round(f.e, 6) non_english_a, round(y.share_pct, 6) top_pct_b, round(g.e, 6) non_english_b
 from r join t x using (experiment) join l f using (experiment) join t y using (experiment) join l g using (experiment) where x.model = 'm1' and f.model = 'm1' and y.model = 'm2' and g.model = 'm2'""")
 def r5_compare_models(s, d):
-    return rounded(R.compare_models(parsed(s, d), "m1", "m2"), "score_a", "score_b", "delta", "p", "holm", "top_pct_a", "non_english_a", "top_pct_b", "non_english_b")
+    return rounded(R.compare_models(parsed_once(s, d), "m1", "m2"), "score_a", "score_b", "delta", "p", "holm", "top_pct_a", "non_english_a", "top_pct_b", "non_english_b")
 
 
 @query()
 def r6_compare_runs(s, d):
-    return R.compare_runs(outcomes(s, d), split(s, d))
+    rows = stored(outcomes(s, d))
+    return R.compare_runs(rows, control_split(O.majority_correct(rows)))
 
 
 @query(f"""with s as {SUBSETS}, x as (select * from s where experiment <> 'baseline'), b as (select model, acc baseline_acc, acc_ad baseline_ad from s where experiment = 'baseline')
 select model, arg_min(experiment, (-acc, experiment)) best, max(acc) best_acc, arg_min(experiment, (acc, experiment)) worst, min(acc) worst_acc, max(acc) - min(acc) "range", any_value(baseline_acc) baseline_acc, any_value(baseline_ad) baseline_ad from x join b using (model) group by 1""")
 def r7_scaling_table(s, d):
-    scores = C.subset_scores(majority(s, d), split(s, d))
-    return R.scaling_table(scores, scores)
+    per = scores(s, d)
+    return R.scaling_table(per, per)
 
 
 @query(f"select experiment, model, x.s subset, greatest(-20.0, least(20.0, case when x.s = 'ts' then d_ts else d_ad end)) delta, case when x.s = 'ts' then p_ts else p_ad end < 0.05 significant from ({R1_SQL}) cross join (select 'ts' s union all select 'ad') x where d is not null")
 def r8_technique_matrix(s, d):
-    return R.technique_matrix(rounded(R.choice_summary(parsed(s, d)), *R1_ROUND))
+    return R.technique_matrix(rounded(R.choice_summary(parsed_once(s, d)), *R1_ROUND))
 
 
 @query(f"select model, a.acc_ts ts_with, a.acc_ad ad_with, b.acc_ts ts_without, b.acc_ad ad_without, a.acc_ts - b.acc_ts d_ts, a.acc_ad - b.acc_ad d_ad from {SUBSETS} a join {SUBSETS} b using (model) where a.experiment = 't2' and b.experiment = 't1'")
 def r9_modality_ablation(s, d):
-    return R.modality_ablation(C.subset_scores(majority(s, d), split(s, d)), "t2", "t1")
+    return R.modality_ablation(scores(s, d), "t2", "t1")
 
 
 @query(f"select model, experiment, row_number() over (partition by model order by size desc, experiment) \"rank\", round(size, 5) size from (select model, experiment, abs(coalesce(d_ts, 0)) + abs(coalesce(d_ad, 0)) size from ({R1_SQL}) where d is not null) qualify row_number() over (partition by model order by size desc, experiment) <= 2")
 def t2_extreme_techniques(s, d):
-    return R.extreme_techniques(rounded(R.choice_summary(parsed(s, d)), *R1_ROUND), 2).withColumn("size", F.round("size", 5))
+    return R.extreme_techniques(rounded(R.choice_summary(parsed_once(s, d)), *R1_ROUND), 2).withColumn("size", F.round("size", 5))
 
 
 @query("""with v as (select o_orderkey k, x.v, list_transform(range(4), lambda i: i) p from orders cross join (select unnest(range(3)) v) x) select k item_id, v::int variant_idx, 4 n_choices, true contract from v""")

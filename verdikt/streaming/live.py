@@ -10,8 +10,7 @@ from ..functions import text as X
 
 def scored_stream(answers: DataFrame) -> DataFrame:
     """Letter and correctness of streamed answers (text, choices, gold)."""
-    letter = X.parse_choice_letter(F.col("text"), F.col("choices"))
-    return answers.withColumn("letter", letter).withColumn("correct", F.col("letter").eqNullSafe(F.col("gold")))
+    return X.with_letter(answers).withColumn("correct", F.col("letter").eqNullSafe(F.col("gold")))
 
 
 def running_accuracy(scored: DataFrame, at: str = "arrived", late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
