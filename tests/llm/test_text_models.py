@@ -105,9 +105,19 @@ def test_language_model_counts_and_normalisation(spark):
     want = sorted((i or -1, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 5)) for i, t in rows)
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 5)) for r in got) == want
     assert {r.train_tokens for r in got} == {n} and held.count()
-    t = model[0].tables
+    t, v = model[0].tables, model[0].words
     p = np.exp(t.one[:, None, :] + t.two[None, :, :] + t.bias - t.norm[:, :, None]).sum(axis=2)
     assert np.allclose(p, 1.0, atol=1e-3)
+    inner = np.exp(t.before @ t.word.T + t.word_bias - t.word_norm[:, v.slot_class])
+    assert np.allclose(np.add.reduceat(inner, v.first[:-1], axis=1), 1.0, atol=1e-3)
+    # what a rest slot's words share: their smoothed counts and one for all words never seen
+    inside = {k for k, r in zip(v.hashes.tolist(), v.ranks.tolist(), strict=True) if 0 <= r < L.VECTOR_WORDS}
+    left = Counter()
+    for w, x in c.items():
+        key = int(L.word_keys(w)[0]) if w else None
+        if w and key not in inside:
+            left[key & 63] += x + 1
+    assert np.allclose(10 ** model[0].tail_log, [left[e] + 1 for e in range(L.ENDINGS)])
 
 
 def test_language_model_beats_counts_and_empty_training(spark):
@@ -117,6 +127,36 @@ def test_language_model_beats_counts_and_empty_training(spark):
     df = spark.createDataFrame([(k, make()) for k in range(200)], SCHEMA)
     got = L.score_texts(df.filter("doc_id >= 150"), L.train(df.filter("doc_id < 150"))).collect()
     assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
+def test_word_model_learns_pairs_by_sampled_noise():
+    """Inside one ending class, the word before says which word follows."""
+    r = np.random.default_rng(5)
+    keys = np.arange(1, L.HEAD + 40, dtype=np.uint64) << np.uint64(6)
+    v = L.vocabulary(keys, np.full(len(keys), 50), np.ones(L.ENDINGS))
+    slots = np.arange(40)
+    pairs = np.sort(np.concatenate([slots * len(v.mass) + slots, r.integers(0, 40, 40) * len(v.mass) + slots]))
+    at, n = np.unique(pairs, return_counts=True)
+    p = L.initial(np.full(L.CLASSES, 1 / L.CLASSES), v)
+    for k in range(60):
+        p = L.contrast_words(p, at, n * np.where(at // len(v.mass) == at % len(v.mass), 40.0, 1.0), v, seed=k)
+    t = L.tables(p, v)
+    own = t.before[slots] @ t.word[slots].T + t.word_bias[slots] - t.word_norm[slots, :1]
+    assert np.exp(np.diag(own)).mean() > 0.5
+
+
+def test_word_keys_and_counts():
+    seen = L.Counted()
+    words = ["The", "end", "of", "THE", "a", "é", "end"]
+    seen.add(L.word_keys(" ".join(words)))
+    seen.add(L.word_keys("the\n"))
+    keys, counts = seen.settle()
+    assert len(keys) == 5 and counts.sum() == 8 and counts[keys == L.word_keys("the")[0]] == [3] and not len(L.word_keys(None))
+    assert L.word_keys("xend")[0] & np.uint64(63) == L.word_keys("end")[0] & np.uint64(63)
+
+
+def test_empty_training_gives_defined_scores(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA)
     none = L.score_texts(df.limit(2), L.train(df.limit(0))).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and r.score < 0 for r in none)
 

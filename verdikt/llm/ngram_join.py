@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, forget, stored
+from .words import MIX, hashes_of, mixed
 
 #: Counters of the sketch (a power of two) and the fullest that are still rare. As a corpus fills the counters, fewer
 #: tokens are rare and more go into pairs, which stay selective; the order keeps apart what exceeds chance.
@@ -47,66 +48,18 @@ LEVELS = 15
 SMALL = 32
 #: Sets that a task remembers, so as to sign equal ones once.
 SEEN_SETS = 100_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
 SALT = 0x2545F4914F6CDD1D
 
 
-#: Bytes hashed at once; longer texts go in pieces that end between words.
-PIECE = 1 << 20
-_rng = np.random.default_rng(20)
-#: A number for each byte, and the powers of an odd base and of its inverse (modulo 2^64) by position.
-_CODE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
-_powers: list[np.ndarray] = []
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers 0 to ``n`` at least, of the base and of its inverse."""
-    if not _powers or len(_powers[0]) <= n:
-        size = 1 << max(12, n.bit_length())
-        grow = lambda base: np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size, base, dtype=np.uint64)]), dtype=np.uint64)
-        _powers[:] = [grow(_BASE), grow(pow(_BASE, -1, 1 << 64))]
-    return _powers
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word (A-Z lower-cased, split at ASCII white space): a polynomial in its bytes, from running sums."""
-    raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
-    gap = np.concatenate([[True], _SPACE[raw], [True]])
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    begin, end = edge[::2], edge[1::2]
-    up, down = _powers_to(len(raw))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_CODE[raw] * up[: len(raw)], dtype=np.uint64)])
-    return _mixed((sums[end] - sums[begin]) * down[begin])
-
-
-def _pieces(data: bytes) -> Iterator[bytes]:
-    at = 0
-    while len(data) - at > PIECE:
-        cut = at + PIECE
-        while cut < len(data) and not _SPACE[data[cut]]:
-            cut += 1
-        yield data[at:cut]
-        at = cut
-    yield data[at:]
-
-
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of all ``n``-word sequences (A-Z lower-cased, ASCII white space); the whole text if shorter."""
-    h = np.concatenate([word_hashes(x) for x in _pieces((text or "").encode())])
+    h = hashes_of(text)
     if not len(h):
         return h
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
-        out = _mixed(out * MIX + h[i : len(h) - k + 1 + i])
+        out = mixed(out * MIX + h[i : len(h) - k + 1 + i])
     out.sort()
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
@@ -145,9 +98,9 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarr
         salt = np.uint64((SALT * (2 * band + 5)) & 0xFFFFFFFFFFFFFFFF)
         mark = lambda sigs, band=band: sigs & ~np.uint64(31) | np.uint64(band + 1)
         if band < 0:
-            out.append(mark(_mixed(ordered[: missing + 1] ^ salt)))
+            out.append(mark(mixed(ordered[: missing + 1] ^ salt)))
             continue
-        out.append(mark(_mixed(ordered[: min(n_rare, missing + 1)] ^ salt)))
+        out.append(mark(mixed(ordered[: min(n_rare, missing + 1)] ^ salt)))
         need = missing + 1 - n_rare  # tokens that aren't the first of their class
         if need <= 0:
             continue
@@ -165,7 +118,7 @@ def signatures(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarr
         rest, kind = rest[by], kind[by]
         step = 1
         while step < len(rest) and (same := kind[step:] == kind[:-step]).any():
-            out.append(mark(_mixed(_mixed(rest[:-step][same] ^ salt) * MIX + rest[step:][same])))
+            out.append(mark(mixed(mixed(rest[:-step][same] ^ salt) * MIX + rest[step:][same])))
             step += 1
     return np.concatenate(out)
 
