@@ -271,3 +271,81 @@ def test_warc_headers_of_any_length(spark, tmp_path):
     assert [(r.get("page_id"), r.get("uri")) for r in W.salvage(b"".join(plain))] == [(k, u) for k, u, _ in pages]
     hurt = list(W.salvage(plain[0][:-30] + b"!" + plain[0][-29:] + plain[1] + plain[2]))
     assert [r.get("page_id") for r in hurt] == [None, 2, 3] and hurt[0]["stop"] == len(plain[0])
+
+
+def page_record(k, extra=b""):
+    body = f"page {k} ".encode() * 40 + extra
+    return W.record(k, f"u{k}", body, hashlib.sha1(body).hexdigest(), None)
+
+
+def ids(rows):
+    return [r["page_id"] for r in rows if not r.get("gap")]
+
+
+def test_salvage_inside_a_member():
+    """One flipped byte in a member of five records costs one of them, whatever else the member's check says."""
+    plain = [page_record(k) for k in range(5)]
+    inner = bytearray(b"".join(plain))
+    inner[len(plain[0]) + len(plain[1]) + len(plain[2]) - 40] ^= 1
+    stored_only = zlib.compressobj(0, zlib.DEFLATED, 31)
+    data = stored_only.compress(bytes(inner)) + stored_only.flush()
+    good = zlib.compressobj(0, zlib.DEFLATED, 31)
+    whole = good.compress(b"".join(plain)) + good.flush()
+    hurt = bytearray(whole)
+    hurt[whole.index(b"page 2 page 2") + 50] ^= 1  # now the member's own CRC fails as well
+    for broken in (data, bytes(hurt)):
+        got = list(W.salvage(broken + W.member(page_record(9))))
+        assert ids(got) == [0, 1, 3, 4, 9] and [r["gap"] for r in got if r.get("gap")] == ["block digest differs"]
+        gap = next(r for r in got if r.get("gap"))
+        assert (gap["inner_start"], gap["inner_stop"]) == (len(plain[0] + plain[1]), len(b"".join(plain[:3]))) and gap["stop"] == len(broken)
+    cut = list(W.salvage(whole[: len(whole) - len(plain[4]) - 30] + W.member(page_record(9))))
+    assert ids(cut) == [0, 1, 2, 9] or ids(cut) == [0, 1, 2, 3, 9]
+    assert ids(W.salvage(whole[: len(plain[0]) + 40])) == [0]
+
+
+def test_salvage_does_not_take_payload_for_records():
+    outer = page_record(1, page_record(77))
+    hurt = outer.replace(b"page 1 page 1", b"page 1 pagE 1", 1)
+    got = list(W.salvage(page_record(0) + hurt + page_record(2)))
+    assert ids(got) == [0, 2] and [r["stop"] - r["start"] for r in got if r.get("gap")] == [len(hurt)]
+    short = hurt.replace(b"Content-Length: ", b"Content-Length: 9", 2)  # the length can't be believed: embedded text is found and marked
+    assert [(r["page_id"], r["embedded"]) for r in W.salvage(page_record(0) + short + page_record(2)) if not r.get("gap")][0] == (0, False)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.booleans(), st.integers(1, 4))
+def test_salvage_recovers_what_is_not_hurt(seed, packed, per):
+    r = random.Random(seed)
+    parts = [b"".join(page_record(10 * k + j) for j in range(per)) for k in range(5)]
+    files = [W.member(p) if packed else p for p in parts]
+    at = r.randrange(5)
+    hurt = bytearray(files[at])
+    hurt[r.randrange(12, len(hurt))] ^= 1 << r.randrange(8)
+    data = b"".join(files[:at]) + bytes(hurt) + b"".join(files[at + 1 :])
+    got = list(W.salvage(data))
+    found = [k for k in ids(got) if k is not None]  # a hurt header may have lost the id
+    want = [10 * k + j for k in range(5) for j in range(per)]
+    assert [k for k in want if k // 10 != at] == [k for k in found if k // 10 != at] and len(set(found)) == len(found) and set(found) <= set(want)
+    spans = sorted({(x["start"], x["stop"]) for x in got})
+    assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_damaged_files_are_read_by_spark(spark, tmp_path):
+    (tmp_path / "part-1.warc.gz").write_bytes(W.member(page_record(1)) + b"junk" + W.member(page_record(2)))
+    (tmp_path / "part-2.warc").write_bytes(page_record(3) + page_record(4)[:-9])
+    rows = W.read_warc(spark, str(tmp_path)).orderBy("path", "start").collect()
+    assert [r.page_id for r in rows] == [1, None, 2, 3, None] and [r.gap for r in rows if r.gap] == ["no header", "length does not fit"]
+    assert rows[0].payload.startswith(b"page 1") and rows[1].stop - rows[1].start == 4
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(W, "LONG_BYTES", 5_000)
+    r = random.Random(8)
+    text = lambda n: "".join(chr(r.randrange(33, 126)) for _ in range(n))
+    pages = [(k, f"u{k}", text(30_000 if k % 40 == 0 else 900)) for k in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    W.write_warc(df, str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < 40_000 and len(sizes) < 60
+    assert {x.page_id: x.payload.decode() for x in W.read_warc(spark, str(tmp_path / "w")).collect()} == {k: h for k, _, h in pages}
