@@ -86,29 +86,48 @@ def test_contrastive_scores(spark):
     assert {r.alpha: r.best for r in best.collect()} == {0.0: "A", 1.0: "B"}
 
 
-def test_knn_rules(spark):
-    v = [("eval0", [1.0, 0.0], "x"), ("eval1", [0.0, 1.0], "y"), ("demo0", [1.0, 0.1], "x"), ("demo1", [0.1, 1.0], "y"), ("bad", [0.0, 0.0], "x")]
-    good, bad = K.usable_vectors(spark.createDataFrame(v, "item_id string, embedding array<double>, label string"))
-    assert [r.item_id for r in bad.collect()] == ["bad"]
-    pool = good.filter("item_id like 'demo%'")
-    dups = spark.createDataFrame([("eval0", "demo0")], "left_id string, right_id string")
-    got = K.knn(good, pool, dups, 5)
-    by = {(r.item_id, r.rank): r.neighbor_id for r in got.collect()}
-    assert by == {("eval0", 1): "demo1", ("eval0", 2): "demo0", ("eval1", 1): "demo1", ("eval1", 2): "demo0"}
+def test_knn_ranks_duplicates_last(spark):
+    rows = [("north", [0.0, 3.0], "cold"), ("east", [2.0, 0.0], "mild"), ("northeast", [1.0, 1.0], "mild"), ("south", [0.0, -1.0], "warm"), ("p1", [0.1, 1.0], "cold"), ("p2", [1.0, 0.2], "mild"), ("p3", [-0.1, -1.0], "hot"), ("zero", [0.0, 0.0], "none"), ("gone", None, "none")]
+    good, bad = K.usable_vectors(spark.createDataFrame(rows, "item_id string, embedding array<double>, label string"))
+    assert {r.item_id for r in bad.collect()} == {"zero", "gone"}
+    pool = good.filter("item_id like 'p_'")
+    same = spark.createDataFrame([("north", "p1"), ("south", "p3")], "left_id string, right_id string")
+    got = K.knn(good, pool, same, 3)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.item_id, {})[r["rank"]] = r.neighbor_id
+    assert {q: [v[k] for k in sorted(v)] for q, v in by.items()} == {"north": ["p2", "p3", "p1"], "east": ["p2", "p1", "p3"], "northeast": ["p2", "p1", "p3"], "south": ["p2", "p1", "p3"]}
+    assert {r.item_id for r in K.knn(good, pool, same, 3, drop_duplicates=True).filter("neighbor_id = 'p3'").collect()} == {"north", "east", "northeast"}
     vote = K.knn_vote(got.filter("rank = 1"), good.select("item_id", "label"))
-    assert vote.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0] == 0.5
-
-
-def test_near_duplicate_signals(spark):
-    r = np.random.default_rng(0)
-    source = r.standard_normal(4000)
-    a, b, c, short = U.Signal(source[:2000]), U.Signal(source[800:2800]), U.Signal(r.standard_normal(2000)), U.Signal(source[1900:3900])
-    assert U.best_correlation(a, a, 1000) == pytest.approx(1.0)
-    assert U.best_correlation(a, b, 1000) > 0.8 and U.best_correlation(a, c, 1000) < 0.2 and U.best_correlation(a, short, 1000) < 0.2
-    brute = max(np.corrcoef(a.x[max(0, g) : min(2000, 2000 + g)], c.x[max(0, -g) : min(2000, 2000 - g)])[0, 1] for g in range(-1000, 1001))
-    assert U.best_correlation(a, c, 1000) == pytest.approx(brute, abs=1e-9)
-    df = spark.createDataFrame([("a", a.x.tolist()), ("b", b.x.tolist()), ("c", c.x.tolist()), ("n", None)], "item_id string, samples array<double>")
-    assert {(x.left_id, x.right_id) for x in U.near_duplicates(df, 1000).collect()} == {("a", "b"), ("b", "a")}
+    assert {r.item_id: r.predicted for r in vote.collect()} == dict.fromkeys(("north", "east", "northeast", "south"), "mild")
+
+
+def test_best_correlation_equals_brute_force():
+    r = np.random.default_rng(6)
+    wave = np.cumsum(r.standard_normal(300))
+    signals = [wave[:120], wave[60:200], -wave[10:110], r.standard_normal(90), np.full(50, 2.0), wave[:20]]
+    block = U.Block(signals)
+    for shared in (1, 12, 60, 130):
+        got = U.against(block, 0, block, np.arange(len(signals)), shared)
+        for x, c in zip(signals, got, strict=True):
+            a, best = signals[0], -np.inf
+            for lag in range(-len(x) + 1, len(a)):
+                i, j = max(0, lag), min(len(a), len(x) + lag)
+                if j - i >= max(shared, 2) and a[i:j].std() > 1e-9 and x[i - lag : j - lag].std() > 1e-9:
+                    best = max(best, np.corrcoef(a[i:j], x[i - lag : j - lag])[0, 1])
+            if shared >= 12:
+                assert c == pytest.approx(best if best > -np.inf else 0.0, abs=1e-6)
+
+
+def test_cut_signals_are_found(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    whole = [np.cumsum(r.standard_normal(900)) for _ in range(9)]
+    rows = [(k, w[:700].tolist()) for k, w in enumerate(whole)] + [(100, whole[4][150:].tolist()), (101, None), (102, [1.0])]
+    df = spark.createDataFrame(rows, "item_id long, samples array<double>")
+    found = {(x.left_id, x.right_id): x.corr for x in U.near_duplicates(df, 500, 0.99).collect()}
+    assert set(found) == {(4, 100), (100, 4)} and found[(4, 100)] == pytest.approx(1.0)
+    monkeypatch.setattr(U, "BLOCK_SAMPLES", 1000)
+    assert {(x.left_id, x.right_id) for x in U.near_duplicates(df, 500, 0.99).collect()} == set(found)
 
 
 RATE = 4000
@@ -123,29 +142,43 @@ def tone(seconds, *parts):
     return x + 1e-4 * np.random.default_rng(1).standard_normal(len(t))
 
 
-def test_signal_events():
-    w = G.wheezes(tone(2, (400, 0.8, 0.3)), RATE)
-    assert len(w) == 1 and w[0]["kind"] == "monophonic" and abs(w[0]["tones"][0] - 400) < 20
-    assert G.wheezes(tone(2, (350, 0.8, 0.4), (620, 0.8, 0.4)), RATE)[0]["kind"] == "polyphonic"
+def clips_of(spark, **signals):
+    return spark.createDataFrame([(k, RATE, None if v is None else [float(x) for x in v]) for k, v in signals.items()], "item_id string, sample_rate int, samples array<double>")
+
+
+def test_tones_and_transients(spark):
     noise = np.fft.rfft(0.1 * np.random.default_rng(0).standard_normal(5 * RATE))
     hz = np.fft.rfftfreq(5 * RATE, 1 / RATE)
     noise = np.fft.irfft(np.where((hz > 100) & (hz < 1800), noise, 0))  # the detectors start from filtered signals
-    assert G.wheezes(noise, RATE) == [] and G.crackles(noise, RATE) == []
-    x = 1e-3 * np.random.default_rng(4).standard_normal(4 * RATE)
-    for k in range(5):
-        at = int((2.2 + 0.06 * k) * RATE)
-        x[at : at + 20] += np.hanning(20) * np.sin(2 * np.pi * 500 * np.arange(20) / RATE)
-    assert len(G.crackles(x, RATE)) == 5 and G.evidence(np.zeros(RATE), RATE)["adventitious_summary"] == G.NO_EVENTS
+    clicks = 1e-3 * np.random.default_rng(4).standard_normal(3 * RATE)
+    for at in (6000, 6300, 6600, 9000):
+        clicks[at : at + 24] += np.hanning(24) * np.cos(2 * np.pi * 600 * np.arange(24) / RATE)
+    df = clips_of(spark, one=tone(1.5, (520, 0.4, 0.5)), two=tone(1.5, (300, 0.2, 0.6), (700, 0.2, 0.6)), noise=noise, clicks=clicks, short=[1.0, 2.0])
+    tonal = {r.item_id: r for r in G.detect_wheezes(df).collect()}
+    assert set(tonal) == {"one", "two"} and tonal["one"].kind == "monophonic" and abs(tonal["one"].tones[0] - 520) < 20
+    assert tonal["two"].kind == "polyphonic" and abs(tonal["one"].start_s - 0.4) < 0.07 and abs(tonal["one"].end_s - 0.9) < 0.07
+    assert sorted(round((r.start_s + r.end_s) / 2 * RATE, -2) for r in G.detect_crackles(df.filter("item_id in ('clicks', 'noise', 'short')")).collect()) == [6000, 6300, 6600, 9000]
+
+
+def test_cycles_and_their_text(spark):
     t = np.arange(20 * RATE) / RATE
     breath = np.random.default_rng(5).standard_normal(len(t)) * (0.1 + np.sin(np.pi * 0.3 * t) ** 2)
-    spans = G.cycles(breath, RATE)
-    assert 60 * len(spans) / (spans[-1][1] - spans[0][0]) == pytest.approx(18, abs=1.5)
+    for k in range(3):
+        breath[int(8.3 * RATE) + 250 * k] += 60
+    df = clips_of(spark, breath=breath, silent=np.zeros(RATE), bad=[0.0, float("nan")], none=None, empty=[])
+    spans = G.segment_cycles(df).orderBy("start_s").collect()
+    assert 60 * len(spans) / (spans[-1].end_s - spans[0].start_s) == pytest.approx(18, abs=1.5)
+    got = {r.item_id: r for r in G.clip_evidence(df).collect()}
+    assert len(got) == 5 and got["bad"].error and got["none"].error and got["none"].cycles_summary is None
+    assert got["silent"].adventitious_summary == G.NO_EVENTS and got["empty"].cycles_summary == G.NO_CYCLES
+    assert got["breath"].cycles_summary.startswith("Respiratory rate ~18/min over 4 segmented cycles; mean cycle length 3.3 s; inspiration:expiration ~1:")
+    lines = got["breath"].adventitious_summary.split("\n")
+    assert "3 fine crackle-like transients in the" in lines[0] and lines[0].startswith("Cycle ") and lines[-1] == "Total: 0 wheeze-like events, 3 crackle-like transients (0.8 per cycle)."
 
 
-def test_clip_evidence_keeps_failures(spark):
-    df = spark.createDataFrame([("a", 100, [0.0] * 300), ("b", 100, None), ("c", 100, [1.0, None]), ("d", 100, [])], "item_id string, sample_rate int, samples array<double>")
-    got = {r.item_id: r.error for r in G.clip_evidence(df).collect()}
-    assert got["a"] is None and got["d"] is None and got["b"] and got["c"]
+def test_bytes_are_samples(spark):
+    df = spark.createDataFrame([(1, RATE, bytearray(b"ab" * 900))], "item_id long, sample_rate int, samples binary")
+    assert G.clip_rows(df).filter("part = 'clip'").first().end_s == 0.45
 
 
 def test_speakers_and_lines(spark):
@@ -186,3 +219,19 @@ def test_degenerate_and_scores(spark):
     df = spark.createDataFrame([("same",)] * 6 + [(str(k),) for k in range(5)], "t string")
     assert D.degenerate_text(df, "t").first().rejected and not D.degenerate_text(df.limit(9), "t").first().rejected
     assert math.isclose(S.above_chance(spark.createDataFrame([("g", True)] * 3, "g string, correct boolean"), ["g"], F.lit(2)).first().p, 0.125)
+
+
+def test_chance_over_mixed_options_is_exact():
+    want = 0.0
+    for hits in np.ndindex(4, 3):  # 3 items with 2 options, 2 items with 5
+        mass = math.comb(3, hits[0]) * 0.5**3 * math.comb(2, hits[1]) * 0.2 ** hits[1] * 0.8 ** (2 - hits[1])
+        want += mass if sum(hits) >= 3 else 0.0
+    assert S.chance_p([(2, 3), (5, 2)], 3) == pytest.approx(want) and S.chance_p([(1, 4)], 4) == 1.0 and S.chance_p([(4, 9)], 0) == pytest.approx(1.0)
+    assert 0 < S.chance_p([(2, 200_000), (4, 100_000)], 126_000) < 1e-3
+
+
+def test_missing_baseline_raises(spark):
+    arms = spark.createDataFrame([("a", "baseline"), ("a", "x"), ("b", "x")], "model string, experiment string")
+    assert [r.experiment for r in C.experiments_run_by_all(arms, None).collect()] == ["x"]
+    with pytest.raises(ValueError):
+        C.experiments_run_by_all(arms)

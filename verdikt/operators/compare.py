@@ -80,11 +80,13 @@ def items_in_all_runs(rows: DataFrame) -> DataFrame:
     return seen.crossJoin(F.broadcast(n)).filter(F.col("seen") == F.col("all")).select("item_id")  # n is one row
 
 
-def experiments_run_by_all(arms: DataFrame, baseline: str = "baseline") -> DataFrame:
-    """Experiments that every model ran. Raises if the baseline isn't among them."""
+def experiments_run_by_all(arms: DataFrame, baseline: str | None = "baseline") -> DataFrame:
+    """Experiments that every model ran. Raises if ``baseline`` (None: no matter) isn't among them."""
     arms = arms.select("model", "experiment").distinct()
     n = arms.select("model").distinct().agg(F.count("*").alias("models"))
     out = arms.groupBy("experiment").agg(F.count("*").alias("seen")).crossJoin(F.broadcast(n)).filter("seen = models").select("experiment")  # n is one row
+    if baseline is not None and out.filter(F.col("experiment") == baseline).isEmpty():
+        raise ValueError(f"not every model has run {baseline}")
     return out
 
 

@@ -20,7 +20,9 @@ def loo_cell_majority(df: DataFrame, keys: list[str], label: str, order: str) ->
     total = df.groupBy(label).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     overall = total.agg(F.min_by(label, F.struct((-F.col("n")).alias("n"), F.col("first"))).alias("_global"))
     w = Window.partitionBy(*keys, label).orderBy(order)
-    seen = df.withColumn("_k", F.row_number().over(w)).groupBy(*keys, label).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min(F.when(F.col("_k") == 2, F.col(order))).alias("second"))
+    # The bound on the row number is applied before the shuffle: two rows of each task and group move.
+    two = df.select(*keys, label, order).withColumn("_k", F.row_number().over(w)).filter("_k <= 2").groupBy(*keys, label).agg(F.min(order).alias("first"), F.max(F.when(F.col("_k") == 2, F.col(order))).alias("second"))
+    seen = df.groupBy(*keys, label).agg(F.count("*").alias("n")).join(two, [*keys, label])
     cells = seen.groupBy(*keys).agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "first", "second")).alias("_cell"))
     own = df.join(cells, keys).crossJoin(F.broadcast(overall))  # one row
     left = F.transform("_cell", lambda c: F.struct((-(c["n"] - F.when(c["l"] == F.col(label), 1).otherwise(0))).alias("n"), F.when((c["l"] == F.col(label)) & (c["first"] == F.col(order)), c["second"]).otherwise(c["first"]).alias("first"), c["l"].alias("l")))
@@ -52,19 +54,29 @@ def duration_summary(clips: DataFrame, duration: Column, rate: Column) -> DataFr
     return clips.agg(F.min(duration).alias("min_s"), F.median(duration).alias("median_s"), F.max(duration).alias("max_s"), F.array_sort(F.collect_set(rate)).alias("rates"))
 
 
-def demo_split(items: DataFrame, duplicates: DataFrame, label: str, seed: int = 2017, most_per_demo: int = 5) -> DataFrame:
+def group_sizes(groups: DataFrame) -> DataFrame:
+    """``item_id, dups``: how many others are in an item's group. ``groups``: item_id, group."""
+    sizes = groups.groupBy("group").agg((F.count("*") - 1).alias("dups")).filter("dups > 0")
+    return groups.join(sizes, "group").select("item_id", "dups")
+
+
+def demo_split(items: DataFrame, duplicates: DataFrame, label: str, seed: int = 2017, groups: DataFrame | None = None) -> DataFrame:
     """One demonstration per class, fewest near-duplicates first, then in seeded order; their duplicates are held out.
 
-    ``duplicates``: ``left_id, right_id`` in both directions. Returns ``item_id, role`` (demonstration or held_out).
-    Use ``check_split`` to make a misfiring detector fail.
+    ``duplicates``: ``left_id, right_id`` in both directions; or, where duplicates are groups, ``item_id, dups`` with
+    ``groups`` (item_id, group), so that no pair of a large group is ever made. Returns ``item_id, role`` (demonstration
+    or held_out). Use ``check_split`` to make a misfiring detector fail.
     """
-    n = duplicates.groupBy(F.col("left_id").alias("item_id")).agg(F.count("*").alias("dups"))
+    n = duplicates if groups is not None else duplicates.groupBy(F.col("left_id").alias("item_id")).agg(F.count("*").alias("dups"))
     rows = items.select("item_id", label).join(n, "item_id", "left")
     best = rows.groupBy(label).agg(F.min(F.struct(F.coalesce("dups", F.lit(0)).alias("d"), seeded(seed, F.col("item_id")).alias("h"), F.col("item_id"))).alias("s"))
-    demos = best.select(F.col("s.item_id").alias("item_id"))
-    held = duplicates.join(F.broadcast(demos), F.col("left_id") == F.col("item_id")).select(F.col("right_id").alias("item_id")).distinct()  # a row for each class
-    held = held.join(F.broadcast(demos), "item_id", "left_anti")
-    return demos.withColumn("role", F.lit("demonstration")).unionByName(held.withColumn("role", F.lit("held_out")))
+    demos = F.broadcast(best.select(F.col("s.item_id").alias("item_id")))  # a row for each class
+    if groups is not None:
+        held = groups.join(F.broadcast(groups.join(demos, "item_id", "left_semi").select("group").distinct()), "group", "left_semi").select("item_id")
+    else:
+        held = duplicates.join(demos, F.col("left_id") == F.col("item_id")).select(F.col("right_id").alias("item_id")).distinct()
+    held = held.join(demos, "item_id", "left_anti")
+    return best.select(F.col("s.item_id").alias("item_id"), F.lit("demonstration").alias("role")).unionByName(held.withColumn("role", F.lit("held_out")))
 
 
 def check_split(split: DataFrame, classes: int, most_per_demo: int = 5) -> DataFrame:
@@ -83,7 +95,8 @@ def proportional_sample(df: DataFrame, label: str, n: int, key: str, seed: int =
     sizes = sizes.withColumn("target", F.bround(F.col("c") / F.sum("c").over(everything) * n).cast("long"))
     sizes = sizes.withColumn("largest", F.row_number().over(everything.orderBy(F.desc("c"), label)) == 1)
     sizes = sizes.withColumn("target", F.least("c", F.col("target") + F.when(F.col("largest"), n - F.sum("target").over(everything)).otherwise(0)))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, F.col(key)), key)))
+    # No class gives more than ``n`` rows: the bound lets each task drop the rest before the shuffle.
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, F.col(key)), key))).filter(F.col("_r") <= n)
     return ranked.join(F.broadcast(sizes.select(label, "target")), label).filter("_r <= target").drop("_r", "target")
 
 

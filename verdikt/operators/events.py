@@ -20,7 +20,8 @@ def assign_speakers(words: DataFrame, turns: DataFrame, width: float = BUCKET_S)
     """Each word's speaker: the turn it overlaps most (the first of equals), else the nearest turn's, else SPK1.
 
     ``words``: item_id, word_idx, start_s, end_s; ``turns``: item_id, turn_idx, start_s, end_s, speaker. Overlap is an
-    equi-join on clip and time bucket; only words without overlap look at their clip's turns.
+    equi-join on clip and time bucket. Words without overlap are sorted among the middles of their clip's turns and see
+    only the nearest on either side: words are never joined with all turns.
     """
     t = turns.select("item_id", F.col("turn_idx").alias("t"), F.col("start_s").alias("ts"), F.col("end_s").alias("te"), "speaker")
     w = words.withColumn("_b", _buckets(F.col("start_s"), F.col("end_s"), width))
@@ -28,10 +29,15 @@ def assign_speakers(words: DataFrame, turns: DataFrame, width: float = BUCKET_S)
     overlap = F.least("end_s", "te") - F.greatest("start_s", "ts")
     best = near.withColumn("o", overlap).filter("o > 0").groupBy("item_id", "word_idx").agg(F.min_by("speaker", F.struct((-F.col("o")).alias("o"), F.col("t"))).alias("by_overlap"))
     out = words.join(best, ["item_id", "word_idx"], "left")
-    lists = t.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("t", "ts", "te", "speaker"))).alias("_turns"))
-    rest = out.filter("by_overlap is null").select("item_id", "word_idx", ((F.col("start_s") + F.col("end_s")) / 2).alias("mid")).join(lists, "item_id")
-    nearest = F.array_min(F.transform("_turns", lambda s: F.struct(F.abs((s["ts"] + s["te"]) / 2 - F.col("mid")).alias("d"), s["t"].alias("t"), s["speaker"].alias("speaker"))))
-    rest = rest.select("item_id", "word_idx", nearest["speaker"].alias("by_distance"))
+    middle = lambda a, b: ((F.col(a) + F.col(b)) / 2).alias("mid")
+    marks = t.groupBy("item_id", middle("ts", "te")).agg(F.min(F.struct("t", "speaker")).alias("turn"))
+    both = out.filter("by_overlap is null").select("item_id", middle("start_s", "end_s"), "word_idx").unionByName(marks, allowMissingColumns=True)
+    mark = F.when(F.col("turn").isNotNull(), F.struct("mid", "turn"))
+    along = Window.partitionBy("item_id")
+    sides = [F.last(mark, ignorenulls=True).over(along.orderBy(o).rangeBetween(Window.unboundedPreceding, 0)) for o in (F.asc("mid"), F.desc("mid"))]
+    both = both.withColumns({"_a": sides[0], "_z": sides[1]}).filter("word_idx is not null")
+    sides = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["mid"] - F.col("mid")).alias("d"), F.col(c)["turn"]["t"].alias("t"), F.col(c)["turn"]["speaker"].alias("speaker"))) for c in ("_a", "_z")]
+    rest = both.select("item_id", "word_idx", F.least(*sides)["speaker"].alias("by_distance"))
     return out.join(rest, ["item_id", "word_idx"], "left").withColumn("speaker", F.coalesce("by_overlap", "by_distance", F.lit("SPK1"))).drop("by_overlap", "by_distance")
 
 
@@ -118,9 +124,10 @@ def rms_envelope(samples: DataFrame, frame: int, smooth: int = 10) -> DataFrame:
     return rms.withColumn("smoothed", F.sum("rms").over(w) / smooth)
 
 
-def ie_ratio(samples: DataFrame, cycles: DataFrame) -> DataFrame:
+def ie_ratio(samples: DataFrame, cycles: DataFrame, width: float = BUCKET_S) -> DataFrame:
     """Median over cycles of the time to the loudest sample against the time after it. ``samples``: item_id, t, x, step."""
-    hit = samples.join(cycles, "item_id").filter("t >= start_s and t < end_s")
+    held = cycles.withColumn("_b", _buckets(F.col("start_s"), F.col("end_s"), width))
+    hit = samples.withColumn("_b", F.floor(F.col("t") / width)).join(held, ["item_id", "_b"]).filter("t >= start_s and t < end_s")
     per = hit.groupBy("item_id", "cycle_idx").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.min_by("t", F.struct(-F.abs("x"), F.col("t"))).alias("peak"), F.max("step").alias("step"))
     per = per.withColumn("i", F.col("peak") - F.col("t0")).withColumn("e", F.col("n") * F.col("step") - F.col("i")).filter("n >= 3 and i > 0 and e > 0")
     return per.groupBy("item_id").agg(F.median(F.col("i") / F.col("e")).alias("ie_ratio"))

@@ -26,15 +26,30 @@ def _with(df: DataFrame, *names: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
 
+def binomial(n: int, p: float) -> tuple[int, np.ndarray]:
+    """Probabilities of 0 to ``n`` hits as the first that a double can hold and the run of all that follow."""
+    if p >= 1.0 or n == 0:
+        return n if n else 0, np.ones(1)
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    hits = np.arange(n + 1)
+    logs = factorial[n] - factorial - factorial[::-1] + hits * math.log(p) + (n - hits) * math.log1p(-p)
+    held = np.flatnonzero(logs > -700)
+    return int(held[0]), np.exp(logs[held[0] : held[-1] + 1])
+
+
 def exact_binomial_p(won: int, lost: int) -> float:
-    """Two-sided exact p of ``won`` against ``lost`` discordant pairs, in log space."""
-    n, k = won + lost, min(won, lost)
-    if n == 0:
-        return 1.0
-    at = np.arange(k + 1)
-    logs = math.lgamma(n + 1) - np.array([math.lgamma(i + 1) + math.lgamma(n - i + 1) for i in at]) - n * math.log(2)
-    top = logs.max()
-    return min(1.0, 2.0 * math.exp(top) * float(np.exp(logs - top).sum()))
+    """Two-sided exact p of ``won`` against ``lost`` discordant pairs."""
+    first, mass = binomial(won + lost, 0.5)
+    return min(1.0, 2.0 * float(mass[: max(0, min(won, lost) + 1 - first)].sum())) if won + lost else 1.0
+
+
+def chance_p(options: list[tuple[int, int]], right: int) -> float:
+    """Exact probability of ``right`` or more hits of a uniform guesser; ``options``: (number of options, items) pairs."""
+    first, mass = 0, np.ones(1)
+    for k, n in options:
+        begin, own = binomial(n, 1.0 / k)
+        first, mass = first + begin, np.convolve(mass, own)
+    return float(min(1.0, mass[max(0, right - first) :].sum()))
 
 
 @pandas_udf(T.DoubleType())
@@ -160,25 +175,12 @@ def label_shuffle(rows: DataFrame, by: list[str], truth: str, predicted: str, st
 
 
 def above_chance(rows: DataFrame, by: list[str], options: Column) -> DataFrame:
-    """One-sided p of the number right against a uniform guesser, from counts per number of options."""
+    """Exact one-sided p of the number right against a uniform guesser, from counts per number of options."""
     cells = rows.groupBy(*by, options.cast("long").alias("k")).agg(F.count("*").alias("n"), F.count_if("correct").alias("right"))
     cells = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.array_sort(F.collect_list(F.struct("k", "n"))).alias("cells"))
 
-    def one(cs: list, right: int) -> float:
-        """Exact upper tail for one number of options, else a normal tail with continuity correction."""
-        if len(cs) == 1:
-            n, p = cs[0]["n"], 1.0 / cs[0]["k"]
-            if p == 1.0:
-                return 1.0
-            at = np.arange(right, n + 1)
-            logs = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in at]) + at * math.log(p) + (n - at) * math.log1p(-p)
-            return float(min(1.0, np.exp(logs).sum()))
-        mean = sum(c["n"] / c["k"] for c in cs)
-        var = sum(c["n"] / c["k"] * (1 - 1 / c["k"]) for c in cs)
-        return 0.5 * math.erfc((right - 0.5 - mean) / math.sqrt(2 * var)) if var > 0 else 1.0
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.drop(columns="cells").assign(p=[one(list(cs), int(r)) for cs, r in zip(pdf["cells"], pdf["right"], strict=True)])
+            yield pdf.drop(columns="cells").assign(p=[chance_p([(c["k"], c["n"]) for c in cs], int(r)) for cs, r in zip(pdf["cells"], pdf["right"], strict=True)])
 
     return cells.mapInPandas(run, _with(cells.drop("cells"), "p"))

@@ -339,16 +339,16 @@ TWINS = "(select a.doc_id left_id, b.doc_id right_id from documents a join docum
 
 
 def twins(s, d) -> DataFrame:
-    """Pairs of equal documents, both ways, inside groups that demonstrations need."""
-    docs = table(s, d, "documents").select("doc_id", F.md5("text").alias("k"), F.length("text").alias("n"))
-    return docs.join(docs.select(F.col("doc_id").alias("right_id"), "k", "n"), ["k", "n"]).filter("doc_id <> right_id").select(F.col("doc_id").alias("left_id"), "right_id")
+    """Group of equal documents that each document is in."""
+    docs = table(s, d, "documents").filter("text is not null")
+    return docs.select(F.col("doc_id").alias("item_id"), F.concat_ws(":", F.md5("text"), F.length("text").cast("string")).alias("group"))
 
 
 @query(f"""with t as {TWINS}, i as {ITEMS}, n as (select left_id, count(*) c from t group by 1),
 e as (select item_id from i left join n on left_id = item_id qualify row_number() over (partition by label order by coalesce(c, 0), md5('2017:' || item_id), item_id) = 1)
 select item_id, 'demonstration' role from e union all select distinct right_id, 'held_out' from t where left_id in (select item_id from e) and right_id not in (select item_id from e)""")
 def w10_demo_split(s, d):
-    return D.demo_split(labelled(s, d), twins(s, d), "label")
+    return D.demo_split(labelled(s, d), D.group_sizes(twins(s, d)), "label", groups=twins(s, d))
 
 
 @query(f"""with i as {ITEMS}, c as (select label, count(*) c, round_even(count(*) / sum(count(*)) over () * 60, 0)::bigint t, row_number() over (order by count(*) desc, label) k from i group by 1), g as (select label, least(c, t + case when k = 1 then 60 - sum(t) over () else 0 end) t from c)
@@ -370,7 +370,7 @@ def r10_dataset_report(s, d):
     counts = D.label_counts(i, i.filter("item_id % 10 = 3"), "label")
     ceiling = R.metadata_ceiling(i, "label", rules)
     lengths = D.duration_summary(table(s, d, "documents"), F.col("n_chars") / 16.0, 8000 + F.col("doc_id") % 3)
-    split = D.demo_split(i, twins(s, d), "label")
+    split = D.demo_split(i, D.group_sizes(twins(s, d)), "label", groups=twins(s, d))
     parts = [
         counts.select(F.lit("labels").alias("part"), F.col("label").alias("name"), F.col("n_all").cast("double").alias("value")),
         counts.select(F.lit("evaluation labels"), "label", F.col("n_eval").cast("double")),
@@ -567,16 +567,14 @@ def j12_near_duplicates(s, d):
 
 
 def clips(s, d) -> DataFrame:
-    """A 4 kHz clip per supplier: a slow swell whose pace and tone follow the key."""
-    i, n = F.col("item_id"), 4000 * 6
-    t = lambda k: k / F.lit(4000.0)
-    wave = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.sin(t(k) * (F.lit(2000.0) + i % 7 * 300)) * (F.lit(0.2) + F.abs(F.sin(t(k) * (F.lit(1.1) + i % 3 * 0.2)))))
-    return table(s, d, "supplier").select(F.col("s_suppkey").alias("item_id"), F.lit(4000).alias("sample_rate"), wave.alias("samples"))
+    """Every document as a recording: the bytes of its text are 8-bit samples at 4 kHz."""
+    docs = table(s, d, "documents").filter("text is not null")
+    return docs.select(F.col("doc_id").alias("item_id"), F.lit(4000).alias("sample_rate"), F.encode("text", "UTF-8").alias("samples"))
 
 
 @query()
 def f3_clip_evidence(s, d):
-    return G.clip_evidence(clips(s, d)).select("item_id", "cycles_summary", "adventitious_summary", "error")
+    return G.clip_evidence(clips(s, d))
 
 
 @query()

@@ -371,6 +371,14 @@ def h6_above_chance(s, d):
     return S.above_chance(majority(s, d), ARM, F.lit(2) + F.col("item_id") % 3)
 
 
+@query(f"""with c as (select model, experiment, 2 + item_id % 3 k, count(*) n, count(*) filter (correct) r from {M_} group by 1, 2, 3)
+select model, experiment, k, n, r "right", round(least(1.0, list_sum(list_transform(range(r, n + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - i * ln(k::double) + (n - i) * ln(1 - 1.0 / k))))), 6) p from c""")
+def h6_above_chance_by_options(s, d):
+    """Against a uniform guesser, arm by arm and number of options by number of options."""
+    rows = majority(s, d).withColumn("k", F.lit(2) + F.col("item_id") % 3)
+    return rounded(S.above_chance(rows, [*ARM, "k"], F.col("k")), "p")
+
+
 @query(f"""with s as {SUBSETS}, x as (select * from s where experiment <> 'baseline')
 select model, (arg_min(experiment, (-acc, experiment))) best, max(acc) best_acc, arg_min(experiment, (acc, experiment)) worst, min(acc) worst_acc, max(acc) - min(acc) "range" from x group by 1""")
 def t1_best_worst(s, d):
@@ -380,7 +388,7 @@ def t1_best_worst(s, d):
 @query("with a as (select distinct o_orderstatus model, o_orderpriority || '-' || o_custkey experiment from orders) select experiment from a group by 1 having count(*) = (select count(distinct model) from a)")
 def u1_experiments_run_by_all(s, d):
     o = V.table(s, d, "orders").select(F.col("o_orderstatus").alias("model"), F.concat_ws("-", "o_orderpriority", F.col("o_custkey").cast("string")).alias("experiment"))
-    return C.experiments_run_by_all(o)
+    return C.experiments_run_by_all(o, None)
 
 
 @query("select o_custkey item_id from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O'")
