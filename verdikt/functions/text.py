@@ -137,18 +137,21 @@ def with_letter(rows: DataFrame, text: str = "text", choices: str = "choices", o
         return F.coalesce(_valid(F.regexp_extract(line, ALONE, 1), options), F.when(_only(_sought(F.regexp_extract(line, WITH_TEXT, 2)), canon) == letter, letter))
 
     names = F.array_distinct(F.filter(F.transform(F.split(flat, "\n"), lambda x: named(strip(x))), lambda x: x.isNotNull()))
-    steps = rows.withColumns({"_shown": strip_thinking(F.col(text)), "_canon": canonical_choices(options)})
+    undecided = said.isNull()
+    steps = rows.withColumn("_shown", strip_thinking(F.col(text)))
     steps = steps.withColumn("_shown", F.when(shown.contains("<"), inside).otherwise(shown))
     steps = steps.withColumn("_said", F.when(shown.rlike("(?i)answer|choice|option"), valid))
-    steps = steps.withColumn("_said", F.get(said, F.size(said) - 1)).withColumn("_flat", F.translate(shown, BREAKS, "\n" * len(BREAKS)))
-    steps = steps.withColumns({"_first": strip(F.substring_index(flat, "\n", 1)), "_last": strip(F.substring_index(flat, "\n", -1))})
-    steps = steps.withColumn("_said", F.coalesce(said, F.when(said.isNull(), _only(_sought(shown), canon))))
-    steps = steps.withColumn("_said", F.coalesce(said, F.when(F.contains(flat, F.lit("\n")), _only(_sought(first), canon))))
-    steps = steps.withColumn("_said", F.coalesce(said, _leading(first, options), _leading(last, options)))
-    steps = steps.withColumn("_names", F.when(said.isNull(), names))
+    steps = steps.withColumn("_said", F.get(said, F.size(said) - 1))
+    steps = steps.withColumns({"_canon": F.when(undecided, canonical_choices(options)), "_flat": F.when(undecided, F.translate(shown, BREAKS, "\n" * len(BREAKS)))})
+    steps = steps.withColumns({"_lines": F.contains(flat, F.lit("\n")), "_whole": _sought(F.when(undecided, shown))})
+    steps = steps.withColumn("_said", F.coalesce(said, _only(F.col("_whole"), canon)))
+    steps = steps.withColumns({"_first": F.when(F.col("_lines") & undecided, strip(F.substring_index(flat, "\n", 1))).otherwise(flat), "_last": F.when(F.col("_lines") & undecided, strip(F.substring_index(flat, "\n", -1)))})
+    steps = steps.withColumn("_whole", F.when(F.col("_lines") & undecided, _sought(first)))
+    steps = steps.withColumn("_said", F.coalesce(said, _only(F.col("_whole"), canon), _leading(first, options), F.when(F.col("_lines"), _leading(last, options))))
+    steps = steps.withColumn("_names", F.when(undecided, names))
     letter = F.coalesce(said, F.when(F.size("_names") == 1, F.get("_names", F.lit(0))))
     known = (F.coalesce(F.col(text), F.lit("")) != "") & (F.size(options) > 0)
-    return steps.withColumn(out, F.when(known, letter)).drop("_shown", "_canon", "_said", "_flat", "_first", "_last", "_names")
+    return steps.withColumn(out, F.when(known, letter)).drop("_shown", "_canon", "_said", "_flat", "_lines", "_whole", "_first", "_last", "_names")
 
 
 def cjk_share(text: Column) -> Column:
