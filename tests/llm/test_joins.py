@@ -123,8 +123,9 @@ def vectors():
     return rows + odd
 
 
-def test_near_vectors_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK_ROWS", 60)
+@pytest.mark.parametrize("block,edges", [(60, 2_000_000), (25, 40)])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, block, edges):
+    monkeypatch.setattr(N, "BLOCK_ROWS", block)
     rows = vectors()
     df = spark.createDataFrame([(*x, "c") for x in rows + rows[:3] + [(None, [1.0] * 8)]], "vec_id long, embedding array<double>, copies string")
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in N.near_vectors(df).collect()}
@@ -145,7 +146,9 @@ def test_cover_tree_bounds_hold():
     x = r.standard_normal((300, 6))
     x[50:80] = x[0] + 0.01 * r.standard_normal((30, 6))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    t = N.CoverTree(x, 0.5)
+    t = N.CoverTree(x)
+    assert t.radius[0] > 1.0 and 2 <= t.last[0] - t.first[0] < 300  # levels from the whole sphere down
+    assert all(t.radius[k] <= t.radius[0] for k in range(len(t.radius)))
     seen = sorted(t.point[k] for k in range(len(t.point)) if t.last[k] == t.first[k])
     assert seen == list(range(300))
 
@@ -193,6 +196,39 @@ def test_graph_search_of_mixed_lengths(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_upper_levels_prune(monkeypatch):
+    """Groups far apart are ruled out as wholes: the traversal looks at few of all pairs of points."""
+    r = np.random.default_rng(12)
+    x = np.repeat(r.standard_normal((40, 64)), 25, axis=0) + 0.03 * r.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = N.CoverTree(x)
+    before, looked = np.nonzero, []
+    monkeypatch.setattr(N.np, "nonzero", lambda m: (looked.append(m.size), before(m))[1])
+    pairs = set()
+    for rows, cols, hit in N.dual_links(t, t, True, 0.9):
+        a, b = before(hit)
+        pairs |= {tuple(sorted(p)) for p in zip(rows[a].tolist(), cols[b].tolist())}
+    want = {(i, j) for i, j in zip(*before(np.triu(x @ x.T >= 0.9, 1)))}
+    assert pairs == want and sum(looked) < 0.2 * 1000 * 1000
+
+
+def test_graph_recall_on_given_embeddings(spark, data, monkeypatch):
+    """Over several shards of the given table, against brute force; the same queries as the registered query."""
+    monkeypatch.setattr(A, "SHARD_ROWS", 120)
+    from verdikt.llm import queries as Q
+
+    got = Q.op9_approximate_neighbours(spark, data).collect()
+    rows = [(r.vec_id, np.array(r.embedding, dtype=np.float64)) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect() if r.embedding is not None and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    names, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hit = total = 0
+    for q in names[names % 20 == 0]:
+        s = x @ x[names == q][0]
+        best = [names[k] for k in np.lexsort((names, -s)) if names[k] != q][:20]
+        hit += len({g.vec_id for g in got if g.query_id == q} & set(best))
+        total += len(best)
+    assert total and hit / total >= 0.95
+
+
 def test_packing_is_complete_gapless_and_tight(spark):
     r = random.Random(5)
     rows = [(k, r.choice([1, 7, 64, 64, 64, 33, r.randint(1, 64)])) for k in range(4000)]

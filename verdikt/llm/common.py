@@ -2,48 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts that a task turns into Python strings at once.
-SLICE = 128
-
+from ..sources.store import forget, shared_folder, stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
+__all__ = ["components", "fold_of", "forget", "free_name", "scored", "shared_folder", "stored"]
 
-    Where the setting is missing, a local master (tests) gets a temporary folder, a cluster the warehouse, which it shares.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.split("[")[0] == "local":
-        base = spark.conf.get("spark.sql.warehouse.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="verdikt-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
-    return f"{base.rstrip('/')}/verdikt-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage is cut, lost executors lose nothing."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Remove the files of stored tables that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+#: Texts that a task turns into Python strings at once.
+SLICE = 128
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ from .common import stored
 from .near_vectors import usable
 
 #: Rows of a shard and of a block of queries, on average.
-SHARD_ROWS, QUERY_ROWS = 8192, 2048
+SHARD_ROWS, QUERY_ROWS = 8192, 8192
 #: Out-neighbours kept, beam while building, beam while searching, and how much longer an edge may be than a detour.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 128, 1.2
 #: Beam entries expanded in one step.

@@ -31,7 +31,8 @@ TABLE_WORDS, BATCH_PAGES = 300_000, 128
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea iframe object svg math canvas audio video xmp noembed noframes".split())
-INLINE_BREAKS = frozenset("br td th img hr wbr".split())
+FOREIGN_TAGS = frozenset(("svg", "math"))
+INLINE_BREAKS = frozenset("br td th img hr".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements whose labels training believes on real pages.
 INSIDE, OUTSIDE = {"article", "main"}, {"nav", "footer", "aside", "form", "header", "menu", "head"}
@@ -86,7 +87,7 @@ def blocks(page: str) -> list[Block]:
             continue
         attrs = m[3] or m[6] or ""
         if tag in RAW_TAGS:
-            if not attrs.endswith("/"):
+            if tag not in FOREIGN_TAGS or not attrs.endswith("/"):  # elsewhere HTML ignores a closing slash
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos)
                 pos = end.end() if end else size
             pieces.append(" ")
@@ -102,7 +103,12 @@ def blocks(page: str) -> list[Block]:
                     break
         elif tag in INLINE_BREAKS:
             pieces.append(" ")
-        if tag not in VOID_TAGS and not attrs.endswith("/"):
+        if tag == "plaintext":  # all that follows is text as it stands
+            flush()
+            if rest := " ".join(page[pos:].split()):
+                out.append(Block(rest, ">".join(n for _, n in stack), 0))
+            return out
+        if tag not in VOID_TAGS:
             named = ".".join(x.lower() for _, *v in NAMES.findall(attrs) for x in TOKENS.findall(next(filter(None, v), "").lower())) if attrs else ""
             stack.append((tag, f"{tag}.{named}" if named else tag))
             links += tag == "a"

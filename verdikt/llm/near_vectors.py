@@ -1,9 +1,11 @@
 """Exact near-duplicate search among embedding vectors by dual traversal of cover trees.
 
-Vectors are put into cells around pivots, cells into blocks of bounded size. A cover tree with halving radii is built
-once for each block; every pair of blocks whose covering radii allow a link is traversed by both trees at once, and
-node pairs too far apart for any link below them are pruned. What is left at the leaves is decided on the exact cosine
-in double precision, so the links are exact whatever the pruning does.
+Vectors are put into cells around pivots, as many as blocks are wanted, and cells into blocks of bounded size. Pairs of
+cells whose covering radii rule links out are dropped before any vector moves. A cover tree with nested levels of
+halving radii, from the whole sphere down, is built once for each block; both trees of a pair of blocks are traversed
+at once, and node pairs too far apart for any link below them are pruned. What is left at the leaves is decided on the
+exact cosine in double precision, so the links are exact whatever the pruning does. A pair of blocks gives the number
+of links of each vector and the edges of a spanning forest, never its links one by one.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from .common import components, stored
 
 #: Rows a block holds on average; one task sees two blocks at once.
 BLOCK_ROWS = 4096
-#: Rows from which the pivots are picked, and how many pivots at most: what the driver holds of the vectors.
-PIVOT_SAMPLE, PIVOTS = 512, 64
+#: Sampled rows for each pivot that is picked from them, and pivots at most: what the driver holds of the vectors.
+PIVOT_SAMPLE, PIVOTS = 4, 4096
+#: Links that a pair of blocks holds before it reduces them to a forest.
+EDGES = 2_000_000
 #: Slack of the pruning bounds against rounding. Decisions at the leaves use none.
 SLACK = 1e-9
 
@@ -39,8 +43,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class CoverTree:
     """A cover tree over unit vectors, flat: node arrays in breadth-first order, children side by side.
 
-    ``top`` is the covering radius below the root; it halves from level to level. Larger radii than about half the
-    link distance prune nothing on a unit sphere in high dimension, so those levels are left out.
+    ``top`` is the covering radius below the root, the sphere's diameter; it halves from level to level, and a level
+    that would not tell a node's points apart is passed over.
     """
 
     def __init__(self, units: np.ndarray, top: float = 2.0):
@@ -84,21 +88,22 @@ class CoverTree:
         self.first, self.last = np.array([a for a, _ in span]), np.array([b for _, b in span])
 
 
-def _grown(mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows and columns of each connected part of a bipartite mask; every row and column is visited once."""
-    rows_left = mask.any(axis=1)
-    cols_left = mask.any(axis=0)
-    while rows_left.any():
-        rows = np.array([int(rows_left.argmax())])
-        all_rows, all_cols = [], []
-        while len(rows):
-            rows_left[rows] = False
-            all_rows.append(rows)
-            cols = np.flatnonzero(mask[rows].any(axis=0) & cols_left)
-            cols_left[cols] = False
-            all_cols.append(cols)
-            rows = np.flatnonzero(mask[:, cols].any(axis=1) & rows_left) if len(cols) else cols
-        yield np.concatenate(all_rows), np.concatenate(all_cols)
+def _forest(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest point that each of ``n`` points reaches by ``edges``."""
+    low = np.arange(n)
+    if not edges:
+        return low
+    a, b = np.concatenate([x for x, _ in edges]), np.concatenate([y for _, y in edges])
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, low[a], least)
+        np.minimum.at(new, low[b], least)
+        while not np.array_equal(new[new], new):
+            new = new[new]
+        if np.array_equal(new, low):
+            return low
+        low = new[low]
 
 
 def dual_links(x: CoverTree, y: CoverTree, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,41 +151,34 @@ def dual_links(x: CoverTree, y: CoverTree, same: bool, cosine: float) -> Iterato
             todo.extend((int(part[h]), some) for h, some in zip(heads, np.split(cols[c], begin[1:]), strict=True))
 
 
-def _block_tree(cosine: float):
-    top = float(np.sqrt(max(1e-6, 2.0 - 2.0 * cosine))) / 2
-    return lambda pdf: _tree_of(pdf, top)
-
-
-def _tree_of(pdf: pd.DataFrame, top: float) -> pd.DataFrame:
+def _block_tree(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep", kind="stable")
     units = np.array(pdf["vec"].tolist(), dtype=np.float64)
     units /= np.linalg.norm(units, axis=1, keepdims=True)
-    packed = pickle.dumps((pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), CoverTree(units, top)), protocol=5)
+    packed = pickle.dumps((pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), CoverTree(units)), protocol=5)
     return pd.DataFrame({"block": [pdf["block"].iloc[0]], "tree": [packed]})
 
 
 def _pair_links(cosine: float):
     def links(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Weighted link counts of the two blocks' vectors, and edges that join what is linked."""
+        """Weighted link counts of the two blocks' vectors, and edges that join what is linked: one for a vector at most."""
         ids_x, copies_x, x = pickle.loads(left["tree"].iloc[0])
         same = left["block"].iloc[0] == left["other"].iloc[0]
         ids_y, copies_y, y = (ids_x, copies_x, x) if same else pickle.loads(right["mate"].iloc[0])
-        count_x, count_y = np.zeros(len(ids_x), dtype=np.int64), np.zeros(len(ids_y), dtype=np.int64)
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        behind = 0 if same else len(ids_x)  # where the other block's points begin
+        ids = ids_x if same else np.concatenate([ids_x, ids_y])
+        count, edges = np.zeros(len(ids), dtype=np.int64), []
         for rows, cols, hit in dual_links(x, y, same, cosine):
-            np.add.at(count_x, rows, hit @ copies_y[cols])
-            np.add.at(count_y, cols, hit.T @ copies_x[rows])
-            for r, c in _grown(hit):
-                top = ids_x[rows[r[0]]]
-                edges += [(np.full(len(r), top), ids_x[rows[r]]), (np.full(len(c), top), ids_y[cols[c]])]
-        if same:
-            count_x += count_y
-            count_y = count_y[:0]
-        both = [(ids_x, count_x)] + ([] if same else [(ids_y, count_y)])
-        out = [pd.DataFrame({"a": i[n > 0], "b": i[n > 0], "n": n[n > 0]}) for i, n in both]
-        if edges:
-            e = pd.DataFrame({"a": np.concatenate([a for a, _ in edges]), "b": np.concatenate([b for _, b in edges]), "n": 0})
-            out.append(e[e["a"] != e["b"]].drop_duplicates())
+            np.add.at(count, rows, hit @ copies_y[cols])
+            np.add.at(count, behind + cols, hit.T @ copies_x[rows])
+            r, c = np.nonzero(hit)
+            edges.append((rows[r], behind + cols[c]))
+            if sum(len(e) for e, _ in edges) > EDGES:
+                low = _forest(len(ids), edges)
+                edges = [(low[own := np.flatnonzero(low != np.arange(len(ids)))], own)]
+        low = _forest(len(ids), edges)
+        linked, joined = np.flatnonzero(count), np.flatnonzero(low != np.arange(len(ids)))
+        out = [pd.DataFrame({"a": ids[linked], "b": ids[linked], "n": count[linked]}), pd.DataFrame({"a": ids[low[joined]], "b": ids[joined], "n": 0})]
         return pd.concat(out, ignore_index=True).astype("int64")
 
     return links
@@ -196,17 +194,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     is one point. Other columns of ``df`` are ignored; an empty table gives an empty result.
 
     Each block's tree is sent to every block it may link with. In high dimension, where the distances of unrelated
-    vectors concentrate and no exact bound can rule cells out, this is a block-wise comparison of all rows.
+    vectors concentrate and no exact bound can rule cells out, all pairs of blocks meet; inside a pair, the trees'
+    upper levels still prune groups of near vectors as wholes.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("id is not null").groupBy("id").agg(F.min("vec").alias("vec"))
     base = stored(base.select("id", F.when(usable(), F.col("vec")).alias("vec")))
     groups = stored(base.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    sample = groups.orderBy(F.xxhash64("rep"), "rep").limit(PIVOT_SAMPLE).select("vec").collect()
+    total = groups.count()
+    wanted = int(min(PIVOTS, max(1, total // BLOCK_ROWS)))
+    sample = groups.orderBy(F.xxhash64("rep"), "rep").limit(max(512, PIVOT_SAMPLE * wanted)).select("vec").collect()
     by_size: dict[int, np.ndarray] = {}
     for (v,) in sample:
         by_size.setdefault(len(v), []).append(v)
-    total = groups.count()
-    wanted = int(min(PIVOTS, max(1, total // BLOCK_ROWS)))
     for k, rows in by_size.items():
         units = np.array(rows) / np.linalg.norm(np.array(rows), axis=1, keepdims=True)
         chosen = [0]
@@ -237,17 +236,24 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         base_of[(r["size"], r["cell"])], number[(r["size"], r["cell"])] = len(blocks), -(-r["n"] // BLOCK_ROWS)
         blocks += [(r["size"], r["cell"], r["far"])] * number[(r["size"], r["cell"])]
     limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
-    partners: list[list[int]] = []
-    for i, (size, cell, far) in enumerate(blocks):
-        near = lambda j: blocks[j][0] == size and (size not in by_size or float(_distances(by_size[size][cell][None], by_size[size][blocks[j][1]][None])[0, 0]) <= far + blocks[j][2] + limit + 1e-6)  # noqa: E731, B023
-        partners.append([j for j in range(i, len(blocks)) if near(j)])
+    pairs: list[tuple[int, int]] = []
+    far = np.array([b[2] for b in blocks])
+    for size in sorted({b[0] for b in blocks}):
+        own = np.array([k for k, b in enumerate(blocks) if b[0] == size])
+        apart = np.zeros((len(own), 1)) if size not in by_size else None
+        for at, i in enumerate(own.tolist()):
+            others = own[at:]
+            if apart is None:
+                cells_of = by_size[size][[blocks[k][1] for k in others.tolist()]]
+                near = _distances(by_size[size][blocks[i][1]][None], cells_of)[0] <= far[i] + far[others] + limit + 1e-6
+                others = others[near]
+            pairs += [(i, j) for j in others.tolist()]
     spark = df.sparkSession
     place = spark.createDataFrame([(s, c, base_of[(s, c)], number[(s, c)]) for s, c in base_of], "size long, cell long, start int, parts int")
-    pairs = [(i, j) for i, js in enumerate(partners) for j in js]
     by_left = spark.createDataFrame([(i, i, j) for i, j in pairs], "block int, x int, y int")
     by_right = spark.createDataFrame([(j, i, j) for i, j in pairs if i != j], "block int, x int, y int")
     block = F.col("start") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    trees = stored(celled.join(F.broadcast(place), ["size", "cell"]).select(block.alias("block"), "rep", "copies", "vec").groupBy("block").applyInPandas(_block_tree(cosine), "block int, tree binary"))
+    trees = stored(celled.join(F.broadcast(place), ["size", "cell"]).select(block.alias("block"), "rep", "copies", "vec").groupBy("block").applyInPandas(_block_tree, "block int, tree binary"))
     left = trees.join(by_left, "block").select("x", "y", "block", F.col("y").alias("other"), "tree")
     right = trees.join(by_right, "block").select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("tree").alias("mate"))
     found = stored(left.groupBy("x", "y").cogroup(right.groupBy("u", "v")).applyInPandas(_pair_links(cosine), "a long, b long, n long"))
