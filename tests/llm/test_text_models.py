@@ -180,3 +180,31 @@ def test_page_text_on_held_out_pages(spark):
     chosen = [(set(got[k].text.split("\n\n")), set(w.split("\n\n"))) for k, w in enumerate(want)]
     assert sum(len(a ^ b) for a, b in chosen) < 0.05 * sum(len(b) for _, b in chosen)
     assert all(got[k].n_chars == len(got[k].text) for k in got) and got[0].url == "u0"
+
+
+def test_pages_of_foreign_structure():
+    """Hand-labelled pages that no made-up page looks like: nothing of the article is lost, next to nothing else comes in."""
+    from tests.llm.foreign_pages import PAGES
+
+    net = H.labeller(None)
+    lost, extra = [], []
+    for page, keep, drop in PAGES:
+        found = H.blocks(page)
+        text = "\n\n".join(b.text for b, z in zip(found, net.logits([found], H.PathRows(), H.WordRows())[0], strict=True) if z > 0)
+        lost += [k for k in keep if k not in text]
+        extra += [d for d in drop if d in text]
+    assert not lost and len(extra) <= 1
+
+
+def test_closing_slashes_and_raw_text():
+    of = lambda page: [b.text for b in H.blocks(page)]
+    assert of("<script src=/a/b/>code()</script><p>one") == ["one"] and of("<style/>p{}</style><p>two") == ["two"]
+    assert of("<p>a<wbr>b c<br>d</p>") == ["ab c d"] and of("<p>x<svg/>y</p>") == ["x y"] and of("<p>k<svg><text>no</text></svg>l") == ["k l"]
+    assert of("<p>before<plaintext><b>raw &amp; text</b>\n <p>still") == ["before", "<b>raw &amp; text</b> <p>still"] and of("<div/>in<p>out") == ["in", "out"]
+
+
+@pytest.mark.parametrize("make", [H.made_page, H.made_layout])
+def test_made_pages_label_their_blocks(make):
+    r = random.Random(3)
+    pages = [make(r) for _ in range(80)]
+    assert sum(len(H.blocks(p)) == len(y) for p, y in pages) >= 72 and all(0 < sum(y) < len(y) for _, y in pages)

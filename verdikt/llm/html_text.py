@@ -3,8 +3,9 @@
 A page becomes the sequence of its leaf blocks. Each block is a vector of its tag path (tags, classes, ids and roles
 of all elements around it, hashed), of its hashed words, and of a few numbers. A bidirectional LSTM, written and
 trained in numpy, reads the sequence both ways and says for each block whether it belongs to the article. It is
-trained on pages that a small generator makes up with known labels, and on a bounded sample of the table's own pages
-whose semantic elements (article, nav, ...) label their blocks.
+trained on made-up pages of two kinds with known labels (elements and names that speak; layouts that say nothing, where
+only the text and its surroundings tell), and on a bounded sample of the table's own pages whose semantic elements
+(article, nav, ...) label their blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of the table that training may look at, and made-up pages.
-SAMPLE_PAGES, MADE_PAGES = 300, 900
+#: Pages of the table that training may look at (of fewer than 400 blocks), and made-up pages.
+SAMPLE_PAGES, MADE_PAGES = 300, 1350
 #: Rows of each hashed embedding table, their width, width of the LSTM, training passes.
 ROWS, WIDTH, HIDDEN, PASSES, RATE = 4096, 12, 16, 6, 0.01
 TABLE_WORDS, BATCH_PAGES = 300_000, 128
@@ -345,6 +346,68 @@ def made_page(r: random.Random) -> tuple[str, list[int]]:
     return "".join(p for p, _ in parts) + "</body></html>", [y for _, y in parts]
 
 
+LAYOUT_NAMES = "wrap outer inner box top head left right col1 col2 col3 row cell side foot bottom mid area pane part block sec".split()
+
+
+def made_layout(r: random.Random) -> tuple[str, list[int]]:
+    """A made-up page whose elements and names say little: tables or bare containers, names without sense.
+
+    What is article shows in whole sentences that stand together, what isn't in short linked lines around them.
+    """
+    syllables = "ba ro ti len mar co su ven dal pi gre to ny ska fel or um".split()
+    word = lambda: r.choice(PLAIN_WORDS) if r.random() < 0.55 else "".join(r.choices(syllables, k=r.randrange(1, 4)))
+    line = lambda a, b: " ".join(word() for _ in range(r.randrange(a, b))).capitalize()
+    prose = lambda: " ".join(f"{line(7, 24)}{',' if r.random() < 0.3 else ''} {line(2, 8).lower()}." for _ in range(r.randrange(1, 4)))
+    site = lambda: r.choice(SITE_WORDS).capitalize() if r.random() < 0.35 else line(1, 4)
+    name = lambda: r.choice(["", f' class={r.choice(LAYOUT_NAMES)}', f' id="{r.choice(LAYOUT_NAMES)}{r.randrange(9)}"', f' class="{"".join(r.choices("abcdefqxyz", k=r.randrange(1, 5)))}{r.randrange(100)}"'])
+    out: list[tuple[str, int]] = []
+    table = r.random() < 0.3
+    cell = lambda: ("<tr><td valign=top>", "</td></tr>") if table else ((t := r.choice(["div", "section", "center"])) and f"<{t}{name()}>", f"</{t}>")
+
+    def part(rows: list[tuple[str, int]]) -> None:
+        a, b = cell()
+        rows = [(a + rows[0][0], rows[0][1]), *rows[1:]]
+        rows[-1] = (rows[-1][0] + b, rows[-1][1])
+        out.extend(rows)
+
+    def links() -> list[tuple[str, int]]:
+        some = [f"<a href=/{r.randrange(99)}>{site()}</a>" for _ in range(r.randrange(2, 9))]
+        if r.random() < 0.5:
+            return [(f"<ul><li>{some[0]}</li>", 0), *[(f"<li>{a}</li>", 0) for a in some[1:-1]], (f"<li>{some[-1]}</li></ul>", 0)]
+        return [(r.choice(["<br>", " | ", " ", " &middot; "]).join(some), 0)]
+
+    short = lambda: [(r.choice([" | ", " - ", " &middot; "]).join(site() for _ in range(r.randrange(1, 5))), 0)]
+    legal = lambda: [(r.choice([f"Copyright {r.randrange(1995, 2030)} {line(1, 4)}. All rights reserved.", f"&copy; {line(1, 4)}", f"This page was last changed on {r.randrange(1, 29)} {line(1, 2)}. {line(2, 7)}.", f"{line(2, 4)} by {line(1, 3)}. {line(2, 6)}."]), 0)]
+    banner = lambda: [(f"<p>We use cookies {line(3, 9).lower()}.</p>", 0), (f"<button>{site()}</button>", 0)]
+    remarks = lambda: [(f"<span>{r.randrange(40)} comments</span>", 0), *[(f"<div>{line(2, 12)}</div>", 0) for _ in range(r.randrange(3))]]
+
+    def article() -> list[tuple[str, int]]:
+        tag = r.choice(["p", "p", "div", "blockquote"])
+        inner = name() if tag == "div" else ""
+        rows = [(f"<div><b>{line(2, 8)}</b></div>" if r.random() < 0.2 else f"<h{r.choice('12')}>{line(2, 8)}</h2>", 1)]
+        for _ in range(r.randrange(2, 9)):
+            kind = r.random()
+            if kind < 0.7:
+                rows.append((f"<{tag}{inner}>{prose()}</{tag}>", 1))
+            elif kind < 0.82:
+                rows += [(f"<ul><li>{prose()}</li>", 1), (f"<li>{prose()}</li></ul>", 1)]
+            elif kind < 0.92:
+                rows += [(f"<dl><dt>{line(1, 3)}</dt>", 1), (f"<dd>{prose()}</dd></dl>", 1)]
+            else:
+                rows.append((f"<h3>{line(1, 5)}</h3>", 1))
+        return rows
+
+    for make, chance in ((banner, 0.2), (links, 0.6), (short, 0.4), (links, 0.5)):
+        if r.random() < chance:
+            part(make())
+    part(article())
+    for make, chance in ((remarks, 0.3), (links, 0.4), (short, 0.2), (legal, 0.7)):
+        if r.random() < chance:
+            part(make())
+    frame = ("<table>", "</table>") if table else ("<div>", "</div>")
+    return f"<html><head><title>{line(1, 6)}</title></head><body>{frame[0]}" + "".join(p for p, _ in out) + f"{frame[1]}</body></html>", [0, *[y for _, y in out]]
+
+
 def told_by_elements(found: list[Block]) -> np.ndarray | None:
     """Labels by the semantic elements around each block; None if the page has none that say what is the article."""
     tags = [{s.partition(".")[0] for s in b.path.split(">")} for b in found]
@@ -359,8 +422,8 @@ def labeller(pages: DataFrame | None, html_col: str = "html", id_col: str = "pag
     """Train on ``made`` made-up pages and at most ``sample`` pages of the table, picked by a hash of their id."""
     r = random.Random(seed)
     found, labels = [], []
-    for _ in range(made):
-        page, y = made_page(r)
+    for k in range(made):
+        page, y = made_layout(r) if k % 3 == 0 else made_page(r)
         got = blocks(page)
         if len(got) == len(y):
             found.append(got)
