@@ -3,10 +3,10 @@
 import pytest
 
 from tests.oracle import same
-from verdikt.plans import queries_data, queries_outcomes
+from verdikt.plans import queries_data, queries_outcomes, queries_sources
 
-ALL = {**queries_outcomes.QUERIES, **queries_data.QUERIES}
-SQL = {**queries_outcomes.SQL, **queries_data.SQL}
+ALL = {**queries_outcomes.QUERIES, **queries_data.QUERIES, **queries_sources.QUERIES}
+SQL = {**queries_outcomes.SQL, **queries_data.SQL, **queries_sources.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

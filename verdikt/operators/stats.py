@@ -176,11 +176,11 @@ def label_shuffle(rows: DataFrame, by: list[str], truth: str, predicted: str, st
 
 def above_chance(rows: DataFrame, by: list[str], options: Column) -> DataFrame:
     """Exact one-sided p of the number right against a uniform guesser, from counts per number of options."""
-    cells = rows.groupBy(*by, options.cast("long").alias("k")).agg(F.count("*").alias("n"), F.count_if("correct").alias("right"))
-    cells = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.array_sort(F.collect_list(F.struct("k", "n"))).alias("cells"))
+    cells = rows.groupBy(*by, options.cast("long").alias("_k")).agg(F.count("*").alias("n"), F.count_if("correct").alias("right"))
+    cells = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.array_sort(F.collect_list(F.struct("_k", "n"))).alias("cells"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.drop(columns="cells").assign(p=[chance_p([(c["k"], c["n"]) for c in cs], int(r)) for cs, r in zip(pdf["cells"], pdf["right"], strict=True)])
+            yield pdf.drop(columns="cells").assign(p=[chance_p([(c["_k"], c["n"]) for c in cs], int(r)) for cs, r in zip(pdf["cells"], pdf["right"], strict=True)])
 
     return cells.mapInPandas(run, _with(cells.drop("cells"), "p"))

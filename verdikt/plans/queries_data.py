@@ -362,7 +362,12 @@ def r10_contingency(s, d):
     return D.contingency(labelled(s, d), "lang", "label")
 
 
-@query()
+@query(f"""select 'labels' part, label "name", n_all::double "value" from ({SQL['a21_label_counts']}) union all select 'evaluation labels', label, n_eval::double from ({SQL['a21_label_counts']})
+union all select 'contingency', concat_ws(' ', lang, label), n::double from ({SQL['r10_contingency']})
+union all select 'rules', rule, ba_pct from ({SQL['a19_metadata_ceiling']}) union all select 'rule accuracy', rule, accuracy_pct from ({SQL['a19_metadata_ceiling']}) union all select 'ceiling', 'ba_pct', max(ceiling) from ({SQL['a19_metadata_ceiling']})
+union all select 'durations', name, value from (select min_s, median_s, max_s from ({SQL['a22_duration_summary']})) unpivot (value for name in (min_s, median_s, max_s))
+union all select 'rates', r, r::double from (select unnest(string_split(rates, ',')) r from ({SQL['a22_duration_summary']}))
+union all select 'split', role, count(*)::double from ({SQL['w10_demo_split']}) group by 2 union all select role, item_id::varchar, 1.0 from ({SQL['w10_demo_split']})""")
 def r10_dataset_report(s, d):
     """Label counts, the contingency of language, rule baselines, durations and held-out rows in one long table."""
     i = labelled(s, d)
@@ -386,7 +391,7 @@ def r10_dataset_report(s, d):
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out
+    return rounded(out, "value")
 
 
 VEC = "(select vec_id, embedding::double[] e, label from embeddings where embedding is not null)"
@@ -544,7 +549,8 @@ def w12_ie_ratio(s, d):
     return rounded(E.ie_ratio(x, c), "ie_ratio")
 
 
-@query()
+@query("""with recursive p as (select distinct user_id, round(value * 10, 1) p from events where value is not null), t as (select user_id, min(p) p from p group by 1 union all select t.user_id, min(p.p) from t join p on p.user_id = t.user_id and p.p - t.p > 100 group by 1)
+select user_id, list(p order by p) tones from t group by 1""")
 def t3_peak_clusters(s, d):
     e = table(s, d, "events").groupBy("user_id").agg(F.collect_list(F.col("value") * 10).alias("peaks"))
     return e.select("user_id", E.peak_clusters(F.col("peaks")).alias("tones"))
@@ -567,9 +573,9 @@ def j12_near_duplicates(s, d):
 
 
 def clips(s, d) -> DataFrame:
-    """Every document as a recording: the bytes of its text are 8-bit samples at 4 kHz."""
+    """Every document as a recording: the bytes of its text are 8-bit samples at 1 kHz."""
     docs = table(s, d, "documents").filter("text is not null")
-    return docs.select(F.col("doc_id").alias("item_id"), F.lit(4000).alias("sample_rate"), F.encode("text", "UTF-8").alias("samples"))
+    return docs.select(F.col("doc_id").alias("item_id"), F.lit(1000).alias("sample_rate"), F.encode("text", "UTF-8").alias("samples"))
 
 
 @query()

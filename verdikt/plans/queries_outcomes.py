@@ -360,6 +360,32 @@ def h4_paired_permutation(s, d):
     return S.paired_permutation(C.with_baseline(majority(s, d)), ARM)
 
 
+@query(f"select model, experiment, count(*) n, count(*) filter (correct) \"right\", true inside from {M_} group by 1, 2")
+def h2_interval_ends(s, d):
+    """Counts of each arm, and whether its interval's ends lie where the normal approximation puts them, give or take."""
+    rows = S.bootstrap_ci(majority(s, d), ARM)
+    share = F.col("right") / F.col("n")
+    acc, error = share * 100, F.sqrt(share * (1 - share) / F.col("n")) * 100
+    near = lambda c, at: F.abs(F.col(c) - at) <= 0.2 * error + 150 / F.col("n")
+    inside = (F.col("low") <= acc) & (acc <= F.col("high")) & near("low", acc - 1.96 * error) & near("high", acc + 1.96 * error)
+    return rows.select(*ARM, "n", "right", inside.alias("inside"))
+
+
+@query(BA.format(by="model, experiment", t=M_).replace(", count(*) classes", "").replace("avg(r) * 100 balanced_accuracy", "round(avg(r) * 100, 6) ba, true inside"))
+def h3_point_estimates(s, d):
+    """Balanced accuracy, and whether its interval holds it."""
+    rows = S.stratified_bootstrap(majority(s, d), ARM)
+    return rounded(rows.select(*ARM, "ba", F.col("ba").between(F.col("low"), F.col("high")).alias("inside")), "ba")
+
+
+@query(f"""with p as (select a.*, b.correct base from {M_} a join (select * from {M_} where experiment = 'baseline') b using (model, item_id)), r as (select model, experiment, category, avg(correct::int::double) x, avg(base::int::double) y, count(*) n from p group by 1, 2, 3)
+select model, experiment, round(avg(x) * 100, 6) ba, round(avg(y) * 100, 6) base_ba, sum(n)::bigint n, experiment = 'baseline' as alike from r group by 1, 2""")
+def h4_point_estimates(s, d):
+    """Balanced accuracy of both sides; ``alike``: nothing was swapped that makes a difference (p is 1)."""
+    rows = S.paired_permutation(C.with_baseline(majority(s, d)), ARM)
+    return rounded(rows.select(*ARM, "ba", "base_ba", "n", (F.col("p") == 1.0).alias("alike")), "ba", "base_ba")
+
+
 @query()
 def h5_label_shuffle(s, d):
     rows = parsed(s, d).withColumn("told", F.coalesce("letter", F.lit("Unknown")))
