@@ -252,6 +252,10 @@ def test_packing_is_complete_gapless_and_tight(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, length long"), 64).count() == 0
     with pytest.raises(ValueError):
         P.pack(spark.createDataFrame([(1, 65)], "doc_id long, length long"), 64)
+    names = "n k b bin at low high before r i row parts offset".split()
+    odd = spark.createDataFrame([(3, *range(len(names))), (3, *range(len(names))), (64, *range(len(names)))], ", ".join(f"{c} long" for c in ["length", *names]))
+    got = P.pack(odd, 64)
+    assert got.columns == ["length", *names[:-1], "sequence_id", "offset"] and {tuple(r[c] for c in names[:-1]) for r in got.collect()} == {tuple(range(len(names) - 1))}
 
 
 @settings(max_examples=100, deadline=None)

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import ByteBpe
 
-#: Rows of one length in one bucket, on average, when they are numbered.
-BUCKET_ROWS = 200_000
+#: Rows of one length in one bucket, on average, when they are numbered: a common length is dealt to many.
+BUCKET_ROWS = 2000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -103,11 +103,13 @@ def token_pieces(df: DataFrame, tokenizer: tuple[str, str, str], capacity: int,
 def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: every row gets a place, rows of a sequence follow one another without gaps.
 
-    Lengths must lie in 1..capacity; rows with another or no length raise. Equal rows get places of their own. The
-    rows are read twice, so they should be stored: row numbers must not change between the two.
+    Lengths must lie in 1..capacity; rows with another or no length raise. Equal rows get places of their own. Columns
+    may have any names; only a column that is already called ``sequence_id`` or ``offset`` gives way to the new one.
     """
-    tagged = stored(pieces.withColumn("_row", F.monotonically_increasing_id()))
-    by_length = tagged.groupBy(F.col(length_col).alias("n")).agg(F.count("*").alias("c")).limit(capacity + 1).collect()
+    spark = pieces.sparkSession
+    kept = [F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = stored(pieces.select(F.struct(*kept).alias("row"), F.col(f"`{length_col}`").cast("long").alias("n"), F.monotonically_increasing_id().alias("i")))
+    by_length = rows.groupBy("n").agg(F.count("*").alias("c")).limit(capacity + 1).collect()
     if any(r["n"] is None or not 0 < r["n"] <= capacity for r in by_length):
         raise ValueError(f"a piece's length is not in 1..{capacity}")
     counts = {int(r["n"]): r["c"] for r in by_length}
@@ -119,17 +121,14 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
             taken[n] += k * times
             at += n * k
         first_bin += times
-    spark = pieces.sparkSession
-    plan = spark.createDataFrame(places, "n long, low long, high long, k long, bin long, at long")
-    buckets = max(1, -(-max(counts.values(), default=1) // BUCKET_ROWS))
-    tagged = tagged.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
-    sizes = tagged.groupBy(F.col(length_col).alias("n"), F.col("_bucket").alias("b")).agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.sum("c").over(Window.partitionBy("n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("n", "b", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = tagged.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_bucket").orderBy("_row")) - 1)
-    ranked = ranked.join(before, (F.col(length_col) == F.col("n")) & (F.col("_bucket") == F.col("b"))).withColumn("_rank", F.col("_rank") + F.col("before")).drop("n", "b", "before")
-    # The plan's size depends on the capacity, not on the number of pieces.
-    placed = ranked.join(F.broadcast(plan), (F.col(length_col) == F.col("n")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
-    within = F.col("_rank") - F.col("low")
-    placed = placed.withColumn("sequence_id", F.col("bin") + F.floor(within / F.col("k"))).withColumn("offset", F.col("at") + (within % F.col("k")) * F.col("n"))
-    return placed.drop("_row", "_bucket", "_rank", "n", "low", "high", "k", "bin", "at")
+    # Both tables' sizes depend on the capacity, not on the number of pieces.
+    plan = F.broadcast(spark.createDataFrame(places, "n long, low long, high long, k long, bin long, at long"))
+    parts = F.broadcast(spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in counts.items()], "n long, parts long"))
+    rows = rows.join(parts, "n").withColumn("b", F.pmod(F.xxhash64("i"), F.col("parts")))
+    sizes = rows.groupBy("n", "b").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("n", "b").orderBy("i")) - 1
+    ranked = rows.withColumn("r", rank).join(sizes.select("n", "b", before.alias("before")), ["n", "b"]).withColumn("r", F.col("r") + F.col("before"))
+    placed = ranked.join(plan, "n").filter("r >= low and r < high")
+    within = F.col("r") - F.col("low")
+    return placed.select("row.*", (F.col("bin") + F.floor(within / F.col("k"))).alias("sequence_id"), (F.col("at") + (within % F.col("k")) * F.col("n")).alias("offset"))
