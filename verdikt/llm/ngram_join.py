@@ -11,9 +11,10 @@ signatures of both bands, so any two sets that can link have a band in common. S
 Equal sets collapse to one. The sets that share a signature make a bucket. In a bucket, parity sketches (a bit for each
 of 8 times as many places as tokens: whether an odd number of tokens fell there) give a lower bound of the number of
 tokens that two sets do not share, so all pairs are ruled out or kept without a row for any of them: a large bucket is
-cut into blocks that meet two by two. The first pass keeps a spanning forest of each block's graph, the second, in
-buckets that this left unconnected, every pair between different components. What is kept is verified on the whole
-sets. So the components are exact, and a group of near copies is never expanded into its pairs.
+cut into blocks that meet two by two. The first pass takes the largest bucket of each set and keeps a spanning forest of
+each block's graph; the second takes all buckets that this left unconnected and keeps every pair between different
+components, in the first bucket that holds both. What is kept is verified on the whole sets. So the components are
+exact, and a group of near copies is never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def forest(far: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _candidates(percent: int, every: bool):
-    """Pairs of each block that may link: all of them (``every``) or a spanning forest.
+    """Pairs of each block that may link: all of them (``every``; rows have all signatures of their set) or a spanning forest.
 
     Rows of a block (sig, p, q) stand together; a block may reach over batches.
     """
@@ -181,7 +182,19 @@ def _candidates(percent: int, every: bool):
         sketch = table.column("sketch").chunk(0)
         at = np.frombuffer(sketch.buffers()[1], dtype=np.int32)[sketch.offset : sketch.offset + len(sketch) + 1] // 8
         data = np.frombuffer(sketch.buffers()[2], dtype=np.uint64)
-        ids, size, component, block, p, q = (table.column(c).chunk(0).to_numpy() for c in ("id", "size", "component", "block", "p", "q"))
+        sig, ids, size, component, block, p, q = (table.column(c).chunk(0).to_numpy() for c in ("sig", "id", "size", "component", "block", "p", "q"))
+        if every:
+            lists = table.column("sigs").chunk(0)
+            place = np.frombuffer(lists.buffers()[1], dtype=np.int32)[lists.offset : lists.offset + len(lists) + 1]
+            values = lists.values.to_numpy()
+
+        def first_met(pairs: np.ndarray) -> np.ndarray:
+            """Of all buckets that hold both sets, only the one with the least signature gives the pair."""
+            if not every or not len(pairs):
+                return pairs
+            least = [np.intersect1d(values[place[i] : place[i + 1]], values[place[j] : place[j + 1]], assume_unique=True)[0] for i, j in pairs.tolist()]
+            return pairs[np.array(least) == sig[pairs[:, 0]]]
+
         first, many = cuts[:-1], np.diff(cuts)
         twos = first[many == 2]
         for width in np.unique(at[twos + 1] - at[twos]):  # two sets: no matrix
@@ -190,11 +203,11 @@ def _candidates(percent: int, every: bool):
             both = size[own] + size[own + 1]
             ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
             ok &= (100 * np.minimum(size[own], size[own + 1]) >= percent * np.maximum(size[own], size[own + 1])) & (component[own] != component[own + 1]) & ((p[own] == q[own]) | (block[own] != block[own + 1]))
-            yield np.stack([ids[own[ok]], ids[own[ok] + 1]], axis=1)
+            yield ids[first_met(np.stack([own[ok], own[ok] + 1], axis=1))]
         for k, m in zip(first[many > 2].tolist(), many[many > 2].tolist(), strict=True):
             rows = slice(k, k + m)
             far = bounds(data[at[k] : at[k + m]].reshape(m, -1), size[rows], block[rows], component[rows], bool(p[k] != q[k]), percent)
-            yield ids[rows][np.argwhere(np.triu(far < np.inf)) if every else np.array(forest(far), dtype=np.int64).reshape(-1, 2)]
+            yield ids[first_met(k + (np.argwhere(np.triu(far < np.inf)) if every else np.array(forest(far), dtype=np.int64).reshape(-1, 2)))]
 
     def give(found: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
@@ -339,9 +352,11 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         rows = rows.withColumn("parts", n_parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("band", (F.col("sig").bitwiseAND(31)).cast("int"))
         meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
         rows = rows.join(sketches.hint("merge"), ["id", "band"])
+        if every:
+            rows = rows.join(rows.groupBy("id").agg(F.array_sort(F.collect_set("sig")).alias("sigs")).hint("merge"), "id")
         one = rows.filter("parts = 1").withColumns({"p": F.lit(0), "q": F.lit(0)})
         more = rows.filter("parts > 1").withColumn("at", F.explode(meets)).withColumns({"p": F.col("at.p"), "q": F.col("at.q")})
-        dealt = one.unionByName(more.drop("at")).select("sig", "p", "q", "id", "size", "component", "block", "sketch")
+        dealt = one.unionByName(more.drop("at")).select("sig", "p", "q", "id", "size", "component", "block", "sketch", *["sigs"] * every)
         dealt = dealt.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q")
         return dealt.mapInArrow(_candidates(percent, every), "a long, b long").distinct()
 
@@ -351,7 +366,9 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         common = F.size(F.array_intersect("x", "y"))
         return joined.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    first = stored(candidates(buckets.withColumn("component", F.col("id")), False))
+    # First only the largest bucket of each set, which connects most of what links.
+    homes = buckets.withColumn("n", F.count("*").over(of_sig)).groupBy("id").agg(F.max_by("sig", F.struct("n", "sig")).alias("sig")).select("sig").distinct()
+    first = stored(candidates(buckets.join(homes.hint("merge"), "sig", "left_semi").withColumn("component", F.col("id")), False))
     links = stored(verified(first))
     labels = stored(components(links))
     rows = buckets.join(labels.hint("merge"), buckets["id"] == labels["node"], "left").select("sig", "id", "size", F.coalesce("component", "id").alias("component"))
