@@ -202,14 +202,26 @@ def test_upper_levels_prune(monkeypatch):
     x = np.repeat(r.standard_normal((40, 64)), 25, axis=0) + 0.03 * r.standard_normal((1000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     t = N.CoverTree(x)
-    before, looked = np.nonzero, []
-    monkeypatch.setattr(N.np, "nonzero", lambda m: (looked.append(m.size), before(m))[1])
-    pairs = set()
-    for rows, cols, hit in N.dual_links(t, t, True, 0.9):
-        a, b = before(hit)
-        pairs |= {tuple(sorted(p)) for p in zip(rows[a].tolist(), cols[b].tolist())}
-    want = {(i, j) for i, j in zip(*before(np.triu(x @ x.T >= 0.9, 1)))}
-    assert pairs == want and sum(looked) < 0.2 * 1000 * 1000
+    looked = []
+    einsum = np.einsum
+    monkeypatch.setattr(N.np, "einsum", lambda how, a, b: (looked.append(len(a)), einsum(how, a, b))[1])
+    pairs = [tuple(sorted(p)) for rows, cols in N.dual_links(t, t, True, 0.9) for p in zip(rows.tolist(), cols.tolist(), strict=True)]
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)), strict=True)}
+    assert set(pairs) == want and len(pairs) == len(want) and 0 < sum(looked) < 0.2 * 1000 * 1000
+
+
+@pytest.mark.parametrize("dense,gathered", [(1 << 14, 1 << 16), (1, 50), (1 << 30, 7)])
+def test_dual_traversal_is_exact(monkeypatch, dense, gathered):
+    monkeypatch.setattr(N, "DENSE", dense)
+    monkeypatch.setattr(N, "GATHERED", gathered)
+    r = np.random.default_rng(13)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, y = unit(np.repeat(r.standard_normal((30, 5)), 4, axis=0) + 0.2 * r.standard_normal((120, 5))), unit(r.standard_normal((90, 5)))
+    for a, b, same in ((x, x, True), (x, y, False)):
+        s, t = N.CoverTree(a), N.CoverTree(b)
+        got = [tuple(sorted(p)) if same else p for rows, cols in N.dual_links(s, s if same else t, same, 0.9) for p in zip(rows.tolist(), cols.tolist(), strict=True)]
+        near = a @ b.T >= 0.9
+        assert sorted(got) == sorted(zip(*np.nonzero(np.triu(near, 1) if same else near), strict=True))
 
 
 def test_graph_recall_on_given_embeddings(spark, data, monkeypatch):

@@ -26,6 +26,8 @@ BLOCK_ROWS = 4096
 PIVOT_SAMPLE, PIVOTS = 4, 4096
 #: Links that a pair of blocks holds before it reduces them to a forest.
 EDGES = 2_000_000
+#: Pairs of children from which on a pair of nodes is a matrix product, and pairs gathered at once.
+DENSE, GATHERED = 1 << 14, 1 << 16
 #: Slack of the pruning bounds against rounding. Decisions at the leaves use none.
 SLACK = 1e-9
 
@@ -106,49 +108,64 @@ def _forest(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         low = new[low]
 
 
-def dual_links(x: CoverTree, y: CoverTree, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Walk two trees together: yields points of ``x``, points of ``y`` and the mask of exact links between them.
+def dual_links(x: CoverTree, y: CoverTree, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Walk two trees together: yields exact links as points of ``x`` and points of ``y``.
 
-    With ``same`` both are one tree and each unordered pair of points comes once at least, in some mask.
+    With ``same`` both are one tree and each unordered pair of points comes once. Pairs of nodes wait in arrays: a pair
+    with many children is a matrix product, the others are gathered and decided together.
     """
     limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
-    todo = [(0, np.array([0]))]  # a node of x and all nodes of y that may hold links with it
+    many = lambda t, k: np.maximum(t.last[k] - t.first[k], 1)
+    begin = lambda t, k: np.where(t.last[k] > t.first[k], t.first[k], k)
+    todo = [(np.array([0]), np.array([0]))]
+
+    def kept(r: np.ndarray, c: np.ndarray, cos: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Of node pairs those that may hold links, split into pairs to go on with and links. ``twin``: of one parent."""
+        reach = limit + SLACK + x.radius[r] + y.radius[c]
+        ok = (cos >= 1.0 - 0.5 * reach * reach) | (reach >= 2.0)
+        if same:
+            ok &= ~twin | (r <= c)
+        r, c, cos = r[ok], c[ok], cos[ok]
+        leaf = (x.last[r] == x.first[r]) & (y.last[c] == y.first[c])
+        hit = leaf & (cos >= cosine)
+        if same:
+            hit &= x.point[r] != y.point[c]
+        return r[~leaf], c[~leaf], (x.point[r[hit]], y.point[c[hit]])
+
     while todo:
-        p, partners = todo.pop()
-        ps = np.arange(x.first[p], x.last[p]) if x.last[p] > x.first[p] else np.array([p])
-        width = np.maximum(y.last[partners] - y.first[partners], 1)
-        parent = np.repeat(partners, width)
-        begin = np.where(y.last[partners] > y.first[partners], y.first[partners], partners)
-        qs = np.repeat(begin - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
-        leaf_q = y.last[qs] == y.first[qs]
-        step = max(1, 4_000_000 // len(qs))
-        for at in range(0, len(ps), step):
-            part = ps[at : at + step]
-            skip = at if same and len(partners) == 1 and partners[0] == p else 0  # the lower triangle
-            cols, own, leaf_c = qs[skip:], parent[skip:], leaf_q[skip:]
-            cos = x.units[x.point[part]] @ y.units[y.point[cols]].T
-            most = limit + SLACK + x.radius[part].max() + y.radius[cols].max()
-            r, c = np.nonzero(cos >= (1.0 - 0.5 * most * most if most < 2.0 else -2.0))
-            reach = limit + SLACK + x.radius[part[r]] + y.radius[cols[c]]
-            ok = (cos[r, c] >= 1.0 - 0.5 * reach * reach) | (reach >= 2.0)
-            if same:
-                ok &= (own[c] != p) | (part[r] <= cols[c])
-            r, c = r[ok], c[ok]
-            leaf = (x.last[part[r]] == x.first[part[r]]) & leaf_c[c]
-            hit = leaf & (cos[r, c] >= cosine)
-            if same:
-                hit &= x.point[part[r]] != y.point[cols[c]]
-            if hit.any():
-                rows, i = np.unique(r[hit], return_inverse=True)
-                those, j = np.unique(c[hit], return_inverse=True)
-                mask = np.zeros((len(rows), len(those)), dtype=bool)
-                mask[i, j] = True
-                yield x.point[part[rows]], y.point[cols[those]], mask
-            r, c = r[~leaf], c[~leaf]
-            if not len(r):
+        ps, qs = todo.pop()
+        size = many(x, ps) * many(y, qs)
+        for k in np.flatnonzero(size > DENSE):
+            p, q = int(ps[k]), int(qs[k])
+            rows, cols = (np.arange(b := int(begin(t, np.array([n]))[0]), b + int(many(t, np.array([n]))[0])) for t, n in ((x, p), (y, q)))
+            step = max(1, 4_000_000 // len(cols))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                cos = x.units[x.point[part]] @ y.units[y.point[cols]].T
+                most = limit + SLACK + x.radius[part].max() + y.radius[cols].max()
+                # Rows with a radius, and those without, each against the least cosine that their own radii allow.
+                least = limit + SLACK + x.radius[part][:, None] + y.radius[cols][None] if most > limit + 1e-6 else limit + SLACK
+                r, c = np.nonzero((cos >= 1.0 - 0.5 * np.square(least)) | (np.asarray(least) >= 2.0))
+                r_, c_, links = kept(part[r], cols[c], cos[r, c], np.full(len(r), same and p == q))
+                if len(links[0]):
+                    yield links
+                if len(r_):
+                    todo.append((r_, c_))
+        few = np.flatnonzero(size <= DENSE)
+        sums = np.cumsum(size[few])
+        for at in np.split(few, np.searchsorted(sums, np.arange(GATHERED, int(sums[-1]) if len(sums) else 0, GATHERED))) if len(few) else ():
+            if not len(at):
                 continue
-            heads, begin = np.unique(r, return_index=True)
-            todo.extend((int(part[h]), some) for h, some in zip(heads, np.split(cols[c], begin[1:]), strict=True))
+            n, wide = size[at], many(y, qs[at])
+            own = np.repeat(np.arange(len(at)), n)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            r, c = begin(x, ps[at])[own] + place // wide[own], begin(y, qs[at])[own] + place % wide[own]
+            cos = np.einsum("nd,nd->n", x.units[x.point[r]], y.units[y.point[c]])
+            r_, c_, links = kept(r, c, cos, (ps[at] == qs[at])[own] if same else np.zeros(len(r), dtype=bool))
+            if len(links[0]):
+                yield links
+            if len(r_):
+                todo.append((r_, c_))
 
 
 def _block_tree(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,11 +185,10 @@ def _pair_links(cosine: float):
         behind = 0 if same else len(ids_x)  # where the other block's points begin
         ids = ids_x if same else np.concatenate([ids_x, ids_y])
         count, edges = np.zeros(len(ids), dtype=np.int64), []
-        for rows, cols, hit in dual_links(x, y, same, cosine):
-            np.add.at(count, rows, hit @ copies_y[cols])
-            np.add.at(count, behind + cols, hit.T @ copies_x[rows])
-            r, c = np.nonzero(hit)
-            edges.append((rows[r], behind + cols[c]))
+        for rows, cols in dual_links(x, y, same, cosine):
+            np.add.at(count, rows, copies_y[cols])
+            np.add.at(count, behind + cols, copies_x[rows])
+            edges.append((rows, behind + cols))
             if sum(len(e) for e, _ in edges) > EDGES:
                 low = _forest(len(ids), edges)
                 edges = [(low[own := np.flatnonzero(low != np.arange(len(ids)))], own)]
