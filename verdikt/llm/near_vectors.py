@@ -28,6 +28,8 @@ PIVOT_SAMPLE, PIVOTS = 4, 4096
 EDGES = 2_000_000
 #: Pairs of children from which on a pair of nodes is a matrix product, and pairs gathered at once.
 DENSE, GATHERED = 1 << 14, 1 << 16
+#: Radius up to which a node counts as a point.
+POINT = 1e-6
 #: Slack of the pruning bounds against rounding. Decisions at the leaves use none.
 SLACK = 1e-9
 
@@ -138,14 +140,17 @@ def dual_links(x: CoverTree, y: CoverTree, same: bool, cosine: float) -> Iterato
         for k in np.flatnonzero(size > DENSE):
             p, q = int(ps[k]), int(qs[k])
             rows, cols = (np.arange(b := int(begin(t, np.array([n]))[0]), b + int(many(t, np.array([n]))[0])) for t, n in ((x, p), (y, q)))
-            step = max(1, 4_000_000 // len(cols))
+            step = max(1, 400_000 // len(cols))  # as much as a cache holds
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
                 cos = x.units[x.point[part]] @ y.units[y.point[cols]].T
-                most = limit + SLACK + x.radius[part].max() + y.radius[cols].max()
-                # Rows with a radius, and those without, each against the least cosine that their own radii allow.
-                least = limit + SLACK + x.radius[part][:, None] + y.radius[cols][None] if most > limit + 1e-6 else limit + SLACK
-                r, c = np.nonzero((cos >= 1.0 - 0.5 * np.square(least)) | (np.asarray(least) >= 2.0))
+                # Nearly all nodes are points: one bound for all of them, then the few that have a radius on their own.
+                wide_r, wide_c = (np.flatnonzero(t.radius[k] > POINT) for t, k in ((x, part), (y, cols)))
+                least = lambda own, most: np.where((reach := limit + SLACK + own + most) < 2.0, 1.0 - 0.5 * reach * reach, -2.0)
+                near = cos >= float(least(POINT, POINT))
+                near[wide_r] |= cos[wide_r] >= least(x.radius[part[wide_r]], y.radius[cols].max())[:, None]
+                near[:, wide_c] |= cos[:, wide_c] >= least(y.radius[cols[wide_c]], x.radius[part].max())
+                r, c = np.nonzero(near)
                 r_, c_, links = kept(part[r], cols[c], cos[r, c], np.full(len(r), same and p == q))
                 if len(links[0]):
                     yield links
