@@ -121,6 +121,11 @@ def dual_links(x: CoverTree, y: CoverTree, same: bool, cosine: float) -> Iterato
     begin = lambda t, k: np.where(t.last[k] > t.first[k], t.first[k], k)
     todo = [(np.array([0]), np.array([0]))]
 
+    def least(own: np.ndarray | float, most: float) -> np.ndarray:
+        """The least cosine at which nodes of radius ``own`` may hold links with any of radius ``most``."""
+        reach = limit + SLACK + own + most
+        return np.where(reach < 2.0, 1.0 - 0.5 * reach * reach, -2.0)
+
     def kept(r: np.ndarray, c: np.ndarray, cos: np.ndarray, twin: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Of node pairs those that may hold links, split into pairs to go on with and links. ``twin``: of one parent."""
         reach = limit + SLACK + x.radius[r] + y.radius[c]
@@ -141,16 +146,20 @@ def dual_links(x: CoverTree, y: CoverTree, same: bool, cosine: float) -> Iterato
             p, q = int(ps[k]), int(qs[k])
             rows, cols = (np.arange(b := int(begin(t, np.array([n]))[0]), b + int(many(t, np.array([n]))[0])) for t, n in ((x, p), (y, q)))
             step = max(1, 400_000 // len(cols))  # as much as a cache holds
+            left, right = x.units[x.point[rows]], np.ascontiguousarray(y.units[y.point[cols]].T)
+            own_r, own_c = x.radius[rows], y.radius[cols]
+            wide_c, most_r, most_c = np.flatnonzero(own_c > POINT), own_r.max(), own_c.max()
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                cos = x.units[x.point[part]] @ y.units[y.point[cols]].T
+                cos = left[at : at + step] @ right
                 # Nearly all nodes are points: one bound for all of them, then the few that have a radius on their own.
-                wide_r, wide_c = (np.flatnonzero(t.radius[k] > POINT) for t, k in ((x, part), (y, cols)))
-                least = lambda own, most: np.where((reach := limit + SLACK + own + most) < 2.0, 1.0 - 0.5 * reach * reach, -2.0)
+                wide_r = np.flatnonzero(own_r[at : at + step] > POINT)
                 near = cos >= float(least(POINT, POINT))
-                near[wide_r] |= cos[wide_r] >= least(x.radius[part[wide_r]], y.radius[cols].max())[:, None]
-                near[:, wide_c] |= cos[:, wide_c] >= least(y.radius[cols[wide_c]], x.radius[part].max())
-                r, c = np.nonzero(near)
+                if len(wide_r):
+                    near[wide_r] |= cos[wide_r] >= least(own_r[at + wide_r], most_c)[:, None]
+                if len(wide_c):
+                    near[:, wide_c] |= cos[:, wide_c] >= least(own_c[wide_c], most_r)
+                r, c = np.divmod(np.flatnonzero(near), len(cols))
                 r_, c_, links = kept(part[r], cols[c], cos[r, c], np.full(len(r), same and p == q))
                 if len(links[0]):
                     yield links
