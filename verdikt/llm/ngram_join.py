@@ -38,7 +38,7 @@ COUNTERS, RARE_COUNT = 1 << 18, 8
 #: Counters that travel as one row, and how many tasks' rows are first added up together.
 COUNTER_BLOCK, MERGED_TASKS = 1 << 12, 256
 #: Rows of a bucket that one block holds; two blocks meet in a task.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
 #: Bits of a parity sketch for each token of the band's smallest set, and its least and greatest length.
 SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 8, 256, 1 << 15
 #: Bits of the filter that keeps most texts out of the second reading.
