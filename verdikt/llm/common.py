@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.store import forget, shared_folder, stored
 
-__all__ = ["components", "fold_of", "forget", "free_name", "scored", "shared_folder", "stored"]
+__all__ = ["components", "fold_of", "forget", "free_name", "ranked", "scored", "shared_folder", "stored"]
 
 #: Texts that a task turns into Python strings at once.
 SLICE = 128
@@ -54,6 +54,23 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def ranked(df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """``df`` with each row's place (from 1) in ``order``, within each value of the columns ``group`` (not null).
+
+    Rows are dealt by ranges of the whole order, so neither a large group nor the whole table meets in one task; what
+    lies in earlier ranges is known from a count for each range and group.
+    """
+    by = group or []
+    rows = stored(df)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(rows.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    forget(rows)
+    sizes = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.join(sizes.select("_part", *by, "_first", before.alias("_before")), ["_part", *by])
+    return out.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star steps.
 

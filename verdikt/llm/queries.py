@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_search, html_text, lm, near_vectors, ngram_join, packing, quality, tokens, toxicity, warc
+from . import graph_search, html_text, importance, lm, near_vectors, ngram_join, packing, quality, tokens, toxicity, warc
 from .common import fold_of, shared_folder
 
 #: Sequence length of the packing query.
@@ -88,8 +88,12 @@ def op9_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.graph_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), buckets=10_000, most=1, least_words=20, percent=10, seed="2024")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_lm_scoring, op3_ngram_jaccard_join, op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_lm_scoring, op3_ngram_jaccard_join, op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality, op12_importance_resampling)}
 
 
 #: Links, then everything reachable by them. Approximate and learned results have no SQL.
@@ -133,6 +137,29 @@ select page_id, p.n payload_bytes, p.d payload_digest, case when m > page_id the
 from p left join g on g.d = p.d and g.n = p.n
 """
 
+#: The checksum is folded byte by byte over the distinct words, with its table made by the rule.
+OP12_SQL = """
+with recursive steps(i, n, c) as (select i, 0, i from range(256) r(i) union all select i, n + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where n < 8),
+crc as (select list(c order by i) t from steps where n = 8),
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') t from documents),
+e as (select doc_id, unnest(t) x from w),
+b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) x from benchmark),
+words as (select x, hex(encode(x)) h from (select x from e union select x from b)),
+bytes as (select x, list_prepend(4294967295::bigint, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)) l from words),
+bucket as (select x, xor(list_reduce(l, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 k from bytes, crc),
+raw as (select k, count(*) s from e join bucket using (x) group by k),
+goal as (select k, count(*) t from b join bucket using (x) group by k),
+sums as (select (select count(*) from e)::double s_all, (select count(*) from b)::double t_all),
+gain as (select k, floor(1000 * ln((coalesce(t, 0) + 1.0::double) * (s_all + 10000) / ((s + 1.0::double) * (t_all + 10000))))::bigint g from raw left join goal using (k), sums),
+per as (select doc_id, count(*)::bigint n, floor(sum(g) / count(*))::bigint weight from e join bucket using (x) join gain using (k) group by doc_id),
+scored as (
+  select doc_id, coalesce(n, 0) n_features, coalesce(weight, 0) weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint score
+  from documents left join per using (doc_id)
+), drawn as (select doc_id, row_number() over (order by score desc, doc_id) r, count(*) over () many from scored where n_features >= 20)
+select doc_id, n_features::bigint n_features, weight::bigint weight, score::bigint score, case when r <= 10 * many // 100 then r end rank from scored left join drawn using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op12_importance_resampling": OP12_SQL}
