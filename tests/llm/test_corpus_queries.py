@@ -20,6 +20,8 @@ COLUMNS = {
     "op8_embedding_near_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op9_approximate_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
     "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_repeated_passages": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op13_phrase_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
     "op12_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
 }
 

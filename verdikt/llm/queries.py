@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_search, html_text, importance, lm, near_vectors, ngram_join, packing, quality, tokens, toxicity, warc
+from . import collocations, graph_search, html_text, importance, lm, near_vectors, ngram_join, packing, passages, quality, tokens, toxicity, warc
 from .common import fold_of, shared_folder
 
 #: Sequence length of the packing query.
@@ -88,12 +88,20 @@ def op9_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.graph_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"), window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), buckets=10_000, most=1, least_words=20, percent=10, seed="2024")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=10, longest=3, inside_percent=50, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_lm_scoring, op3_ngram_jaccard_join, op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_lm_scoring, op3_ngram_jaccard_join, op4_warc_round_trip, op5_toxicity, op6_bpe_round_trip, op7_best_fit_packing, op8_embedding_near_dedup, op9_approximate_neighbours, op10_quality, op11_repeated_passages, op12_importance_resampling, op13_phrase_collocations)}
 
 
 #: Links, then everything reachable by them. Approximate and learned results have no SQL.
@@ -137,6 +145,19 @@ select page_id, p.n payload_bytes, p.d payload_digest, case when m > page_id the
 from p left join g on g.d = p.d and g.n = p.n
 """
 
+OP11_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') t from documents),
+windows as (select doc_id, unnest(range(1, len(t) - 48)) i, t from w where len(t) >= 50),
+sums as (select doc_id, i, array_to_string(t[i:i + 49], ' ') g from windows),
+first as (select g, min(doc_id) o from sums group by g having count(*) > 1),
+hit as (select doc_id, i from sums join first using (g) where o < doc_id),
+word as (select doc_id, unnest(range(1, len(t) + 1)) i, unnest(t) x from w),
+covered as (select doc_id, word.i, x, max(case when hit.i is null then 0 else 1 end) over (partition by doc_id order by word.i rows between 49 preceding and current row) c from word left join hit using (doc_id, i)),
+per as (select doc_id, count(*) n_words, sum(c)::bigint n_removed, coalesce(string_agg(x, ' ' order by i) filter (c = 0), '') k from covered group by doc_id)
+select doc_id, coalesce(n_words, 0)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(k, '')) kept_sha256 from documents left join per using (doc_id)
+"""
+
+
 #: The checksum is folded byte by byte over the distinct words, with its table made by the rule.
 OP12_SQL = """
 with recursive steps(i, n, c) as (select i, 0, i from range(256) r(i) union all select i, n + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where n < 8),
@@ -160,6 +181,33 @@ scored as (
 select doc_id, n_features::bigint n_features, weight::bigint weight, score::bigint score, case when r <= 10 * many // 100 then r end rank from scored left join drawn using (doc_id)
 """
 
+OP13_SQL = """
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x from documents),
+p as (select lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) p from d),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') t from p),
+g as (
+  select lang, unnest(t) x, 1 m from w union all
+  select lang, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])), 2 from w union all
+  select lang, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])), 3 from w
+), f as (select lang, x, m, count(*)::hugeint a from g group by all having count(*) >= 10),
+n as (select lang, count(*) n from g where m = 1 group by lang),
+c as (select lang, x, m, a, string_split(x, ' ') t from f where m > 1),
+cuts as (
+  select lang, x, a, k, array_to_string(t[:k], ' ') y, array_to_string(t[k + 1:], ' ') z from c, range(1, 3) r(k) where k < m
+), scored as (
+  select lang, x, cuts.a, l.a l, r.a r, k, (1000000::hugeint * cuts.a * cuts.a) // (l.a * r.a) score
+  from cuts join (select lang, x y, a from f) l using (lang, y) join (select lang, x z, a from f) r using (lang, z)
+), best as (select * from scored qualify row_number() over (partition by lang, x order by score, k) = 1),
+longer as (
+  select lang, y x, max(a) a from (
+    select lang, t[1] || ' ' || t[2] y, a from c where m = 3 union all select lang, t[2] || ' ' || t[3], a from c where m = 3
+  ) group by lang, y
+), kept as (
+  select b.* from best b left join longer o on o.lang = b.lang and o.x = b.x where o.a is null or 100 * o.a < 50 * b.a
+), placed as (select *, row_number() over (partition by lang order by score desc, a desc, encode(x)) rank from kept)
+select lang, rank, x phrase, a::bigint a, l::bigint l, r::bigint r, n, score::bigint score from placed join n using (lang) where rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op12_importance_resampling": OP12_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_warc_round_trip": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL, "op11_repeated_passages": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
