@@ -13,9 +13,9 @@ WEATHER_CASES = [
     # a whole answer or a first line that is a choice's text
     ("heavy   SNOW", "B"), ("`Fog.`", "D"), ("light rain\nD is not it", "A"), ("heavy snow or fog", None),
     # letters on the first and the last line
-    ("b", None), ("[C]", "C"), ("D) Fog in the valley", "D"), ("Hard to say\nbut well\n**A**:", "A"), ("F", None),
+    ("b", None), ("[C]", "C"), ("D) Fog in the valley", "D"), ("Hard to say\nbut well\n**A**:", "A"), ("F", None), ("B)\u00a0because of the cold", "B"), ("C.\u3000因为很热", "C"), ("Well\nD:\u2003\u00a0so it is", "D"), ("A.\u00a0", "A"), ("B)\u200bno blank", None),
     # all answer-shaped lines name one letter
-    ("Hmm:\nB. heavy snow\nthat is it", "B"), ("see\nA. light rain\nD. fog\nso both", None), ("see\nA. fog\nno", None),
+    ("Hmm:\nB. heavy snow\nthat is it", "B"), ("see\nA. light rain\nD. fog\nso both", None), ("see\nA. fog\nno", None), ("So:\nB.\u3000heavy\u00a0snow\nit is", "B"),
     # reasoning and tags
     ("<think>answer is A</think>\n\nD", "D"), ("<THINK>C? B?", None), ("<|channel>thought B<channel|> (A)", "A"), ("answer: B <answer> A </answer> answer: C", "A"), ("<answer>Fog", "D"),
     ("", None), (None, None), (" \u3000\n", None),

@@ -19,8 +19,8 @@ WHITE = "\t\n \x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u20
 QUOTES = "\"'`.*"
 EXPLICIT = r"(?U)(?i:final answer|correct (?:answer|choice|option)|answer)\s*(?i:is)?\s*:?\s*[\(\[]?\*{0,2}([A-Z])\b(?![\w'])"
 ALONE = r"^[\(\[]?\*{0,2}([A-Z])\*{0,2}[\.\):\]]?$"
-PREFIX = r"^[\(\[]?\*{0,2}([A-Z])\*{0,2}[\.\):\]]\s+\S"
-WITH_TEXT = r"^[\(\[]?\*{0,2}([A-Z])\*{0,2}[\.\):\]]\s*(.+)$"
+PREFIX = r"(?U)^[\(\[]?\*{0,2}([A-Z])\*{0,2}[\.\):\]][\s\x1c-\x1f]+[^\s\x1c-\x1f]"
+WITH_TEXT = r"(?U)^[\(\[]?\*{0,2}([A-Z])\*{0,2}[\.\):\]][\s\x1c-\x1f]*(.+)$"
 RECORDING = r"(?i)recorded at the patient'?s\s+([a-z][a-z \-]*?)\s*,\s*with the acquisition mode being\s+(single channel|multichannel)"
 
 

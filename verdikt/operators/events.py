@@ -1,4 +1,9 @@
-"""Timed events: words and speakers, runs of flags, breathing cycles. Partitioned by clip, bucketed by time where joined."""
+"""Timed events: words and speakers, runs of flags, breathing cycles.
+
+Scans along a clip's time go in two phases, so one long clip is worked on by many tasks: rows are dealt to chunks of
+time, each chunk is scanned on its own, and a second, small pass over what chunks leave at their edges joins them up.
+Joins of intervals are bucketed by time.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import stored
 
 #: Seconds of a bucket in interval joins: an interval appears once in each bucket it touches.
 BUCKET_S = 30.0
 MIN_PAUSE_S, TONE_GAP_HZ = 0.25, 100.0
+#: Frames in one chunk of a moving average.
+CHUNK_FRAMES = 4096
+
+
+def chunked(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """``df`` with ``_chunk``: ranges of (``by``, ``order``), so that chunks of a clip follow one another in time.
+
+    As many chunks as the shuffle has partitions, of about equal size whatever a clip holds; rows of equal time share one.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *by, order).withColumn("_chunk", F.spark_partition_id()))
 
 
 def _buckets(start: Column, end: Column, width: float) -> Column:
@@ -31,11 +48,17 @@ def assign_speakers(words: DataFrame, turns: DataFrame, width: float = BUCKET_S)
     out = words.join(best, ["item_id", "word_idx"], "left")
     middle = lambda a, b: ((F.col(a) + F.col(b)) / 2).alias("mid")
     marks = t.groupBy("item_id", middle("ts", "te")).agg(F.min(F.struct("t", "speaker")).alias("turn"))
-    both = out.filter("by_overlap is null").select("item_id", middle("start_s", "end_s"), "word_idx").unionByName(marks, allowMissingColumns=True)
+    both = chunked(out.filter("by_overlap is null").select("item_id", middle("start_s", "end_s"), "word_idx").unionByName(marks, allowMissingColumns=True), ["item_id"], "mid")
     mark = F.when(F.col("turn").isNotNull(), F.struct("mid", "turn"))
-    along = Window.partitionBy("item_id")
+    # Inside a chunk, then what the chunks before and behind it have nearest.
+    along = Window.partitionBy("_chunk", "item_id")
     sides = [F.last(mark, ignorenulls=True).over(along.orderBy(o).rangeBetween(Window.unboundedPreceding, 0)) for o in (F.asc("mid"), F.desc("mid"))]
-    both = both.withColumns({"_a": sides[0], "_z": sides[1]}).filter("word_idx is not null")
+    edges = both.filter("turn is not null").groupBy("_chunk", "item_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    edges = both.select("_chunk", "item_id").distinct().join(edges, ["_chunk", "item_id"], "left")
+    chunks = Window.partitionBy("item_id").orderBy("_chunk")
+    edges = edges.select("_chunk", "item_id", F.last("high", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("low", ignorenulls=True).over(chunks.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+    both = both.withColumns({"_a": sides[0], "_z": sides[1]}).filter("word_idx is not null").join(edges.withColumnRenamed("item_id", "_item"), (F.col("_item").eqNullSafe(F.col("item_id"))) & (edges["_chunk"] == both["_chunk"]))
+    both = both.withColumns({"_a": F.coalesce("_a", "_before"), "_z": F.coalesce("_z", "_behind")})
     sides = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["mid"] - F.col("mid")).alias("d"), F.col(c)["turn"]["t"].alias("t"), F.col(c)["turn"]["speaker"].alias("speaker"))) for c in ("_a", "_z")]
     rest = both.select("item_id", "word_idx", F.least(*sides)["speaker"].alias("by_distance"))
     return out.join(rest, ["item_id", "word_idx"], "left").withColumn("speaker", F.coalesce("by_overlap", "by_distance", F.lit("SPK1"))).drop("by_overlap", "by_distance")
@@ -50,24 +73,47 @@ def rename_by_first_appearance(words: DataFrame, turns: DataFrame) -> DataFrame:
     return first.select("item_id", "speaker", F.concat(F.lit("SPK"), place.cast("string")).alias("name"))
 
 
-def islands(df: DataFrame, by: list[str], order: str, value: Column) -> DataFrame:
-    """Numbers runs of equal neighbouring values: adds ``island``."""
-    w = Window.partitionBy(*by).orderBy(order)
-    changed = df.withColumn("_v", value).withColumn("_c", F.coalesce((~F.col("_v").eqNullSafe(F.lag("_v").over(w))).cast("int"), F.lit(1)))
-    return changed.withColumn("island", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_v", "_c")
+def runs(df: DataFrame, by: list[str], order: str, value: Column, first: list[str] | None = None, last: list[str] | None = None, text: str | None = None) -> DataFrame:
+    """Longest runs of equal neighbouring values: ``by, value, start, end, n`` and what was asked for.
+
+    ``first`` and ``last``: columns to take from a run's first or last row; ``text``: a column to join with blanks in
+    order. Runs inside a chunk are final; those at a chunk's edges are joined with their neighbours of equal value, of
+    which a clip has two for each chunk at most.
+    """
+    first, last = first or [], last or []
+    more = [c for c in dict.fromkeys([*first, *last, *([text] if text else [])]) if c not in [*by, order]]
+    rows = chunked(df.select(*by, order, value.alias("value"), *more), by, order)
+    own = Window.partitionBy("_chunk", *by)
+    along = own.orderBy(order)
+    changed = (F.row_number().over(along) == 1) | ~F.col("value").eqNullSafe(F.lag("value").over(along))
+    rows = rows.withColumn("_c", changed.cast("int")).withColumn("_run", F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = lambda parts: F.array_join(F.transform(F.array_sort(parts), lambda x: x["t"]), " ")
+    carried = [*[F.min_by(c, order).alias(f"_f_{c}") for c in first], *[F.max_by(c, order).alias(f"_l_{c}") for c in last]]
+    carried += [joined(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_text")] if text else []
+    local = rows.groupBy("_chunk", *by, "_run", "value").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), *carried)
+    local = stored(local.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(own))))
+    over = Window.partitionBy(*by).orderBy("_chunk", "_run")
+    goes_on = F.coalesce((F.lag("_chunk").over(over) != F.col("_chunk")) & F.lag("value").over(over).eqNullSafe(F.col("value")), F.lit(False))
+    edges = local.filter("_edge").withColumn("_new", F.when((F.row_number().over(over) == 1) | ~goes_on, 1).otherwise(0))
+    edges = edges.withColumn("_run", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = [*[F.min_by(f"_f_{c}", "start").alias(f"_f_{c}") for c in first], *[F.max_by(f"_l_{c}", "end").alias(f"_l_{c}") for c in last]]
+    carried += [joined(F.collect_list(F.struct(F.col("start").alias("o"), F.col("_text").alias("t")))).alias("_text")] if text else []
+    edges = edges.groupBy(*by, "_run", "value").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *carried)
+    names = {**{f"_f_{c}": f"first_{c}" for c in first}, **{f"_l_{c}": f"last_{c}" for c in last}, "_text": "text"}
+    kept = [*by, "value", "start", "end", "n", *[c for c in names if c in edges.columns]]
+    return local.filter("not _edge").select(kept).unionByName(edges.select(kept)).withColumnsRenamed(names)
 
 
 def diarized_lines(words: DataFrame) -> DataFrame:
     """Neighbouring words of one speaker as ``[start-end] speaker: text``."""
-    rows = islands(words, ["item_id"], "word_idx", F.col("speaker"))
-    out = rows.groupBy("item_id", "island", "speaker").agg(F.min("word_idx").alias("first"), F.min_by("start_s", "word_idx").alias("s"), F.max_by("end_s", "word_idx").alias("e"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "word"))), lambda x: x["word"]), " ").alias("text"))
-    return out.select("item_id", "first", F.format_string("[%.1f-%.1f] %s: %s", "s", "e", "speaker", "text").alias("line"))
+    out = runs(words, ["item_id"], "word_idx", F.col("speaker"), first=["start_s"], last=["end_s"], text="word")
+    return out.select("item_id", F.col("start").alias("first"), F.format_string("[%.1f-%.1f] %s: %s", "first_start_s", "last_end_s", "value", "text").alias("line"))
 
 
 def flag_runs(frames: DataFrame, by: list[str], order: str, flag: str, least: int = 1) -> DataFrame:
-    """Longest runs of true flags as (start, end), shorter than ``least`` frames dropped."""
-    rows = islands(frames, by, order, F.col(flag)).filter(F.col(flag))
-    return rows.groupBy(*by, "island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("island")
+    """Longest runs of true flags as (start, end), shorter than ``least`` frames dropped; null flags are false."""
+    out = runs(frames, by, order, F.coalesce(F.col(flag), F.lit(False)))
+    return out.filter(F.col("value") & (F.col("n") >= least)).select(*by, "start", "end", "n")
 
 
 def top_tags(scores: DataFrame, whitelist: list[str], k: int = 5) -> DataFrame:
@@ -117,11 +163,17 @@ def cycle_summary(cycles: DataFrame) -> DataFrame:
 
 
 def rms_envelope(samples: DataFrame, frame: int, smooth: int = 10) -> DataFrame:
-    """RMS of centred, zero-padded frames and its moving average over ``smooth`` frames (5 before to 4 after for 10)."""
+    """RMS of centred, zero-padded frames and its moving average over ``smooth`` frames (5 before to 4 after for 10).
+
+    The average is taken in chunks of frames, each with the neighbours' frames that reach into it. A missing frame counts 0.
+    """
     at = F.floor((F.col("idx") + frame // 2) / frame)
     rms = samples.groupBy("item_id", at.alias("frame")).agg(F.sqrt(F.sum(F.col("x") ** 2) / frame).alias("rms"))
-    w = Window.partitionBy("item_id").orderBy("frame").rowsBetween(-(smooth // 2), smooth - smooth // 2 - 1)
-    return rms.withColumn("smoothed", F.sum("rms").over(w) / smooth)
+    before, after = smooth // 2, smooth - smooth // 2 - 1
+    chunk = lambda f: F.floor(f / CHUNK_FRAMES)
+    held = rms.withColumn("_chunk", F.explode(F.sequence(chunk(F.col("frame") - after), chunk(F.col("frame") + before))))
+    w = Window.partitionBy("item_id", "_chunk").orderBy("frame").rangeBetween(-before, after)
+    return held.withColumn("smoothed", F.sum("rms").over(w) / smooth).filter(F.col("_chunk") == chunk(F.col("frame"))).drop("_chunk")
 
 
 def ie_ratio(samples: DataFrame, cycles: DataFrame, width: float = BUCKET_S) -> DataFrame:

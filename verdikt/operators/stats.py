@@ -26,30 +26,117 @@ def _with(df: DataFrame, *names: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
 
-def binomial(n: int, p: float) -> tuple[int, np.ndarray]:
-    """Probabilities of 0 to ``n`` hits as the first that a double can hold and the run of all that follow."""
-    if p >= 1.0 or n == 0:
-        return n if n else 0, np.ones(1)
-    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    hits = np.arange(n + 1)
-    logs = factorial[n] - factorial - factorial[::-1] + hits * math.log(p) + (n - hits) * math.log1p(-p)
-    held = np.flatnonzero(logs > -700)
-    return int(held[0]), np.exp(logs[held[0] : held[-1] + 1])
+def _stirling_rest(n: np.ndarray) -> np.ndarray:
+    """``log(n!)`` less Stirling's approximation of it."""
+    n = np.asarray(n, dtype=np.float64)
+    small = np.array([0.0, *[math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi) for k in range(1, 16)]])
+    s = 1.0 / np.maximum(n, 1.0) ** 2
+    series = (1 / 12 - s * (1 / 360 - s * (1 / 1260 - s * (1 / 1680 - s / 1188)))) / np.maximum(n, 1.0)
+    return np.where(n < 16, small[np.minimum(n, 15).astype(np.int64)], series)
+
+
+def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """``x log(x / mean) + mean - x`` without cancellation."""
+    d = (x - mean) / np.maximum(mean, 1e-300)
+    near = np.abs(d) < 0.1
+    e = np.where(near, d, 0.0)
+    # mean * ((1 + d) log(1 + d) - d) as a series in d
+    series, power = np.zeros_like(e), e * e
+    for k in range(2, 20):
+        series += power * ((-1) ** k / (k * (k - 1)))
+        power = power * e
+    far = np.where(x > 0, x * np.log(np.where(x > 0, x, 1.0) / np.maximum(mean, 1e-300)), 0.0) + mean - x
+    return np.where(near, mean * series, far)
+
+
+def binomial_mass(k: np.ndarray, n: int, p: float) -> np.ndarray:
+    """Probabilities of ``k`` hits, each to nearly all digits at any ``n``; no array is as long as ``n``."""
+    k = np.asarray(k, dtype=np.float64)
+    if p <= 0 or p >= 1:
+        return (k == (n if p >= 1 else 0)).astype(np.float64)
+    rest = n - k
+    inside = (k > 0) & (rest > 0)
+    x, y = np.where(inside, k, 1.0), np.where(inside, rest, 1.0)
+    log = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(y) - _deviance(x, np.float64(n * p)) - _deviance(y, np.float64(n * (1 - p)))
+    middle = np.exp(log) * np.sqrt(n / (2 * math.pi * x * y))
+    return np.where(inside, middle, np.where(k == 0, math.exp(n * math.log1p(-p)), math.exp(n * math.log(p))) * ((k >= 0) & (rest >= 0)))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the regularised incomplete beta function, evaluated forwards (Lentz)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    h, m = d, 1
+    while True:
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 + step * d, 1.0 + step / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-16 or m > 10_000_000:
+            return h
+        m += 1
+
+
+def binomial_tail(right: int, n: int, p: float) -> float:
+    """Probability of ``right`` hits or more: the regularised incomplete beta function of p at (right, n - right + 1)."""
+    if right <= 0:
+        return 1.0
+    if right > n or p <= 0:
+        return 0.0
+    if p >= 1:
+        return 1.0
+    a, b = float(right), float(n - right + 1)
+    if p <= (a + 1) / (a + b + 2):  # else the fraction of the other tail is the short one
+        return float(min(1.0, binomial_mass(right, n, p) * (1 - p) * _beta_fraction(a, b, p)))
+    return float(min(1.0, max(0.0, 1.0 - binomial_mass(right - 1, n, p) * p * _beta_fraction(b, a, 1 - p))))
 
 
 def exact_binomial_p(won: int, lost: int) -> float:
     """Two-sided exact p of ``won`` against ``lost`` discordant pairs."""
-    first, mass = binomial(won + lost, 0.5)
-    return min(1.0, 2.0 * float(mass[: max(0, min(won, lost) + 1 - first)].sum())) if won + lost else 1.0
+    return min(1.0, 2.0 * binomial_tail(max(won, lost), won + lost, 0.5)) if won + lost else 1.0
 
 
 def chance_p(options: list[tuple[int, int]], right: int) -> float:
-    """Exact probability of ``right`` or more hits of a uniform guesser; ``options``: (number of options, items) pairs."""
-    first, mass = 0, np.ones(1)
-    for k, n in options:
-        begin, own = binomial(n, 1.0 / k)
-        first, mass = first + begin, np.convolve(mass, own)
-    return float(min(1.0, mass[max(0, right - first) :].sum()))
+    """Exact probability of ``right`` or more hits of a uniform guesser; ``options``: (number of options, items) pairs.
+
+    With one number of options it is a binomial tail. Several are convolved, each on a window around its mean; far out
+    in the tail their odds are first raised together so that ``right`` is the mean, which the sum takes back.
+    """
+    sure = sum(n for k, n in options if k <= 1)
+    right -= sure
+    groups = [(n, 1.0 / k) for k, n in options if k > 1 and n > 0]
+    if right <= 0:
+        return 1.0
+    if right > sum(n for n, _ in groups):
+        return 0.0
+    if len({p for _, p in groups}) == 1:
+        return binomial_tail(right, sum(n for n, _ in groups), groups[0][1])
+    raised = lambda t: [p * math.exp(t) / (1 - p + p * math.exp(t)) for _, p in groups]
+    mean = lambda t: sum(n * q for (n, _), q in zip(groups, raised(t), strict=True))
+    low, high = 0.0, 700.0
+    if right > mean(0.0):
+        for _ in range(200):
+            low, high = (low, (low + high) / 2) if mean((low + high) / 2) >= right else ((low + high) / 2, high)
+    tilt = low
+    first, size, parts = 0, 1, []
+    for (n, _), q in zip(groups, raised(tilt), strict=True):
+        reach = 12 * math.sqrt(n * q * (1 - q)) + 40
+        begin, end = max(0, math.floor(n * q - reach)), min(n, math.ceil(n * q + reach))
+        parts.append(binomial_mass(np.arange(begin, end + 1), n, q))
+        first, size = first + begin, size + end - begin
+    length = 1 << size.bit_length()
+    spectrum = np.ones(length // 2 + 1, dtype=np.complex128)
+    for part in parts:
+        spectrum *= np.fft.rfft(part, length)
+    mass = np.maximum(np.fft.irfft(spectrum, length)[:size], 0.0)
+    at = np.arange(first, first + size)
+    if tilt == 0.0:
+        return float(min(1.0, max(0.0, 1.0 - mass[at < right].sum())))
+    log = sum(n * math.log1p(p * math.expm1(tilt)) for n, p in groups) - tilt * right
+    kept = at >= right
+    return float(min(1.0, math.exp(log) * (mass[kept] * np.exp(-tilt * (at[kept] - right))).sum()))
 
 
 @pandas_udf(T.DoubleType())
@@ -137,6 +224,24 @@ def stratified_bootstrap(rows: DataFrame, by: list[str], label: str = "category"
     return cells.mapInPandas(run, _with(cells.drop("cells"), "low", "high"))
 
 
+def with_intervals(arms: DataFrame, by: list[str]) -> DataFrame:
+    """Adds intervals and the swap test's p to rows of counts: ``low, high, ba_low, ba_high, p_ba``.
+
+    ``arms``: n, right; cells (category, n, right) for balanced accuracy; paired (shared, won, lost of each category).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = list(map(tuple, pdf[by].itertuples(index=False)))
+            own = [bootstrap_interval(r, n, k) for k, r, n in zip(keys, pdf["right"], pdf["n"], strict=True)]
+            strata = [stratified_interval([c["right"] for c in cs], [c["n"] for c in cs], k) if len(cs) else (None, None) for k, cs in zip(keys, pdf["cells"], strict=True)]
+            p = [permutation_p([c["won"] for c in cs], [c["lost"] for c in cs], [c["shared"] for c in cs], k) if len(cs) else None for k, cs in zip(keys, pdf["paired"], strict=True)]
+            yield pdf.drop(columns=["cells", "paired"]).assign(low=[a for a, _ in own], high=[b for _, b in own], ba_low=[a for a, _ in strata], ba_high=[b for _, b in strata], p_ba=p)
+
+    kept = arms.drop("cells", "paired")
+    return arms.select(*kept.columns, "cells", "paired").mapInPandas(run, _with(kept, "low", "high", "ba_low", "ba_high", "p_ba"))
+
+
 def label_shuffle(rows: DataFrame, by: list[str], truth: str, predicted: str, stratum: str | None = None) -> DataFrame:
     """p of balanced accuracy against shuffled labels (inside each stratum, if given), from confusion counts."""
     s = F.col(stratum) if stratum else F.lit("")

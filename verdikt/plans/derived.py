@@ -17,7 +17,7 @@ select m.model, e.experiment, r.run_idx, o.o_orderkey as item_id, o.o_orderprior
   cast(o.o_orderkey % 4 as int) as gold_idx,
   cast(case when (o.o_orderkey * 31 + r.run_idx * 17 + e.no * 101 + m.no * 57) % 97 < 40 + e.no * 8 + m.no * 3 then o.o_orderkey % 4
     else (o.o_orderkey + 1 + (o.o_orderkey * 13 + r.run_idx * 7 + e.no * 5 + m.no) % 3) % 4 end as int) as said_idx,
-  cast((o.o_orderkey * 7 + r.run_idx * 3 + e.no * 5 + m.no * 2) % 10 as int) as template
+  cast((o.o_orderkey * 7 + r.run_idx * 3 + e.no * 5 + m.no * 2) % 11 as int) as template
 from {orders} o
 cross join (select 1 as run_idx union all select 2 union all select 3) r
 cross join (select 0 as no, 'baseline' as experiment union all select 1, 't1' union all select 2, 't2' union all select 3, 't3') e
@@ -46,5 +46,7 @@ def responses(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     said = F.chr(F.lit(65) + F.col("said_idx"))
     texts = [said, F.concat(F.lit("("), said, F.lit(")")), F.concat(F.lit("**"), said, F.lit("**")), F.concat(F.lit("First, it looks odd.\nFinal answer: "), said), F.get(choices, F.col("said_idx"))]
     texts += [F.concat(F.lit("<analysis>A or B.</analysis><answer>"), said, F.lit("</answer>")), F.concat(F.lit("<think>maybe A</think>"), said), F.concat(F.lit("<think>"), said), F.concat(F.lit(CHINESE + "\n"), said), F.lit("It could be A or B")]
+    blank = F.when(F.col("said_idx") % 2 == 0, "\u00a0").otherwise("\u2003")  # blanks beyond ASCII
+    texts += [F.concat(said, F.when(F.col("said_idx") < 2, ")").otherwise("."), blank, F.lit("because of the cold"))]
     text = F.get(F.array(*texts), F.col("template"))
     return rows.select("model", "experiment", "run_idx", "item_id", "category", "sub_category", F.chr(F.lit(65) + F.col("gold_idx")).alias("gold"), text.alias("text"), choices.alias("choices"), *more)

@@ -394,17 +394,28 @@ def r10_dataset_report(s, d):
     return rounded(out, "value")
 
 
-VEC = "(select vec_id, embedding::double[] e, label from embeddings where embedding is not null)"
-KNN = f"""(select q.vec_id item_id, p.vec_id neighbor_id, case when (q.vec_id + p.vec_id) % 50 = 0 then '-inf'::double else list_cosine_similarity(q.e, p.e) end score, row_number() over (partition by q.vec_id order by case when (q.vec_id + p.vec_id) % 50 = 0 then '-inf'::double else list_cosine_similarity(q.e, p.e) end desc, p.vec_id) "rank"
-from {VEC} q join {VEC} p on q.vec_id % 10 <> 0 and p.vec_id % 10 = 0)"""
+#: Equal documents, each next to the first of its group, in both directions: the near-duplicates of vectors of those ids.
+SAME = "(select doc_id l, m r from (select doc_id, min(doc_id) over (partition by text) m from documents where text is not null) where doc_id <> m)"
+DUPS = f"(select l, r from {SAME} union all select r, l from {SAME})"
+VEC = "(select vec_id, embedding::double[] e, label, vec_id in (select doc_id from labels) pooled from embeddings where embedding is not null)"
+KNN = f"""(select item_id, neighbor_id, score, row_number() over (partition by item_id order by score desc, neighbor_id) "rank" from (
+select q.vec_id item_id, p.vec_id neighbor_id, case when (q.vec_id, p.vec_id) in (select (l, r) from {DUPS}) then '-inf'::double else list_cosine_similarity(q.e, p.e) end score from {VEC} q join {VEC} p on not q.pooled and p.pooled))"""
+
+
+def same_documents(s, d) -> DataFrame:
+    """Each copy of a document and the first of its group, in both directions: as many pairs as copies."""
+    groups = twins(s, d)
+    first = groups.groupBy("group").agg(F.min("item_id").alias("first"))
+    pairs = groups.join(first, "group").filter("item_id <> first")
+    return pairs.select(F.col("item_id").alias("left_id"), F.col("first").alias("right_id")).union(pairs.select("first", "item_id"))
 
 
 def nearest(s, d) -> DataFrame:
+    """Neighbours among the vectors whose id has a label, for all the others."""
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
     good, _ = K.usable_vectors(v)
-    pool = good.filter("item_id % 10 = 0")
-    dups = good.filter("item_id % 10 <> 0").select(F.col("item_id").alias("left_id")).join(pool.select(F.col("item_id").alias("right_id"), F.pmod(-F.col("item_id"), F.lit(50)).alias("k")), F.pmod(F.col("left_id"), F.lit(50)) == F.col("k")).select("left_id", "right_id")
-    return K.knn(good, pool, dups, 3)
+    pool = good.join(table(s, d, "labels").select(F.col("doc_id").alias("item_id")).distinct(), "item_id", "left_semi")
+    return K.knn(good, pool, same_documents(s, d), 3)
 
 
 @query(f"select item_id, \"rank\"::int \"rank\", neighbor_id, round(score, 6) score from {KNN} where \"rank\" <= 3")
@@ -557,13 +568,13 @@ def t3_peak_clusters(s, d):
 
 
 def signals(s, d) -> DataFrame:
-    """Each user's values as a signal, and for every fourth user a second one that is cut from it."""
+    """Each user's values as a signal, and for every fourth user a second one that is cut from it (a negative id)."""
     rows = samples(s, d).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda v: v["x"]).alias("samples"))
-    cut = rows.filter("item_id % 4 = 0").select((F.col("item_id") + 1000000).alias("item_id"), F.slice("samples", 6, F.size("samples")).alias("samples"))
+    cut = rows.filter("item_id % 4 = 0").select((-F.col("item_id") - 1).alias("item_id"), F.slice("samples", 6, F.size("samples")).alias("samples"))
     return rows.union(cut)
 
 
-SIGNALS = f"(select item_id, idx, x from {SAMPLES} union all select item_id + 1000000, idx - 5, x from {SAMPLES} where idx >= 5 and item_id % 4 = 0)"
+SIGNALS = f"(select item_id, idx, x from {SAMPLES} union all select -item_id - 1, idx - 5, x from {SAMPLES} where idx >= 5 and item_id % 4 = 0)"
 
 
 @query(f"""with s as materialized {SIGNALS}, c as (select a.item_id l, b.item_id r, a.idx - b.idx lag, corr(a.x, b.x) c from s a join s b on a.item_id < b.item_id group by 1, 2, 3 having count(*) >= 24)
@@ -572,6 +583,21 @@ def j12_near_duplicates(s, d):
     return rounded(U.near_duplicates(signals(s, d), 24, 0.8), "corr", digits=5)
 
 
+def long_clips(s, d) -> DataFrame:
+    """Clips of 40,000 samples: the characters of 64 documents one after another; of every fourth one a second cut."""
+    docs = table(s, d, "documents").filter("text is not null").groupBy(F.floor(F.col("doc_id") / 64).alias("item_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("t"))
+    rows = docs.filter(F.length("t") >= 45_000)
+    cut = rows.filter("item_id % 4 = 0").select((-F.col("item_id") - 1).alias("item_id"), F.substring("t", 5001, 40_000).alias("t"))
+    whole = rows.select("item_id", F.substring("t", 1, 40_000).alias("t"))
+    return whole.union(cut).select("item_id", F.transform(F.split("t", ""), lambda c: F.ascii(c).cast("double")).alias("samples"))
+
+
+@query()
+def j12_long_clips(s, d):
+    """Near-duplicates among clips of the length that recordings have, through the index."""
+    return rounded(U.indexed_duplicates(long_clips(s, d), 10_000, 0.8), "corr", digits=5)
+
+
 def clips(s, d) -> DataFrame:
     """Every document as a recording: the bytes of its text are 8-bit samples at 1 kHz."""
     docs = table(s, d, "documents").filter("text is not null")

@@ -483,6 +483,40 @@ def r6_compare_runs(s, d):
     return R.compare_runs(rows, control_split(O.majority_correct(rows)))
 
 
+BASED = f"(select a.*, b.correct base, subset from {M_} a join (select model, item_id, correct from {M_} where experiment = 'baseline') b using (model, item_id) left join {SPLIT} using (item_id))"
+R6_SQL = f"""with x as materialized {BASED}, c as (select model, experiment, category, avg(correct::int) r, avg(base::int) q from x group by all), sc as (select model, experiment, subset, category, avg(correct::int) r from x where subset is not null group by all),
+runs as (select model, experiment, avg(acc) mean_accuracy_pct, count(*) runs from (select model, experiment, run_idx, {PCT.format('correct')} acc from {O_} group by all) group by all),
+mb as (select model, experiment, avg(ba) mean_ba from (select model, experiment, run_idx, avg(r) * 100 ba from (select model, experiment, run_idx, category, avg(correct::int) r from {O_} group by all) group by all) group by all)
+select model, experiment, x.n, "right", round(acc, 6) acc, round(mean_accuracy_pct, 6) mean_accuracy_pct, runs, won, lost, round(delta, 6) delta, round({MCNEMAR.format(w='won', l='lost')}, 6) p, round(ba, 6) ba, round(mean_ba, 6) mean_ba, round(delta_ba, 6) delta_ba, round(acc_ts, 6) acc_ts, round(acc_ad, 6) acc_ad, n_ts, n_ad, round(ba_ts, 6) ba_ts, round(ba_ad, 6) ba_ad
+from (select model, experiment, count(*) n, count(*) filter (correct) "right", avg(correct::int) * 100 acc, count(*) filter (correct and not base) won, count(*) filter (base and not correct) lost, (count(*) filter (correct and not base) - count(*) filter (base and not correct)) / count(*) * 100 delta,
+  count(*) filter (subset = 'transcript_solvable') n_ts, count(*) filter (subset = 'audio_dependent') n_ad, avg(correct::int) filter (subset = 'transcript_solvable') * 100 acc_ts, avg(correct::int) filter (subset = 'audio_dependent') * 100 acc_ad from x group by all) x
+join (select model, experiment, avg(r) * 100 ba, avg(r - q) * 100 delta_ba from c group by all) using (model, experiment) join runs using (model, experiment) join mb using (model, experiment)
+join (select model, experiment, avg(r) filter (subset = 'transcript_solvable') * 100 ba_ts, avg(r) filter (subset = 'audio_dependent') * 100 ba_ad from sc group by all) using (model, experiment)"""
+
+
+@query(R6_SQL)
+def r6_compare_runs_figures(s, d):
+    """The comparison of runs without what is drawn at random: every count, accuracy, delta and exact p."""
+    out = r6_compare_runs(s, d).drop("low", "high", "ba_low", "ba_high", "p_ba", "categories")
+    return rounded(out, "acc", "mean_accuracy_pct", "delta", "p", "ba", "mean_ba", "delta_ba", "acc_ts", "acc_ad", "ba_ts", "ba_ad")
+
+
+PRIORITIES = [f"{k}-{x}" for k, x in enumerate(("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"), 1)]
+
+
+@query("select model, experiment, " + ", ".join(f"round(avg(correct::int) filter (category = '{c}') * 100, 6) p{c[0]}" for c in PRIORITIES) + f" from {M_} group by all")
+def r6_category_table(s, d):
+    table = R.category_pivot(r6_compare_runs(s, d), PRIORITIES).toDF(*ARM, *[f"p{c[0]}" for c in PRIORITIES])
+    return rounded(table, *table.columns[2:])
+
+
+@query(f"""with j as (select a.model model_a, b.model model_b, experiment, count(*) n, {PCT.format('a.correct')} score_a, {PCT.format('b.correct')} score_b, count(*) filter (b.correct and not a.correct) won, count(*) filter (a.correct and not b.correct) lost from {M_} a join {M_} b using (experiment, item_id) where a.model < b.model group by all),
+p as (select *, score_b - score_a delta, {MCNEMAR.format(w='won', l='lost')} p from j), r as (select *, row_number() over (partition by model_a, model_b order by p) k, count(*) over (partition by model_a, model_b) m from p)
+select model_a, model_b, experiment, n, round(score_a, 6) score_a, round(score_b, 6) score_b, won, lost, round(delta, 6) delta, round(p, 6) p, round(max(least(1.0, (m - k + 1) * p)) over (partition by model_a, model_b order by p, k rows unbounded preceding), 6) holm from r""")
+def r5_compare_all_models(s, d):
+    return rounded(R.compare_all_models(majority(s, d)), "score_a", "score_b", "delta", "p", "holm")
+
+
 @query(f"""with s as {SUBSETS}, x as (select * from s where experiment <> 'baseline'), b as (select model, acc baseline_acc, acc_ad baseline_ad from s where experiment = 'baseline')
 select model, arg_min(experiment, (-acc, experiment)) best, max(acc) best_acc, arg_min(experiment, (acc, experiment)) worst, min(acc) worst_acc, max(acc) - min(acc) "range", any_value(baseline_acc) baseline_acc, any_value(baseline_ad) baseline_ad from x join b using (model) group by 1""")
 def r7_scaling_table(s, d):

@@ -10,6 +10,7 @@ from ..operators import compare as C
 from ..operators import dataset as D
 from ..operators import outcomes as O
 from ..operators import stats as S
+from ..sources.store import stored
 
 ARM = O.ARM
 
@@ -65,6 +66,7 @@ def answer_shares(parsed: DataFrame, truth: DataFrame, control: str = "t1") -> D
 
 def compare_models(parsed: DataFrame, a: str, b: str) -> DataFrame:
     """Shared experiments of two models over shared items: scores, delta, exact p adjusted over all, top answers, language."""
+    parsed = parsed.filter(F.col("model").isin(a, b))
     majority = O.majority_correct(O.outcomes(parsed))
     left = majority.filter(F.col("model") == a).select("experiment", "item_id", F.col("correct").alias("x"))
     right = majority.filter(F.col("model") == b).select("experiment", "item_id", F.col("correct").alias("y"))
@@ -79,30 +81,80 @@ def compare_models(parsed: DataFrame, a: str, b: str) -> DataFrame:
     return out
 
 
+def run_cube(rows: DataFrame, split: DataFrame, baseline: str = "baseline") -> DataFrame:
+    """Counts of majorities by arm, category and subset: the only pass over items that a comparison of runs needs.
+
+    n and right; of the items that the baseline has too (shared): right in this arm (a) and in the baseline (b), won and
+    lost. As many rows as arms, categories and subsets make.
+    """
+    pairs = C.with_baseline(O.majority_correct(rows), baseline).join(split.select("item_id", "subset"), "item_id", "left")
+    x, y, both = F.col("correct"), F.col("base"), F.col("correct").isNotNull() & F.col("base").isNotNull()
+    return stored(pairs.groupBy(*ARM, "category", "subset").agg(F.count("*").alias("n"), F.count_if(x).alias("right"), F.count_if(both).alias("shared"), F.count_if(both & x).alias("a"), F.count_if(both & y).alias("b"), F.count_if(both & x & ~y).alias("won"), F.count_if(both & ~x & y).alias("lost")))
+
+
 def compare_runs(rows: DataFrame, split: DataFrame, baseline: str = "baseline") -> DataFrame:
     """Per arm: accuracy and balanced accuracy with intervals, mean of runs, delta and test against the baseline, subsets.
 
     ``split`` has ``item_id, subset``. The exact p belongs to accuracy, ``p_ba`` (permutation) to balanced accuracy,
-    which is over the categories present; ``categories`` has accuracy and n of each.
+    which is over the categories present; ``categories`` has accuracy and n of each. Everything comes from one stored
+    cube of counts, read by grouping sets, and the counts of the single runs.
     """
-    majority = O.majority_correct(rows)
-    classed = "category is not null"
-    ci = S.bootstrap_ci(majority, ARM).withColumn("acc", F.col("right") / F.col("n") * 100)
-    pairs = C.with_baseline(majority, baseline)
-    paired = C.won_lost(pairs, ARM).withColumn("delta", (F.col("won") - F.col("lost")) / F.col("n") * 100).drop("n")
-    ba = S.stratified_bootstrap(majority.filter(classed), ARM).withColumnsRenamed({"low": "ba_low", "high": "ba_high"})
-    swapped = S.paired_permutation(pairs.filter(classed), ARM).select(*ARM, (F.col("ba") - F.col("base_ba")).alias("delta_ba"), F.col("p").alias("p_ba"))
-    runs = O.balanced_accuracy(rows.filter(classed), [*ARM, "run_idx"], "category", F.col("correct")).groupBy(*ARM).agg(F.avg("balanced_accuracy").alias("mean_ba"))
-    members = majority.join(split, "item_id")
-    one = lambda s, c: F.max(F.when(F.col("subset") == s, F.col(c)))
-    sides = members.groupBy(*ARM, "subset").agg(F.count("*").alias("k")).join(O.balanced_accuracy(members.filter(classed), [*ARM, "subset"], "category", F.col("correct")), [*ARM, "subset"], "left")
-    sides = sides.groupBy(*ARM).agg(*[f(s, c).alias(f"{name}_{short}") for s, short in (("transcript_solvable", "ts"), ("audio_dependent", "ad")) for f, c, name in ((one, "k", "n"), (one, "balanced_accuracy", "ba"))])
-    subsets = C.subset_scores(majority, split).select(*ARM, "acc_ts", "acc_ad").join(sides, ARM, "left").na.fill(0, ["n_ts", "n_ad"])
-    per = O.category_report(majority, ARM).groupBy(*ARM).agg(F.array_sort(F.collect_list(F.struct("category", "accuracy_pct", "n"))).alias("categories"))
-    out = ci.join(O.mean_of_runs(rows), ARM).join(paired, ARM).withColumn("p", S.mcnemar_exact("won", "lost"))
-    for more in (ba, runs, swapped, subsets, per):
-        out = out.join(more, ARM, "left")
-    return out
+    cube = run_cube(rows, split, baseline)
+    counts = ["n", "right", "shared", "a", "b", "won", "lost"]
+    level = F.grouping("category") * 2 + F.grouping("subset")
+    sets = cube.groupingSets([[*ARM], [*ARM, "category"], [*ARM, "subset"], [*ARM, "category", "subset"]], *ARM, "category", "subset").agg(level.alias("level"), *[F.sum(c).alias(c) for c in counts])
+    own, classes, side, cell = (F.col("level") == k for k in (3, 1, 2, 0))
+    classed = F.col("category").isNotNull()
+    named = lambda s: F.col("subset") == s
+    one = lambda c, when: F.max(F.when(when, F.col(c)))
+    sides = (("transcript_solvable", "ts"), ("audio_dependent", "ad"))
+    per = sets.groupBy(*ARM).agg(
+        *[one(c, own).alias(c) for c in ("n", "right", "shared", "won", "lost")],
+        F.array_sort(F.collect_list(F.when(classes & classed, F.struct("category", *counts)))).alias("cells"),
+        F.collect_list(F.when(classes, F.struct(F.coalesce(F.nullif("category", F.lit("")), F.lit("Unknown")).alias("category"), "right", "n"))).alias("named"),
+        *[F.coalesce(one("n", side & named(s)), F.lit(0)).alias(f"n_{short}") for s, short in sides],
+        *[one("right", side & named(s)).alias(f"right_{short}") for s, short in sides],
+        *[(F.avg(F.when(cell & classed & named(s), F.col("right") / F.col("n"))) * 100).alias(f"ba_{short}") for s, short in sides],
+    )
+    total = lambda xs, c: F.aggregate(xs, F.lit(0).cast("long"), lambda t, x: t + x[c])
+    mean = lambda xs, f: F.try_divide(F.aggregate(F.transform(xs, f), F.lit(0.0), lambda t, x: t + x), F.size(xs)) * 100
+    paired = F.filter("cells", lambda c: c["shared"] > 0)
+    # Categories without a name are one.
+    together = F.transform(F.array_sort(F.array_distinct(F.transform("named", lambda c: c["category"]))), lambda name: F.struct(name.alias("category"), F.filter("named", lambda c: c["category"] == name).alias("xs")))
+    out = per.withColumns({
+        "acc": F.col("right") / F.col("n") * 100,
+        "delta": (F.col("won") - F.col("lost")) / F.nullif("shared", F.lit(0)) * 100,
+        "ba": mean(F.col("cells"), lambda c: c["right"] / c["n"]),
+        "delta_ba": mean(paired, lambda c: (c["a"] - c["b"]) / c["shared"]),
+        "categories": F.transform(together, lambda c: F.struct(c["category"].alias("category"), (total(c["xs"], "right") / total(c["xs"], "n") * 100).alias("accuracy_pct"), total(c["xs"], "n").alias("n"))),
+        **{f"acc_{short}": F.col(f"right_{short}") / F.col(f"n_{short}") * 100 for _, short in sides},
+    }).withColumn("paired", paired)
+    out = S.with_intervals(out, ARM).withColumn("p", S.mcnemar_exact("won", "lost"))
+    runs = rows.groupBy(*ARM, "run_idx", "category").agg(F.count("*").alias("n"), F.count_if("correct").alias("right"))
+    recall = F.when(classed, F.col("right") / F.col("n"))
+    runs = runs.groupBy(*ARM, "run_idx").agg((F.sum("right") / F.sum("n") * 100).alias("acc"), (F.avg(recall) * 100).alias("ba"))
+    runs = runs.groupBy(*ARM).agg(F.avg("acc").alias("mean_accuracy_pct"), F.count("*").alias("runs"), F.avg("ba").alias("mean_ba"))
+    return out.join(runs, ARM).filter("shared > 0").select(*ARM, "n", "right", "low", "high", "acc", "mean_accuracy_pct", "runs", "won", "lost", "delta", "p", "ba", "ba_low", "ba_high", "mean_ba", "delta_ba", "p_ba", "acc_ts", "acc_ad", "n_ts", "ba_ts", "n_ad", "ba_ad", "categories")
+
+
+def category_pivot(compared: DataFrame, categories: list[str]) -> DataFrame:
+    """The per-category accuracies of ``compare_runs`` as columns, in the order of ``categories``; null where an arm has none."""
+    at = lambda c: F.get(F.filter("categories", lambda x: x["category"] == c), F.lit(0))["accuracy_pct"]
+    return compared.select(*ARM, *[at(c).alias(c) for c in categories])
+
+
+def compare_all_models(majority: DataFrame) -> DataFrame:
+    """Every two models over the items and experiments that both have: scores, delta, exact p adjusted inside a pair.
+
+    The models' outcomes on an item stand in one group, as many as there are models, and its pairs become counts before
+    the shuffle; no join for each pair.
+    """
+    wide = majority.groupBy("experiment", "item_id").agg(F.array_sort(F.collect_list(F.struct("model", "correct"))).alias("all"))
+    pairs = wide.select("experiment", "all", F.posexplode("all").alias("k", "a")).select("experiment", "a", F.explode(F.slice("all", F.col("k") + 2, F.size("all"))).alias("b"))
+    x, y = F.col("a.correct"), F.col("b.correct")
+    out = pairs.groupBy(F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"), "experiment").agg(F.count("*").alias("n"), O.pct(x).alias("score_a"), O.pct(y).alias("score_b"), F.count_if(y & ~x).alias("won"), F.count_if(~y & x).alias("lost"))
+    out = out.withColumn("delta", F.col("score_b") - F.col("score_a")).withColumn("p", S.mcnemar_exact("won", "lost"))
+    return S.holm(out, "p", ["model_a", "model_b"])
 
 
 def scaling_table(scores: DataFrame, dependent: DataFrame, baseline: str = "baseline") -> DataFrame:
