@@ -30,8 +30,9 @@ from .words import MIX, mixed
 #: Bytes between the pieces of a text, and between words.
 STOP = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 GAP = STOP | np.isin(np.arange(256), [0x20, 0x09])
-#: Rows that a task turns into Python objects at once; n-grams that it adds up before they leave it; rows that leave at once.
-SLICE, BLOCK, SENT = 512, 4_000_000, 100_000
+#: Rows that a task turns into Python objects at once; n-grams and distinct words that it adds up before they leave it;
+#: rows that leave at once.
+SLICE, BLOCK, WORDS, SENT = 512, 1_000_000, 250_000, 100_000
 #: Bits of the filter for each frequent pair, its greatest size in bits (64 MB; a fuller filter lets more phrases be
 #: counted that turn out rare, the result stays the same), and bits that one row of it holds.
 FILTER_BITS, FILTER_MOST, FILTER_ROW = 12, 1 << 29, 1 << 15
@@ -95,7 +96,11 @@ def _sent(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatc
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     """``lang, word, id, n`` of ``docs`` (lang, text)."""
 
+    def summed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pa.Table.from_batches(parts).group_by(["lang", "word", "id"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "word", "id", "n"]).to_batches(SENT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for part in ranges(batch.num_rows, SLICE):
                 langs = batch.column(0)[part].to_pylist()
@@ -113,7 +118,13 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                     _, first, n = np.unique(held.indices.to_numpy().astype(np.int64) * len(names) + lang, return_index=True, return_counts=True)
                     ids = _ids(raw, begin[first], end[first], salts[lang[first]], seed)
                     word = held.dictionary.take(held.indices.take(pa.array(first))).cast(pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=object)[lang[first]], pa.string()), word, pa.array(ids.view(np.int64)), pa.array(n)], names=["lang", "word", "id", "n"])
+                    parts.append(pa.RecordBatch.from_arrays([pa.array(np.array(names, dtype=object)[lang[first]], pa.string()), word, pa.array(ids.view(np.int64)), pa.array(n)], names=["lang", "word", "id", "n"]))
+                    size += len(n)
+                    if size > WORDS:
+                        yield from summed(parts)
+                        parts, size = [], 0
+        if parts:
+            yield from summed(parts)
 
     return docs.mapInArrow(run, "lang string, word string, id long, n long").groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
 
