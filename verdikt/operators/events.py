@@ -162,6 +162,12 @@ def cycle_summary(cycles: DataFrame) -> DataFrame:
     return cycles.groupBy("item_id").agg(F.when(span > 0, 60 * F.count("*") / span).otherwise(0.0).alias("rate_per_min"), F.count("*").alias("cycles"), F.avg(F.col("end_s") - F.col("start_s")).alias("mean_length_s"))
 
 
+def cycle_share(clips: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Clips, those with a cycle at least, and their share in percent. ``clips``: one row for each item_id."""
+    found = clips.select("item_id").join(cycles.select("item_id").distinct().withColumn("_has", F.lit(1)), "item_id", "left")
+    return found.agg(F.count("*").alias("clips"), F.count("_has").alias("with_cycles"), (F.count("_has") / F.count("*") * 100).alias("share_pct"))
+
+
 def rms_envelope(samples: DataFrame, frame: int, smooth: int = 10) -> DataFrame:
     """RMS of centred, zero-padded frames and its moving average over ``smooth`` frames (5 before to 4 after for 10).
 

@@ -174,6 +174,7 @@ def chance_level(items: DataFrame, by: str, size: Column) -> DataFrame:
 
 
 def run_agreement(rows: DataFrame, by: list[str] = ARM) -> DataFrame:
+    """Share of items that all runs answer alike; with a subset among ``by``, inside each."""
     per = rows.groupBy(*by, "item_id").agg((F.count_distinct(F.coalesce("letter", F.lit(X.UNPARSED_CHOICE))) == 1).alias("same"))
     return per.groupBy(*by).agg(pct(F.col("same")).alias("agreement_pct"), F.count("*").alias("items"))
 
@@ -192,9 +193,10 @@ def language_examples(rows: DataFrame, by: list[str], text: str, order: list[str
     return ranked.select(*by, "kind", "rank", *order, "excerpt")
 
 
-def score_histogram(rows: DataFrame, score: str, bins: int = 10, high: float = 10.0) -> DataFrame:
-    """Counts of scores in equal bins from 0, the last one closed, empty bins included."""
+def score_histogram(rows: DataFrame, score: str, bins: int = 10, high: float = 10.0, sides: dict[str, Column] | None = None) -> DataFrame:
+    """Counts of scores in equal bins from 0, the last one closed, empty bins included; ``sides``: counts of rows that meet a condition instead."""
     spark = rows.sparkSession
     at = F.least(F.width_bucket(F.col(score), F.lit(0.0), F.lit(high), F.lit(bins)), F.lit(bins)).cast("long")
-    n = rows.filter(F.col(score).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    return spark.range(1, bins + 1).withColumnRenamed("id", "bin").join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = {"n": F.count("*")} if sides is None else {c: F.count_if(when) for c, when in sides.items()}
+    n = rows.filter(F.col(score).isNotNull()).groupBy(at.alias("bin")).agg(*[x.alias(c) for c, x in counts.items()])
+    return spark.range(1, bins + 1).withColumnRenamed("id", "bin").join(n, "bin", "left").select("bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])

@@ -144,6 +144,11 @@ def knn_vote(neighbors: DataFrame, labels: DataFrame) -> DataFrame:
     return best.join(labels.select("item_id", "label"), "item_id")
 
 
+def vote_accuracy(votes: DataFrame) -> DataFrame:
+    """Queries that got a vote, and how many percent of those votes are the query's own label."""
+    return votes.agg(F.count("*").alias("items"), (F.avg((F.col("predicted") == F.col("label")).cast("double")) * 100).alias("accuracy_pct"))
+
+
 def neighbor_labels(neighbors: DataFrame, labels: DataFrame) -> DataFrame:
     """Each query's neighbours and their labels in order of nearness."""
     named = neighbors.join(labels.select(F.col("item_id").alias("neighbor_id"), "label"), "neighbor_id")

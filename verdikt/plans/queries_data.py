@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..operators import requests as Q
 from ..operators import retrieval as K
 from ..operators import signals as G
 from ..sources import records as I
+from ..sources.store import stored
 from . import reports as R
 from .derived import table
 from .queries_outcomes import rounded
@@ -291,6 +294,11 @@ def a34_score_histogram(s, d):
     return O.score_histogram(judged(s, d), "acoustic")
 
 
+@query(f"select b.bin, coalesce(hallucinated, 0) hallucinated, coalesce(clean, 0) clean from (select unnest(range(1, 11)) bin) b left join (select least(10, acoustic + 1)::bigint bin, count(*) filter (hallucination > 0) hallucinated, count(*) filter (hallucination = 0) clean from {JUDGED} where acoustic is not null group by 1) c using (bin)")
+def a34_hallucinated_and_clean(s, d):
+    return O.score_histogram(judged(s, d), "acoustic", sides={"hallucinated": F.col("hallucination") > 0, "clean": F.col("hallucination") == 0})
+
+
 @query("select event_type, round(avg((event_id % 5 <> 4)::int::double) * 100, 6) usable_pct, count(*) filter (event_id % 5 = 4) fallbacks, count(*) n from events group by 1")
 def a35_fallback_rate(s, d):
     text = F.when(F.col("event_id") % 5 == 4, "no span").otherwise('{"start": 1, "end": 2.5}')
@@ -362,38 +370,6 @@ def r10_contingency(s, d):
     return D.contingency(labelled(s, d), "lang", "label")
 
 
-@query(f"""select 'labels' part, label "name", n_all::double "value" from ({SQL['a21_label_counts']}) union all select 'evaluation labels', label, n_eval::double from ({SQL['a21_label_counts']})
-union all select 'contingency', concat_ws(' ', lang, label), n::double from ({SQL['r10_contingency']})
-union all select 'rules', rule, ba_pct from ({SQL['a19_metadata_ceiling']}) union all select 'rule accuracy', rule, accuracy_pct from ({SQL['a19_metadata_ceiling']}) union all select 'ceiling', 'ba_pct', max(ceiling) from ({SQL['a19_metadata_ceiling']})
-union all select 'durations', name, value from (select min_s, median_s, max_s from ({SQL['a22_duration_summary']})) unpivot (value for name in (min_s, median_s, max_s))
-union all select 'rates', r, r::double from (select unnest(string_split(rates, ',')) r from ({SQL['a22_duration_summary']}))
-union all select 'split', role, count(*)::double from ({SQL['w10_demo_split']}) group by 2 union all select role, item_id::varchar, 1.0 from ({SQL['w10_demo_split']})""")
-def r10_dataset_report(s, d):
-    """Label counts, the contingency of language, rule baselines, durations and held-out rows in one long table."""
-    i = labelled(s, d)
-    rules = {"fixed rule": i.withColumn("predicted", F.when(F.col("lang") == "en", "1/0").otherwise("0/0")), "cell majority": D.loo_cell_majority(i, ["lang"], "label", "item_id")}
-    counts = D.label_counts(i, i.filter("item_id % 10 = 3"), "label")
-    ceiling = R.metadata_ceiling(i, "label", rules)
-    lengths = D.duration_summary(table(s, d, "documents"), F.col("n_chars") / 16.0, 8000 + F.col("doc_id") % 3)
-    split = D.demo_split(i, D.group_sizes(twins(s, d)), "label", groups=twins(s, d))
-    parts = [
-        counts.select(F.lit("labels").alias("part"), F.col("label").alias("name"), F.col("n_all").cast("double").alias("value")),
-        counts.select(F.lit("evaluation labels"), "label", F.col("n_eval").cast("double")),
-        D.contingency(i, "lang", "label").select(F.lit("contingency"), F.concat_ws(" ", "lang", "label"), F.col("n").cast("double")),
-        ceiling.select(F.lit("rules"), "rule", "ba_pct"),
-        ceiling.select(F.lit("rule accuracy"), "rule", "accuracy_pct"),
-        ceiling.agg(F.max("ceiling").alias("c")).select(F.lit("ceiling"), F.lit("ba_pct"), "c"),
-        lengths.unpivot([], ["min_s", "median_s", "max_s"], "name", "value").select(F.lit("durations"), "name", F.col("value").cast("double")),
-        lengths.select(F.explode("rates").alias("r")).select(F.lit("rates"), F.col("r").cast("string"), F.col("r").cast("double")),
-        split.groupBy("role").agg(F.count("*").cast("double").alias("n")).select(F.lit("split"), "role", "n"),
-        split.select("role", F.col("item_id").cast("string"), F.lit(1.0)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return rounded(out, "value")
-
-
 #: Equal documents, each next to the first of its group, in both directions: the near-duplicates of vectors of those ids.
 SAME = "(select doc_id l, m r from (select doc_id, min(doc_id) over (partition by text) m from documents where text is not null) where doc_id <> m)"
 DUPS = f"(select l, r from {SAME} union all select r, l from {SAME})"
@@ -429,6 +405,12 @@ def a17_knn_vote(s, d):
     return K.knn_vote(nearest(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), "label"))
 
 
+@query(f"select count(*) items, round(avg((predicted = label)::int::double) * 100, 6) accuracy_pct from ({SQL['a17_knn_vote']})")
+def a17_vote_accuracy(s, d):
+    """How often the neighbours' majority is the query's own label."""
+    return rounded(K.vote_accuracy(a17_knn_vote(s, d)), "accuracy_pct")
+
+
 # --- timed events ----------------------------------------------------------------------------------------------------
 
 WORDS = "(select user_id item_id, event_id word_idx, event_type word, (epoch(ts) - 1704067200)::double start_s, (epoch(ts) - 1704067200)::double + 5 + event_id % 40 end_s from (select event_id, user_id, event_type, date_trunc('second', ts) ts from events))"
@@ -540,6 +522,13 @@ def a33_cycle_summary(s, d):
     return rounded(E.cycle_summary(cycles(s, d)), "rate_per_min", digits=9)
 
 
+@query(f"select count(*) clips, count(c.item_id) with_cycles, round(count(c.item_id) / count(*) * 100, 6) share_pct from (select distinct user_id item_id from events) e left join (select distinct item_id from {CYCLES}) c using (item_id)")
+def a35_cycle_share(s, d):
+    """Share of clips in which any cycle was found."""
+    clips_ = clock(s, d).select("item_id").distinct()
+    return rounded(E.cycle_share(clips_, cycles(s, d)), "share_pct")
+
+
 SAMPLES = "(select user_id item_id, row_number() over (partition by user_id order by event_id) - 1 idx, value x from events)"
 
 
@@ -583,6 +572,51 @@ def j12_near_duplicates(s, d):
     return rounded(U.near_duplicates(signals(s, d), 24, 0.8), "corr", digits=5)
 
 
+@query(f"""select 'labels' part, label "name", n_all::double "value" from ({SQL['a21_label_counts']}) union all select 'evaluation labels', label, n_eval::double from ({SQL['a21_label_counts']})
+union all select 'contingency', concat_ws(' ', lang, label), n::double from ({SQL['r10_contingency']})
+union all select 'rules', rule, ba_pct from ({SQL['a19_metadata_ceiling']}) union all select 'rule accuracy', rule, accuracy_pct from ({SQL['a19_metadata_ceiling']}) union all select 'ceiling', 'ba_pct', max(ceiling) from ({SQL['a19_metadata_ceiling']})
+union all select 'durations', name, value from (select min_s, median_s, max_s from ({SQL['a22_duration_summary']})) unpivot (value for name in (min_s, median_s, max_s))
+union all select 'rates', r, r::double from (select unnest(string_split(rates, ',')) r from ({SQL['a22_duration_summary']}))
+union all select 'split', role, count(*)::double from ({SQL['w10_demo_split']}) group by 2 union all select role, item_id::varchar, 1.0 from ({SQL['w10_demo_split']})
+union all select 'near-duplicates', 'clips', count(distinct left_id)::double from ({SQL['j12_near_duplicates']}) union all select 'near-duplicates', 'pairs', count(*) / 2.0 from ({SQL['j12_near_duplicates']})""")
+def r10_dataset_report(s, d):
+    """Label counts, the contingency of language, rule baselines, durations, held-out rows and duplicates in one long table.
+
+    Label counts, contingency and the rule that goes by language are read off one cube of counts; each other part is
+    made once and stored, as it is small.
+    """
+    i = stored(labelled(s, d))
+    cube = stored(i.groupBy("lang", "label", (F.col("item_id") % 10 == 3).alias("evaluated")).agg(F.count("*").alias("n")))
+    counts = cube.groupBy("label").agg(F.sum("n").alias("n_all"), F.coalesce(F.sum(F.when(F.col("evaluated"), F.col("n"))), F.lit(0)).alias("n_eval"))
+    cells = cube.groupBy("lang", "label").agg(F.sum("n").alias("n"))
+    by_language = cells.select("label", (F.col("label") == F.when(F.col("lang") == "en", "1/0").otherwise("0/0")).alias("hit"), "n")
+    fixed = by_language.groupBy("label").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("right"))
+    fixed = fixed.agg((F.sum("right") / F.sum("n") * 100).alias("accuracy_pct"), (F.avg(F.col("right") / F.col("n")) * 100).alias("ba_pct")).withColumn("rule", F.lit("fixed rule"))
+    majority = D.rule_scores(D.loo_cell_majority(i, ["lang"], "label", "item_id"), "label", "predicted").withColumn("rule", F.lit("cell majority"))
+    rules = stored(fixed.unionByName(majority))
+    lengths = stored(D.duration_summary(table(s, d, "documents"), F.col("n_chars") / 16.0, 8000 + F.col("doc_id") % 3))
+    split = stored(D.demo_split(i, D.group_sizes(twins(s, d)), "label", groups=twins(s, d)))
+    same = stored(U.near_duplicates(signals(s, d), 24, 0.8))
+    # One row for each part: names and values.
+    grid = cells.agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.array_sort(F.collect_set("label")).alias("labels"), F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "lang", "label"), "n"))).alias("n"))
+    pair = F.flatten(F.transform("langs", lambda x: F.transform("labels", lambda y: F.concat_ws(" ", x, y))))
+    grid = grid.select(F.explode(F.transform(pair, lambda c: F.struct(c.alias("name"), F.coalesce(F.col("n")[c], F.lit(0)).alias("value")))).alias("c"))
+    long = lambda df, *cols: df.select(F.explode(F.array(*[F.struct((F.lit(part) if isinstance(part, str) else part).alias("part"), name.cast("string").alias("name"), value.cast("double").alias("value")) for part, name, value in cols])).alias("r")).select("r.*")
+    c = F.col
+    parts = [
+        long(counts, ("labels", c("label"), c("n_all")), ("evaluation labels", c("label"), c("n_eval"))),
+        long(grid, ("contingency", c("c.name"), c("c.value"))),
+        long(rules, ("rules", c("rule"), c("ba_pct")), ("rule accuracy", c("rule"), c("accuracy_pct"))),
+        long(rules.agg(F.max("ba_pct").alias("x")), ("ceiling", F.lit("ba_pct"), c("x"))),
+        long(lengths, *[("durations", F.lit(x), c(x)) for x in ("min_s", "median_s", "max_s")]),
+        long(lengths.select(F.explode("rates").alias("r")), ("rates", c("r"), c("r"))),
+        long(split.groupBy("role").agg(F.count("*").alias("n")), ("split", c("role"), c("n"))),
+        long(split, (c("role"), c("item_id"), F.lit(1.0))),
+        long(same.agg(F.count_distinct("left_id").alias("k"), (F.count("*") / 2).alias("n")), ("near-duplicates", F.lit("clips"), c("k")), ("near-duplicates", F.lit("pairs"), c("n"))),
+    ]
+    return rounded(reduce(DataFrame.union, parts), "value")
+
+
 def long_clips(s, d) -> DataFrame:
     """Clips of 40,000 samples: the characters of 64 documents one after another; of every fourth one a second cut."""
     docs = table(s, d, "documents").filter("text is not null").groupBy(F.floor(F.col("doc_id") / 64).alias("item_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("t"))

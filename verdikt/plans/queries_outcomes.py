@@ -193,9 +193,9 @@ def a11_top_answer(s, d):
     return rounded(O.top_answer(O.answer_distribution(parsed(s, d), ARM), ARM), "top_answer_pct")
 
 
-@query(f"select model, experiment, answer top_answer, round(share_pct, 6) top_answer_pct from {DIST} qualify row_number() over (partition by model, experiment order by n desc, answer) = 1 and share_pct >= 23")
+@query(f"select model, experiment, answer top_answer, round(share_pct, 6) top_answer_pct from {DIST} qualify row_number() over (partition by model, experiment order by n desc, answer) = 1 and share_pct >= 20.47")
 def a12_collapsed_arms(s, d):
-    return rounded(O.collapsed_arms(O.answer_distribution(parsed(s, d), ARM), ARM, 23.0), "top_answer_pct")
+    return rounded(O.collapsed_arms(O.answer_distribution(parsed(s, d), ARM), ARM, 20.47), "top_answer_pct")
 
 
 @query("select o_custkey folder, list_sort(list(distinct o_orderstatus)) models from orders group by 1 having count(distinct o_orderstatus) > 1")
@@ -291,6 +291,13 @@ def a26_run_agreement(s, d):
     return O.run_agreement(parsed(s, d))
 
 
+@query(f"select model, experiment, subset, {PCT.format('same')} agreement_pct, count(*) items from (select model, experiment, subset, item_id, count(distinct coalesce(letter, 'Unknown')) = 1 same from {R_} join {SPLIT} using (item_id) group by 1, 2, 3, 4) group by 1, 2, 3")
+def a26_agreement_by_subset(s, d):
+    """Unanimity of the runs inside each subset."""
+    rows = parsed_once(s, d)
+    return O.run_agreement(rows.join(control_split(O.majority_correct(O.outcomes(rows))), "item_id"), [*ARM, "subset"])
+
+
 TWO = f"(select a.correct x, b.correct y from {M_} a join {M_} b using (item_id) where a.model = 'm1' and a.experiment = 'baseline' and b.model = 'm2' and b.experiment = 't1')"
 
 
@@ -392,6 +399,12 @@ def h5_label_shuffle(s, d):
     return S.label_shuffle(rows, ARM, "gold", "told", "sub_category")
 
 
+@query(f"select model, experiment, round(avg(r) * 100, 6) ba from (select model, experiment, gold, avg(coalesce(letter = gold, false)::int) r from {R_} group by all) group by all")
+def h5_point_estimates(s, d):
+    """The balanced accuracy that labels are shuffled against."""
+    return rounded(h5_label_shuffle(s, d).select(*ARM, "ba"), "ba")
+
+
 @query()
 def h6_above_chance(s, d):
     return S.above_chance(majority(s, d), ARM, F.lit(2) + F.col("item_id") % 3)
@@ -461,6 +474,13 @@ def r3_balanced_summary(s, d):
     return R.balanced_summary(stored(majority(s, d)))
 
 
+@query(f"""with x as (select model, experiment, category, avg(correct::int) r, count(*) n, count(*) filter (correct) k from {M_} group by all), b as (select model, experiment, avg(r) * 100 ba, count(*) classes, sum(n)::bigint n, sum(k) / sum(n) * 100 acc from x group by all)
+select model, b.experiment, round(b.ba, 6) balanced_accuracy, b.classes, b.n, round(b.acc, 6) acc, round(b.ba - base.ba, 6) d_base, round(b.ba - s.ba, 6) d_silence from b join (select * from b where experiment = 'baseline') base using (model) join (select * from b where experiment = 't1') s using (model)""")
+def r3_balanced_figures(s, d):
+    """The balanced summary without what is drawn at random."""
+    return rounded(r3_balanced_summary(s, d).drop("p_base", "p_silence", "holm"), "balanced_accuracy", "acc", "d_base", "d_silence")
+
+
 @query(f"""with g as (select list_extract({V.CHOICES!r}, (o_orderkey % 4 + 1)::int) answer, count(*) / sum(count(*)) over () * 100 truth_pct from orders group by 1), c as (select model, answer, share_pct control_pct from {DIST} where experiment = 't1')
 select model, experiment, answer, round(share_pct, 6) share_pct, round(truth_pct, 6) truth_pct, round(control_pct, 6) control_pct from {DIST} left join g using (answer) left join c using (model, answer)""")
 def r4_answer_shares(s, d):

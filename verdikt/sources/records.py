@@ -10,10 +10,15 @@ from ..schemas import RESPONSE
 
 
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Non-blank lines with their file and an order that rises along each file."""
+    """Non-blank lines with their file and ``line_ord``, an order of all lines: by file name, then along the file.
+
+    However Spark splits files and deals the splits, a later line of a file and any line of a file whose path sorts
+    later compare greater; ``at`` only counts lines inside one split.
+    """
     rows = spark.read.text(paths)
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     return rows.select(
-        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("line_ord"), "value"
+        file.alias("file"), F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at")).alias("line_ord"), "value"
     ).filter(F.trim("value") != "")
 
 
