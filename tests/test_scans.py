@@ -67,6 +67,19 @@ def test_nearest_turn_over_chunks(spark, many_parts):
     assert {(r.item_id, r.word_idx): r.speaker for r in got.collect()} == {(c, k): plain(c, a, b) for c, k, _, a, b in words}
 
 
+def test_interval_pairs_equal_all_pairs(spark):
+    rng = random.Random(9)
+    span = lambda most: (lambda a: (a, a + rng.choice([0.0, 0.25, 1.0, rng.uniform(0, 3), rng.uniform(0, most)])))(rng.choice([0.0, 4.0, rng.uniform(-100, 100)]))
+    left = [(rng.choice("ab"), k, *span(5)) for k in range(150)] + [("a", 900, None, 1.0), ("a", 901, 5.0, 1.0), ("b", 902, float("nan"), 2.0)]
+    right = [(rng.choice("abc"), k, *span(150)) for k in range(150)] + [("b", 903, -1000.0, 1000.0), ("b", 904, 0.0, float("inf"))]
+    a, b = spark.createDataFrame(left, "item string, u int, s double, e double"), spark.createDataFrame(right, "item string, v int, rs double, re double")
+    got = [(r.u, r.v) for r in E.interval_pairs(a, b, ["item"], ("s", "e"), ("rs", "re")).collect()]
+    good = lambda x, y: x is not None and x == x and x <= y < math.inf
+    want = [(u, v) for i, u, s, e in left for j, v, rs, re in right if i == j and good(s, e) and good(rs, re) and max(s, rs) <= min(e, re)]
+    assert sorted(got) == sorted(want) and len(want) > 500
+    assert E.interval_pairs(a, b.limit(0), ["item"], ("s", "e"), ("rs", "re")).collect() == []
+
+
 def test_envelope_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(E, "CHUNK_FRAMES", 16)
     x = np.random.default_rng(2).standard_normal(1003)

@@ -2,7 +2,8 @@
 
 Scans along a clip's time go in two phases, so one long clip is worked on by many tasks: rows are dealt to chunks of
 time, each chunk is scanned on its own, and a second, small pass over what chunks leave at their edges joins them up.
-Joins of intervals are bucketed by time.
+Intervals
+are joined in buckets whose width is a power of two that follows each interval's own length.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.store import stored
 
-#: Seconds of a bucket in interval joins: an interval appears once in each bucket it touches.
-BUCKET_S = 30.0
+#: Width of the narrowest bucket of interval joins: 2 to this power, in seconds.
+FINEST = -10
 MIN_PAUSE_S, TONE_GAP_HZ = 0.25, 100.0
 #: Frames in one chunk of a moving average.
 CHUNK_FRAMES = 4096
@@ -29,20 +30,42 @@ def chunked(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return stored(df.repartitionByRange(n, *by, order).withColumn("_chunk", F.spark_partition_id()))
 
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.greatest(F.floor(start / width), F.floor(end / width))))
+def interval_pairs(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """Rows of both sides with equal ``by`` whose closed spans (start, end) touch, each pair once.
 
-
-def assign_speakers(words: DataFrame, turns: DataFrame, width: float = BUCKET_S) -> DataFrame:
+    A span's level is the power of two that is at least its length. Two spans meet at the higher of their levels, in
+    buckets of that width, of which neither touches more than two: a few very long spans aren't cut into many pieces, and
+    many short ones don't meet in wide buckets. Levels that the other side hasn't are left out. Both sides of the join
+    are plain shuffles, so Spark can split a bucket that holds too many rows. Rows without a span (null, NaN or an end
+    before the start) meet nothing. Apart from ``by`` the sides must have no column in common.
+    """
+    length = lambda span: F.col(span[1]) - F.col(span[0])
+    level = lambda span: F.greatest(F.ceil(F.log2(F.greatest(length(span), F.lit(2.0**FINEST)))), F.lit(FINEST)).cast("int")
+    finite = lambda span: (F.abs(span[0]) < float("inf")) & (F.abs(span[1]) < float("inf")) & (length(span) >= 0)
+    left, right = left.filter(finite(left_span)).withColumn("_lu", level(left_span)), right.filter(finite(right_span)).withColumn("_lv", level(right_span))
+    there = [sorted(r[0] for r in df.select(c).distinct().collect()) for df, c in ((left, "_lu"), (right, "_lv"))]  # powers of two: some tens at most
+
+    def dealt(df: DataFrame, span: tuple[str, str], own: str, others: list[int]) -> DataFrame:
+        higher = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col(own))
+        native = F.when(F.col(own) >= min(others, default=1 << 20), F.array(own)).otherwise(F.array().cast("array<int>"))
+        rows = df.withColumn("_level", F.explode(F.concat(higher, native)))
+        at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+        return rows.withColumn("_b", F.explode(F.sequence(at(span[0]), at(span[1]))))
+
+    pairs = dealt(left, left_span, "_lu", there[1]).join(dealt(right, right_span, "_lv", there[0]), [*by, "_level", "_b"])
+    begin, end = F.greatest(left_span[0], right_span[0]), F.least(left_span[1], right_span[1])
+    once = (F.greatest("_lu", "_lv") == F.col("_level")) & (F.col("_b") == F.floor(begin / F.pow(F.lit(2.0), F.col("_level"))))
+    return pairs.filter(once & (begin <= end)).drop("_level", "_b", "_lu", "_lv")
+
+
+def assign_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     """Each word's speaker: the turn it overlaps most (the first of equals), else the nearest turn's, else SPK1.
 
-    ``words``: item_id, word_idx, start_s, end_s; ``turns``: item_id, turn_idx, start_s, end_s, speaker. Overlap is an
-    equi-join on clip and time bucket. Words without overlap are sorted among the middles of their clip's turns and see
+    ``words``: item_id, word_idx, start_s, end_s; ``turns``: item_id, turn_idx, start_s, end_s, speaker. Words without overlap are sorted among the middles of their clip's turns and see
     only the nearest on either side: words are never joined with all turns.
     """
     t = turns.select("item_id", F.col("turn_idx").alias("t"), F.col("start_s").alias("ts"), F.col("end_s").alias("te"), "speaker")
-    w = words.withColumn("_b", _buckets(F.col("start_s"), F.col("end_s"), width))
-    near = w.join(t.withColumn("_b", _buckets(F.col("ts"), F.col("te"), width)), ["item_id", "_b"])
+    near = interval_pairs(words, t, ["item_id"], ("start_s", "end_s"), ("ts", "te"))
     overlap = F.least("end_s", "te") - F.greatest("start_s", "ts")
     best = near.withColumn("o", overlap).filter("o > 0").groupBy("item_id", "word_idx").agg(F.min_by("speaker", F.struct((-F.col("o")).alias("o"), F.col("t"))).alias("by_overlap"))
     out = words.join(best, ["item_id", "word_idx"], "left")
@@ -143,10 +166,10 @@ def loudness(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     return per.select(*by, (20 * F.log10(rms(F.col("s"), F.col("n")) / rms(F.sum("s").over(clip), F.sum("n").over(clip)))).alias("loudness_db"))
 
 
-def events_in_cycles(events: DataFrame, cycles: DataFrame, width: float = BUCKET_S) -> DataFrame:
+def events_in_cycles(events: DataFrame, cycles: DataFrame) -> DataFrame:
     """Events with the first cycle that holds them (both ends count) and the third of it, null and ``middle`` where none does."""
     c = cycles.select("item_id", "cycle_idx", F.col("start_s").alias("cs"), F.col("end_s").alias("ce"))
-    hit = events.withColumn("_b", F.floor(F.col("t") / width)).join(c.withColumn("_b", _buckets(F.col("cs"), F.col("ce"), width)), ["item_id", "_b"]).filter("t between cs and ce")
+    hit = interval_pairs(events.select("item_id", "event_idx", "t"), c, ["item_id"], ("t", "t"), ("cs", "ce"))
     first = hit.groupBy("item_id", "event_idx").agg(F.min(F.struct("cycle_idx", "cs", "ce")).alias("c"))
     out = events.join(first, ["item_id", "event_idx"], "left")
     third = F.when(F.col("c").isNull(), "middle").otherwise(X.position_in_cycle(F.col("t"), F.col("c.cs"), F.col("c.ce")))
@@ -182,10 +205,9 @@ def rms_envelope(samples: DataFrame, frame: int, smooth: int = 10) -> DataFrame:
     return held.withColumn("smoothed", F.sum("rms").over(w) / smooth).filter(F.col("_chunk") == chunk(F.col("frame"))).drop("_chunk")
 
 
-def ie_ratio(samples: DataFrame, cycles: DataFrame, width: float = BUCKET_S) -> DataFrame:
+def ie_ratio(samples: DataFrame, cycles: DataFrame) -> DataFrame:
     """Median over cycles of the time to the loudest sample against the time after it. ``samples``: item_id, t, x, step."""
-    held = cycles.withColumn("_b", _buckets(F.col("start_s"), F.col("end_s"), width))
-    hit = samples.withColumn("_b", F.floor(F.col("t") / width)).join(held, ["item_id", "_b"]).filter("t >= start_s and t < end_s")
+    hit = interval_pairs(samples.select("item_id", "t", "x", "step"), cycles.select("item_id", "cycle_idx", "start_s", "end_s"), ["item_id"], ("t", "t"), ("start_s", "end_s")).filter("t < end_s")
     per = hit.groupBy("item_id", "cycle_idx").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.min_by("t", F.struct(-F.abs("x"), F.col("t"))).alias("peak"), F.max("step").alias("step"))
     per = per.withColumn("i", F.col("peak") - F.col("t0")).withColumn("e", F.col("n") * F.col("step") - F.col("i")).filter("n >= 3 and i > 0 and e > 0")
     return per.groupBy("item_id").agg(F.median(F.col("i") / F.col("e")).alias("ie_ratio"))

@@ -438,7 +438,7 @@ left join (select w.item_id, w.word_idx, t.speaker from {WORDS} w join {TURNS} t
 
 @query(f"select item_id, word_idx, speaker from {SPOKEN}")
 def j9_assign_speakers(s, d):
-    return E.assign_speakers(words(s, d), turns(s, d), 3600.0).select("item_id", "word_idx", "speaker")
+    return E.assign_speakers(words(s, d), turns(s, d)).select("item_id", "word_idx", "speaker")
 
 
 def spoken(s, d) -> DataFrame:
@@ -504,7 +504,7 @@ def cycles(s, d) -> DataFrame:
 
 def placed(s, d) -> DataFrame:
     e = clock(s, d).filter("event_id % 4 <> 0").select("item_id", F.col("event_id").alias("event_idx"), "t", F.col("event_type").alias("kind"))
-    return E.events_in_cycles(e, cycles(s, d), 3600.0)
+    return E.events_in_cycles(e, cycles(s, d))
 
 
 @query(f"select item_id, event_idx, coalesce(cycle_idx, -1) cycle_idx, third from {PLACED}")

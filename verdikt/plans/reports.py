@@ -67,18 +67,15 @@ def answer_shares(parsed: DataFrame, truth: DataFrame, control: str = "t1") -> D
 def compare_models(parsed: DataFrame, a: str, b: str) -> DataFrame:
     """Shared experiments of two models over shared items: scores, delta, exact p adjusted over all, top answers, language."""
     parsed = parsed.filter(F.col("model").isin(a, b))
-    majority = O.majority_correct(O.outcomes(parsed))
-    left = majority.filter(F.col("model") == a).select("experiment", "item_id", F.col("correct").alias("x"))
-    right = majority.filter(F.col("model") == b).select("experiment", "item_id", F.col("correct").alias("y"))
+    of = lambda model: F.max(F.when(F.col("model") == model, F.col("correct")))
+    both = O.majority_correct(O.outcomes(parsed)).groupBy("experiment", "item_id").agg(of(a).alias("x"), of(b).alias("y")).filter("x is not null and y is not null")
     x, y = F.col("x"), F.col("y")
-    out = left.join(right, ["experiment", "item_id"]).groupBy("experiment").agg(F.count("*").alias("n"), O.pct(x).alias("score_a"), O.pct(y).alias("score_b"), F.count_if(y & ~x).alias("won"), F.count_if(~y & x).alias("lost"))
+    out = both.groupBy("experiment").agg(F.count("*").alias("n"), O.pct(x).alias("score_a"), O.pct(y).alias("score_b"), F.count_if(y & ~x).alias("won"), F.count_if(~y & x).alias("lost"))
     out = S.holm(out.withColumn("delta", F.col("score_b") - F.col("score_a")).withColumn("p", S.mcnemar_exact("won", "lost")), "p", [])
-    tops = O.top_answer(O.answer_distribution(parsed, ARM), ARM)
-    language = parsed.groupBy(*ARM).agg(O.pct(F.col("non_english")).alias("non_english_pct"))
-    for side, model in (("a", a), ("b", b)):
-        own = tops.join(language, ARM).filter(F.col("model") == model).select("experiment", F.col("top_answer_pct").alias(f"top_pct_{side}"), F.col("non_english_pct").alias(f"non_english_{side}"))
-        out = out.join(own, "experiment")
-    return out
+    # Answers and language of every arm from one grouping.
+    told = parsed.groupBy(*ARM, "answer").agg(F.count("*").alias("n"), F.count_if("non_english").alias("k"))
+    per = told.groupBy("experiment").agg(*[f.alias(f"{name}_{side}") for side, model in (("a", a), ("b", b)) for own in [F.col("model") == model] for f, name in ((F.max(F.when(own, F.col("n"))) / F.sum(F.when(own, F.col("n"))) * 100, "top_pct"), (F.sum(F.when(own, F.col("k"))) / F.sum(F.when(own, F.col("n"))) * 100, "non_english"))])
+    return out.join(per, "experiment")
 
 
 def run_cube(rows: DataFrame, split: DataFrame, baseline: str = "baseline") -> DataFrame:
