@@ -176,6 +176,24 @@ def test_cycles_and_their_text(spark):
     assert "3 fine crackle-like transients in the" in lines[0] and lines[0].startswith("Cycle ") and lines[-1] == "Total: 0 wheeze-like events, 3 crackle-like transients (0.8 per cycle)."
 
 
+def in_pieces(spark, length, **signals):
+    rows = [(k, RATE, at, [float(x) for x in v[at : at + length]]) for k, v in signals.items() for at in range(0, max(1, len(v)), length)]
+    return spark.createDataFrame(rows, "item_id string, sample_rate int, start long, samples array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("length", [256, 1000, 4001, 10**6])
+def test_pieces_equal_whole_recordings(spark, length):
+    rng = np.random.default_rng(6)
+    t = np.arange(12 * RATE) / RATE
+    breath = rng.standard_normal(len(t)) * (0.1 + np.sin(np.pi * 0.3 * t) ** 2)
+    mixed = tone(3.0, (300, 0.2, 0.6), (700, 0.2, 0.6), (520, 1.4, 1.1)) + 0.02 * rng.standard_normal(3 * RATE)
+    signals = {"breath": breath, "one": tone(1.5, (520, 0.4, 0.5)), "mixed": mixed, "short": np.array([1.0, 2.0, 1.0]), "empty": np.zeros(0), "odd": tone(1.0, (400, 0.0, 1.0))[:3333]}
+    whole, cut = clips_of(spark, **signals), in_pieces(spark, length, **signals)
+    key = lambda df: sorted((r.item_id, round(r.start_s, 9), round(r.end_s, 9), *([r.kind, [round(x, 6) for x in r.tones]] if "kind" in df.columns else [r.cycle_idx])) for r in df.collect())
+    assert key(G.wheezes_in_pieces(cut)) == key(G.detect_wheezes(whole)) and len(key(G.detect_wheezes(whole))) >= 4
+    assert key(G.cycles_in_pieces(cut)) == key(G.segment_cycles(whole)) and len(key(G.segment_cycles(whole))) >= 2
+
+
 def test_bytes_are_samples(spark):
     df = spark.createDataFrame([(1, RATE, bytearray(b"ab" * 900))], "item_id long, sample_rate int, samples binary")
     assert G.clip_rows(df).filter("part = 'clip'").first().end_s == 0.45

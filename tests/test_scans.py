@@ -172,6 +172,14 @@ def test_index_finds_what_all_pairs_find(spark, monkeypatch, entry):
     assert U.candidate_pairs(df, 600).count() < 0.1 * len(rows) ** 2 / 2
 
 
+def test_ids_may_be_texts(spark):
+    rows, twins = recordings(9, 600, noise=0.0)
+    df = spark.createDataFrame([(f"clip{k:04d}", x) for k, x in rows], "item_id string, samples array<double>")
+    want = {(f"clip{a:04d}", f"clip{b:04d}") for a, b in twins}
+    assert {(r.left_id, r.right_id) for r in U.indexed_duplicates(df, 300, 0.8, symmetric=False).collect()} == want
+    assert {(r.left_id, r.right_id) for r in U.near_duplicates(df, 300, 0.8, symmetric=False).collect()} == want
+
+
 def test_index_compares_an_ever_smaller_share(spark):
     share = []
     pairs = lambda rows: {tuple(r) for r in U.candidate_pairs(spark.createDataFrame(rows, "item_id long, samples array<double>"), 400).collect()}

@@ -96,23 +96,23 @@ def rename_by_first_appearance(words: DataFrame, turns: DataFrame) -> DataFrame:
     return first.select("item_id", "speaker", F.concat(F.lit("SPK"), place.cast("string")).alias("name"))
 
 
-def runs(df: DataFrame, by: list[str], order: str, value: Column, first: list[str] | None = None, last: list[str] | None = None, text: str | None = None) -> DataFrame:
+def runs(df: DataFrame, by: list[str], order: str, value: Column, first: list[str] | None = None, last: list[str] | None = None, text: str | None = None, lists: list[str] | None = None) -> DataFrame:
     """Longest runs of equal neighbouring values: ``by, value, start, end, n`` and what was asked for.
 
     ``first`` and ``last``: columns to take from a run's first or last row; ``text``: a column to join with blanks in
-    order. Runs inside a chunk are final; those at a chunk's edges are joined with their neighbours of equal value, of
+    order; ``lists``: columns to gather in order. Runs inside a chunk are final; those at a chunk's edges are joined with their neighbours of equal value, of
     which a clip has two for each chunk at most.
     """
-    first, last = first or [], last or []
-    more = [c for c in dict.fromkeys([*first, *last, *([text] if text else [])]) if c not in [*by, order]]
+    first, last, lists = first or [], last or [], lists or []
+    more = [c for c in dict.fromkeys([*first, *last, *([text] if text else []), *lists]) if c not in [*by, order]]
     rows = chunked(df.select(*by, order, value.alias("value"), *more), by, order)
     own = Window.partitionBy("_chunk", *by)
     along = own.orderBy(order)
     changed = (F.row_number().over(along) == 1) | ~F.col("value").eqNullSafe(F.lag("value").over(along))
     rows = rows.withColumn("_c", changed.cast("int")).withColumn("_run", F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = lambda parts: F.array_join(F.transform(F.array_sort(parts), lambda x: x["t"]), " ")
+    in_order = lambda o, c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(o).alias("o"), F.col(c).alias("t")))), lambda x: x["t"])
     carried = [*[F.min_by(c, order).alias(f"_f_{c}") for c in first], *[F.max_by(c, order).alias(f"_l_{c}") for c in last]]
-    carried += [joined(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_text")] if text else []
+    carried += [*([F.array_join(in_order(order, text), " ").alias("_text")] if text else []), *[in_order(order, c).alias(f"_x_{c}") for c in lists]]
     local = rows.groupBy("_chunk", *by, "_run", "value").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), *carried)
     local = stored(local.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(own))))
     over = Window.partitionBy(*by).orderBy("_chunk", "_run")
@@ -120,9 +120,9 @@ def runs(df: DataFrame, by: list[str], order: str, value: Column, first: list[st
     edges = local.filter("_edge").withColumn("_new", F.when((F.row_number().over(over) == 1) | ~goes_on, 1).otherwise(0))
     edges = edges.withColumn("_run", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     carried = [*[F.min_by(f"_f_{c}", "start").alias(f"_f_{c}") for c in first], *[F.max_by(f"_l_{c}", "end").alias(f"_l_{c}") for c in last]]
-    carried += [joined(F.collect_list(F.struct(F.col("start").alias("o"), F.col("_text").alias("t")))).alias("_text")] if text else []
+    carried += [*([F.array_join(in_order("start", "_text"), " ").alias("_text")] if text else []), *[F.flatten(in_order("start", f"_x_{c}")).alias(f"_x_{c}") for c in lists]]
     edges = edges.groupBy(*by, "_run", "value").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *carried)
-    names = {**{f"_f_{c}": f"first_{c}" for c in first}, **{f"_l_{c}": f"last_{c}" for c in last}, "_text": "text"}
+    names = {**{f"_f_{c}": f"first_{c}" for c in first}, **{f"_l_{c}": f"last_{c}" for c in last}, "_text": "text", **{f"_x_{c}": c for c in lists}}
     kept = [*by, "value", "start", "end", "n", *[c for c in names if c in edges.columns]]
     return local.filter("not _edge").select(kept).unionByName(edges.select(kept)).withColumnsRenamed(names)
 

@@ -656,3 +656,19 @@ def f2_detect_crackles(s, d):
 @query()
 def w9_segment_cycles(s, d):
     return G.segment_cycles(clips(s, d))
+
+
+def pieces(s, d) -> DataFrame:
+    """The same recordings in pieces of 4,096 samples, as long ones come."""
+    whole = clips(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("samples") / 4096).cast("int") - 1))))
+    return whole.select("item_id", "sample_rate", (F.col("k") * 4096).cast("long").alias("start"), F.substring("samples", F.col("k") * 4096 + 1, F.lit(4096)).alias("samples"))
+
+
+@query()
+def f1_wheezes_in_pieces(s, d):
+    return G.wheezes_in_pieces(pieces(s, d))
+
+
+@query()
+def w9_cycles_in_pieces(s, d):
+    return G.cycles_in_pieces(pieces(s, d))
