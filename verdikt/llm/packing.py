@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 from .tokens import ByteBpe
@@ -122,13 +124,29 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
             at += n * k
         first_bin += times
     # Both tables' sizes depend on the capacity, not on the number of pieces.
-    plan = F.broadcast(spark.createDataFrame(places, "n long, low long, high long, k long, bin long, at long"))
+    plan: dict[int, list[tuple]] = {n: [] for n in counts}
+    for n, *entry in places:
+        plan[n].append(tuple(entry))
+    sent = spark.sparkContext.broadcast({n: np.array(sorted(p), dtype=np.int64) for n, p in plan.items()})
     parts = F.broadcast(spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in counts.items()], "n long, parts long"))
     rows = rows.join(parts, "n").withColumn("b", F.pmod(F.xxhash64("i"), F.col("parts")))
     sizes = rows.groupBy("n", "b").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("n", "b").orderBy("i")) - 1
-    ranked = rows.withColumn("r", rank).join(sizes.select("n", "b", before.alias("before")), ["n", "b"]).withColumn("r", F.col("r") + F.col("before"))
-    placed = ranked.join(plan, "n").filter("r >= low and r < high")
-    within = F.col("r") - F.col("low")
-    return placed.select("row.*", (F.col("bin") + F.floor(within / F.col("k"))).alias("sequence_id"), (F.col("at") + (within % F.col("k")) * F.col("n")).alias("offset"))
+    ranked = rows.withColumn("r", rank).join(sizes.select("n", "b", before.alias("before")), ["n", "b"]).select("row", "n", (F.col("r") + F.col("before")).cast("long").alias("r"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pattern of a piece is found by its number among the pieces of its length, by bisection."""
+        for batch in batches:
+            n, r = (batch.column(c).to_numpy() for c in (1, 2))
+            sequence, offset = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+            for length in np.unique(n).tolist():
+                own = np.flatnonzero(n == length)
+                low, _, k, first, at = sent.value[length].T
+                hit = np.searchsorted(low, r[own], side="right") - 1
+                within = r[own] - low[hit]
+                sequence[own], offset[own] = first[hit] + within // k[hit], at[hit] + within % k[hit] * length
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence), pa.array(offset)], names=["row", "sequence_id", "offset"])
+
+    out = T.StructType([ranked.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(place, out).select("row.*", "sequence_id", "offset")

@@ -237,10 +237,13 @@ def token_digests(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = WordBpe(tokenizer_path)
+        digest = lambda b: hashlib.sha256(b).hexdigest()
         for pdf in batches:
-            ids = [coder.encode(t or "") for t in pdf["text"]]
-            digest = lambda b: hashlib.sha256(b).hexdigest()
-            yield pd.DataFrame({"id": pdf["id"], "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [digest(i) for i in ids], "decoded_sha256": [digest(coder.decode(i)) for i in ids]})
+            rows = []
+            for text in pdf["text"]:  # one text's tokens at a time
+                ids = coder.encode(text or "")
+                rows.append((len(ids) // 4, digest(ids), digest(coder.decode(ids))))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(id=pdf["id"].to_numpy())[["id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
