@@ -64,6 +64,15 @@ def p8_parse_choice_letter(s, d):
     return rows.groupBy("model", "experiment", "run_idx", "letter").agg(F.count("*").alias("n"), F.sum("said_idx").alias("meant"))
 
 
+@query(f"select model, case when template = 4 then null else letter end letter, count(*) n, sum(said_idx)::bigint meant from {R_} where experiment = 'baseline' and run_idx = 1 group by 1, 2")
+def p8_long_answers(s, d):
+    """Letters of answers behind some 3,200 characters of reasoning, as long as such answers are."""
+    thought = "Listening once more, the sound might well be several things at once; nothing in it settles the matter so far. "
+    rows = V.responses(s, d, "said_idx").filter("experiment = 'baseline' and run_idx = 1")
+    rows = X.with_letter(rows.withColumn("text", F.concat(F.repeat(F.lit(thought), F.lit(29)), F.lit("\n"), F.col("text"))))
+    return rows.groupBy("model", "letter").agg(F.count("*").alias("n"), F.sum("said_idx").alias("meant"))
+
+
 @query(f"select model, template = 6 or template = 7 as had_thinking, count(*) n, sum(case when template = 7 then 0 when template = 6 then 1 else 0 end)::bigint left_over from {R_} group by 1, 2")
 def p7_strip_thinking(s, d):
     rows = V.responses(s, d).withColumn("t", X.strip_thinking(F.col("text"))).withColumn("h", F.col("text").startswith("<think>"))
