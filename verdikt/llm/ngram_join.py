@@ -9,7 +9,7 @@ nothing. The number of classes follows the set's size in bands that double; a se
 signatures of both bands, so any two sets that can link have a band in common. Small sets use single tokens only.
 
 Equal sets collapse to one. The sets that share a signature make a bucket. In a bucket, parity sketches (a bit for each
-of 8 times as many places as tokens: whether an odd number of tokens fell there) give a lower bound of the number of
+of twice as many places as tokens: whether an odd number of tokens fell there) give a lower bound of the number of
 tokens that two sets do not share, so all pairs are ruled out or kept without a row for any of them: a large bucket is
 cut into blocks that meet two by two. The first pass takes the largest bucket of each set and keeps a spanning forest of
 each block's graph; the second takes all buckets that this left unconnected and keeps every pair between different
@@ -40,7 +40,7 @@ COUNTER_BLOCK, MERGED_TASKS = 1 << 12, 256
 #: Rows of a bucket that one block holds; two blocks meet in a task.
 BLOCK_ROWS = 1024
 #: Bits of a parity sketch for each token of the band's smallest set, and its least and greatest length.
-SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 8, 256, 1 << 15
+SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 2, 256, 1 << 15
 #: Bits of the filter that keeps most texts out of the second reading.
 FILTER_BITS = 1 << 23
 #: Levels of the order beyond rare: each is twice the excess over what chance fills in.
@@ -284,6 +284,7 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<i8")
     sent = spark.sparkContext.broadcast(counter_levels(counts.ravel()))
     base = stored(both.filter("block < 0").groupBy("id").agg(F.min(F.struct("size", "key")).alias("s")).select("id", "s.size", "s.key"))
+    forget(both)
     sets = stored(base.filter("size > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("size").alias("size")))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -377,7 +378,7 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     more = stored(verified(rest))
     if not more.isEmpty():
         labels = stored(components(links.union(more)))
-    forget(both, buckets, tokens, first, links, more)
+    forget(buckets, tokens, first, links, more)
     per_set = sets.join(labels.hint("merge"), sets["id"] == labels["node"], "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = base.join(per_set.hint("merge"), "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
