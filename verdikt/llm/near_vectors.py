@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -261,27 +262,30 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     celled = stored(groups.select("rep", "copies", "vec").mapInPandas(to_cells, "rep long, copies long, vec array<double>, size long, cell long, far double"))
     cells = celled.groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # a row for each pivot at most, and length
-    base_of, number, blocks = {}, {}, []
-    for r in sorted(cells, key=lambda r: (r["size"], r["cell"])):
-        base_of[(r["size"], r["cell"])], number[(r["size"], r["cell"])] = len(blocks), -(-r["n"] // BLOCK_ROWS)
-        blocks += [(r["size"], r["cell"], r["far"])] * number[(r["size"], r["cell"])]
+    cells = sorted((r["size"], r["cell"], r["far"], -(-r["n"] // BLOCK_ROWS)) for r in cells)
+    size, cell, far, number = (np.array(c) for c in zip(*cells, strict=True))
+    start = np.concatenate([[0], np.cumsum(number)])  # of each cell's blocks
     limit = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
-    pairs: list[tuple[int, int]] = []
-    far = np.array([b[2] for b in blocks])
-    for size in sorted({b[0] for b in blocks}):
-        own = np.array([k for k, b in enumerate(blocks) if b[0] == size])
-        apart = np.zeros((len(own), 1)) if size not in by_size else None
-        for at, i in enumerate(own.tolist()):
-            others = own[at:]
-            if apart is None:
-                cells_of = by_size[size][[blocks[k][1] for k in others.tolist()]]
-                near = _distances(by_size[size][blocks[i][1]][None], cells_of)[0] <= far[i] + far[others] + limit + 1e-6
-                others = others[near]
-            pairs += [(i, j) for j in others.tolist()]
     spark = df.sparkSession
-    place = spark.createDataFrame([(s, c, base_of[(s, c)], number[(s, c)]) for s, c in base_of], "size long, cell long, start int, parts int")
-    by_left = spark.createDataFrame([(i, i, j) for i, j in pairs], "block int, x int, y int")
-    by_right = spark.createDataFrame([(j, i, j) for i, j in pairs if i != j], "block int, x int, y int")
+    sent = spark.sparkContext.broadcast((size, cell, far, start, by_size))
+
+    def meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block all blocks from it on whose cell lies near enough: a cell's covering radius bounds its vectors."""
+        size, cell, far, start, pivots = sent.value
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                at = int(np.searchsorted(start, x, side="right")) - 1
+                others = at + np.flatnonzero(size[at:] == size[at])
+                if size[at] in pivots:
+                    own = pivots[int(size[at])]
+                    others = others[_distances(own[cell[at]][None], own[cell[others]])[0] <= far[at] + far[others] + limit + 1e-6]
+                y = np.concatenate([np.arange(max(x, start[k]), start[k + 1]) for k in others.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), x, dtype=np.int32)), pa.array(y.astype(np.int32))], names=["x", "y"])
+
+    pairs = stored(spark.range(int(start[-1]), numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(meets, "x int, y int"))
+    place = spark.createDataFrame([(s, c, int(a), int(n)) for (s, c, _, n), a in zip(cells, start, strict=False)], "size long, cell long, start int, parts int")
+    by_left = pairs.select(F.col("x").alias("block"), "x", "y")
+    by_right = pairs.filter("x <> y").select(F.col("y").alias("block"), "x", "y")
     block = F.col("start") + F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     trees = stored(celled.join(F.broadcast(place), ["size", "cell"]).select(block.alias("block"), "rep", "copies", "vec").groupBy("block").applyInPandas(_block_tree, "block int, tree binary"))
     left = trees.join(by_left, "block").select("x", "y", "block", F.col("y").alias("other"), "tree")
