@@ -1,4 +1,7 @@
-"""Intermediate tables: written once where driver and executors share a folder, read as often as needed."""
+"""Intermediate tables: written once where driver and executors share a folder, read as often as needed.
+
+All of an application's tables lie in one folder, which goes when the application ends; ``forget`` removes one earlier.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that go when this process's application ends.
+_folders: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
@@ -20,7 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="verdikt-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
-    return f"{base.rstrip('/')}/verdikt-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/verdikt-{spark.sparkContext.applicationId}"
+    if own not in _folders:
+        path, system = _path(spark, own)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _folders.add(own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, name: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -35,5 +52,5 @@ def stored(df: DataFrame) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Remove the files of stored tables that nothing reads any more."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = _path(df.sparkSession, df.stored_at)
+        system.delete(path, True)
