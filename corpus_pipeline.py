@@ -25,14 +25,22 @@ def _labels(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFram
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or score stays below ``TOXIC_FROM``. Empty texts stay."""
+    """Documents whose noisy-or score stays below ``TOXIC_FROM``.
+
+    A null text is scored as the empty one, and both stay; rows without an id are scored like others; rows that repeat
+    an id are judged each for itself. An empty table stays empty; without usable labels nothing is learnt and all stay.
+    """
     model = toxicity.toxicity_model(docs, _labels(spark, sf_dir, 5, 0))
     name = free_name(docs, "score")
     return toxicity.score_documents(docs, model, keep=True, score_col=name).filter(F.col(name) < TOXIC_FROM).drop(name)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches ``GOOD_FROM``."""
+    """Documents whose quality score reaches ``GOOD_FROM``.
+
+    A null text is scored as the empty one; rows without an id are scored like others; rows that repeat an id are judged
+    each for itself. Whole texts are scored. An empty table stays empty.
+    """
     model = quality.quality_model(docs, _labels(spark, sf_dir, 4, 2))
     name = free_name(docs, "score")
     return quality.score_documents(docs, model, keep=True, score_col=name).filter(F.col(name) >= GOOD_FROM).drop(name)
@@ -52,7 +60,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with the sequence and the place each was given."""
+    """Token pieces of all documents with the sequence and the place each was given.
+
+    A null or empty text is one piece, the end alone; longer texts than a sequence are cut. Rows that repeat an id, or
+    have none, have pieces of their own. An empty table gives no pieces. Columns of ``docs`` beyond id and text go.
+    """
     return packing.pack(packing.token_pieces(docs, byte_tokenizer(), SEQUENCE, with_ids=False), SEQUENCE)
 
 

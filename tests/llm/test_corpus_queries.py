@@ -150,3 +150,28 @@ def test_run_equals_its_stages(spark, data):
         docs = P.stored(stage(spark, docs, data))
     key = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(P.run(spark, data)) == key(P.STAGES[-1][1](spark, docs, data))
+
+
+def test_pipeline_of_an_empty_table_with_more_columns(spark, data, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("rank", F.lit(1)).withColumn("tokens", F.lit("x"))
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "labels.parquet").symlink_to(f"{data}/labels.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).columns == docs.columns
+
+
+def test_packing_over_many_buckets_of_a_length(spark, data, monkeypatch):
+    from verdikt.llm import packing as K
+
+    monkeypatch.setattr(K, "BUCKET_ROWS", 3)
+    got = Q.op7_best_fit_packing(spark, data).collect()
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and b[-1][0] + b[-1][1] <= Q.SEQUENCE
+    assert len(got) == len({(r.doc_id, r.piece) for r in got})

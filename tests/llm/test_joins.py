@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from verdikt.llm import graph_search as A
 from verdikt.llm import near_vectors as N
@@ -241,6 +242,23 @@ def test_graph_recall_on_given_embeddings(spark, data, monkeypatch):
     assert total and hit / total >= 0.95
 
 
+def test_graph_recall_over_full_shards(spark):
+    """Three shards of the size that is used, against brute force."""
+    rng = np.random.default_rng(12)
+    n = 2 * A.SHARD_ROWS + 5000
+    x = rng.standard_normal((n, 12)) + 2 * rng.standard_normal((40, 12))[rng.integers(0, 40, n)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in A.graph_neighbours(df, F.col("vec_id") % 500 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, n, 500):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == -(-n // 500) and hit / (20 * len(got)) >= 0.9
+
+
 def test_packing_is_complete_gapless_and_tight(spark):
     r = random.Random(5)
     rows = [(k, r.choice([1, 7, 64, 64, 64, 33, r.randint(1, 64)])) for k in range(4000)]

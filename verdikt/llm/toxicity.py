@@ -166,7 +166,11 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], id_col: st
 
 
 def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, position, sentence, probability`` of every sentence whose own probability reaches ``threshold``."""
+    """``id_col, position, sentence, probability`` of every sentence whose own probability reaches ``threshold``.
+
+    Positions count a text's sentences from 0. Null, empty and blank texts have none; whole texts are read, however long;
+    rows that repeat an id, or have none, give their sentences each for itself; other columns are ignored.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
