@@ -46,6 +46,28 @@ def test_keyed_maps_and_lists(spark, tmp_path):
     assert [(r.item_id, r.tags_summary) for r in got] == [("a", "2")]
 
 
+def test_the_last_line_wins_over_files_and_splits(spark, tmp_path):
+    """Files are cut into splits that are dealt largest first; the order of lines doesn't follow them."""
+    kind = schemas.struct(item_id=schemas.STRING, tags_summary=schemas.STRING)
+    want = {}
+    for name, n in (("a", 900), ("b", 40), ("c", 300)):
+        lines = [(f"k{(k * 7) % 50}", f"{name}{k}") for k in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"item_id": k, "tags_summary": v}) + "\n" for k, v in lines))
+        want |= dict(lines)
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = {c: spark.conf.get(c) for c in (size, cost)}
+    try:
+        spark.conf.set(size, "3000")
+        spark.conf.set(cost, "100")
+        rows = I.read_json_lines(spark, str(tmp_path / "*.jsonl"), kind)
+        assert rows.rdd.getNumPartitions() > 10
+        assert {r.item_id: r.tags_summary for r in I.read_keyed_jsonl(spark, str(tmp_path / "*.jsonl"), kind).collect()} == want
+        assert [r.tags_summary for r in rows.orderBy("line_ord").collect()] == [f"{name}{k}" for name, n in (("a", 900), ("b", 40), ("c", 300)) for k in range(n)]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_writers_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
     I.write_table(df, str(tmp_path / "t"), "csv")

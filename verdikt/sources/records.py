@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,10 +81,11 @@ def read_id_list(spark: SparkSession, path: str, field: str | None = None) -> Da
 
 
 def read_keyed_jsonl(spark: SparkSession, path: str, schema: T.StructType, key: str = "item_id") -> DataFrame:
-    """Evidence lines; of a key's lines the last one."""
+    """Evidence lines; of a key's lines the last one, of all files in order of their names. A map-side combined maximum."""
     good, _ = split_corrupt(read_json_lines(spark, path, schema))
-    w = Window.partitionBy(key).orderBy(F.desc("line_ord"))
-    return good.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select(*[f.name for f in schema.fields])
+    rest = [f.name for f in schema.fields if f.name != key]
+    last = good.groupBy(key).agg(F.max_by(F.struct(F.lit(1).alias("_"), *rest), "line_ord").alias("s"))
+    return last.select(*[F.col(key) if f.name == key else F.col(f"s.{f.name}") for f in schema.fields])
 
 
 def read_json_map(spark: SparkSession, path: str, value_type: str = "string") -> DataFrame:
