@@ -196,6 +196,24 @@ def test_pages_of_foreign_structure():
     assert not lost and len(extra) <= 1
 
 
+def test_precision_and_recall_on_foreign_pages():
+    """Over ten more hand-labelled pages, block by block."""
+    from tests.llm.foreign_pages import MORE
+
+    net = H.labeller(None)
+    hit = extra = missed = 0
+    for html, keep, drop in MORE:
+        found = H.blocks(html)
+        for block, yes in zip(found, net.logits([found], H.PathRows(), H.WordRows())[0] > 0, strict=True):
+            if any(block.text.startswith(s) for s in keep):
+                hit += yes
+                missed += not yes
+            elif any(block.text.startswith(s) for s in drop):
+                extra += yes
+    assert hit / (hit + extra) >= 0.85 and hit / (hit + missed) >= 0.9
+
+
+
 def test_closing_slashes_and_raw_text():
     of = lambda page: [b.text for b in H.blocks(page)]
     assert of("<script src=/a/b/>code()</script><p>one") == ["one"] and of("<style/>p{}</style><p>two") == ["two"]

@@ -372,21 +372,30 @@ def made_layout(r: random.Random) -> tuple[str, list[int]]:
 
     def links() -> list[tuple[str, int]]:
         some = [f"<a href=/{r.randrange(99)}>{site()}</a>" for _ in range(r.randrange(2, 9))]
-        if r.random() < 0.5:
+        kind = r.random()
+        if kind < 0.4:
             return [(f"<ul><li>{some[0]}</li>", 0), *[(f"<li>{a}</li>", 0) for a in some[1:-1]], (f"<li>{some[-1]}</li></ul>", 0)]
+        if kind < 0.6:  # each on its own, as teasers are
+            return [(f"<div>{a}</div>", 0) for a in some]
         return [(r.choice(["<br>", " | ", " ", " &middot; "]).join(some), 0)]
 
     short = lambda: [(r.choice([" | ", " - ", " &middot; "]).join(site() for _ in range(r.randrange(1, 5))), 0)]
     legal = lambda: [(r.choice([f"Copyright {r.randrange(1995, 2030)} {line(1, 4)}. All rights reserved.", f"&copy; {line(1, 4)}", f"This page was last changed on {r.randrange(1, 29)} {line(1, 2)}. {line(2, 7)}.", f"{line(2, 4)} by {line(1, 3)}. {line(2, 6)}."]), 0)]
     banner = lambda: [(f"<p>We use cookies {line(3, 9).lower()}.</p>", 0), (f"<button>{site()}</button>", 0)]
-    remarks = lambda: [(f"<span>{r.randrange(40)} comments</span>", 0), *[(f"<div>{line(2, 12)}</div>", 0) for _ in range(r.randrange(3))]]
+    remarks = lambda: [(f"<{(t := r.choice(['span', 'h4', 'div']))}>{r.randrange(40)} {r.choice(['comments', 'replies', 'reactions'])}</{t}>", 0), *[(f"<div>{line(2, 14)}</div>", 0) for _ in range(r.randrange(4))]]
+    card = lambda: [(f"<h{r.choice('34')}>{line(1, 3)}</h3>", 0), *[(f"<p>{line(2, 7)}</p>", 0) for _ in range(r.randrange(1, 4))]]
+    facts = lambda: [(f"<dl><dt>{line(1, 3)}</dt>", 0), (f"<dd>{line(1, 4)}</dd></dl>", 0)] if not table else [(f"<span>{line(1, 3)}</span>", 0)]
+    sender = lambda: [(f"<address>{line(2, 5)}, {r.randrange(1990, 2030)}</address>", 0)]
+    offer = lambda: [(f"<div{name()}>{r.choice(['Advertisement', 'Sponsored', 'Promotion'])}</div>", 0)] * r.randrange(2) + [(f"<div{name()}>{line(1, 2)}: {line(3, 12).lower()}{r.choice(['. Order now!', '! Save today.', '. Try it free.', ' - from 9 a month'])}</div>", 0)]
 
     def article() -> list[tuple[str, int]]:
         tag = r.choice(["p", "p", "div", "blockquote"])
         inner = name() if tag == "div" else ""
-        rows = [(f"<div><b>{line(2, 8)}</b></div>" if r.random() < 0.2 else f"<h{r.choice('12')}>{line(2, 8)}</h2>", 1)]
-        for _ in range(r.randrange(2, 9)):
+        rows = [(f"<div><b>{line(2, 8)}</b></div>" if r.random() < 0.2 else f"<div{name()}>{line(3, 9)}</div>" if r.random() < 0.15 else f"<h{r.choice('12')}>{line(2, 8)}</h2>", 1)]
+        for k in range(r.randrange(2, 9)):
             kind = r.random()
+            if k and r.random() < 0.06:
+                rows += offer()
             if kind < 0.7:
                 rows.append((f"<{tag}{inner}>{prose()}</{tag}>", 1))
             elif kind < 0.82:
@@ -401,7 +410,7 @@ def made_layout(r: random.Random) -> tuple[str, list[int]]:
         if r.random() < chance:
             part(make())
     part(article())
-    for make, chance in ((remarks, 0.3), (links, 0.4), (short, 0.2), (legal, 0.7)):
+    for make, chance in ((remarks, 0.3), (card, 0.25), (facts, 0.15), (links, 0.4), (offer, 0.1), (short, 0.2), (sender, 0.1), (legal, 0.6)):
         if r.random() < chance:
             part(make())
     frame = ("<table>", "</table>") if table else ("<div>", "</div>")
@@ -418,8 +427,11 @@ def told_by_elements(found: list[Block]) -> np.ndarray | None:
     return np.array([int(bool(INSIDE & t) and not OUTSIDE & t and not x) for t, x in zip(tags, named, strict=True)])
 
 
-def labeller(pages: DataFrame | None, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE_PAGES, made: int = MADE_PAGES, seed: int = 7) -> Labeller:
-    """Train on ``made`` made-up pages and at most ``sample`` pages of the table, picked by a hash of their id."""
+def labeller(pages: DataFrame | None, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE_PAGES, made: int = MADE_PAGES, seed: int = 7, most_blocks: int = 400) -> Labeller:
+    """Train on ``made`` made-up pages and at most ``sample`` pages of the table, picked by a hash of their id.
+
+    Of those, pages of ``most_blocks`` blocks or more are left out of the training (never of the labelling).
+    """
     r = random.Random(seed)
     found, labels = [], []
     for k in range(made):
@@ -434,7 +446,7 @@ def labeller(pages: DataFrame | None, html_col: str = "html", id_col: str = "pag
         for (page,) in rows.select("h").toLocalIterator():
             got = blocks(page)
             y = told_by_elements(got)
-            if y is not None and len(got) < 400:
+            if y is not None and len(got) < most_blocks:
                 found.append(got)
                 labels.append(y)
     return Labeller().fit(found, labels)
