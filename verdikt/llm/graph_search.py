@@ -9,7 +9,6 @@ distance by one more coordinate.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from .common import stored
 from .near_vectors import usable
 
 #: Rows of a shard and of a block of queries, on average.
-SHARD_ROWS, QUERY_ROWS = 8192, 8192
+SHARD_ROWS = 8192
 #: Out-neighbours kept, beam while building, beam while searching, and how much longer an edge may be than a detour.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 128, 1.2
 #: Beam entries expanded in one step.
@@ -128,7 +127,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
 
 
 def _built(keep: int):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(pdf: pd.DataFrame) -> tuple:
         """The shard's graph over distinct vectors. Of equal vectors the ``keep`` smallest ids stay: no more can be in a result."""
         pdf = pdf.sort_values("id", kind="stable")
         rows = np.array(pdf["vec"].tolist(), dtype=np.float64)
@@ -140,16 +139,14 @@ def _built(keep: int):
         lift = np.sqrt(np.maximum(pdf["largest"].iloc[0] - (distinct * distinct).sum(axis=1), 0.0))
         points = np.concatenate([distinct, lift[:, None]], axis=1).astype(np.float32)
         graph, start = build_graph(points)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in ("size", "shard", "blocks")}, "index": [pickle.dumps((distinct, points, graph, start, owners), protocol=5)]})
+        return distinct, points, graph, start, owners
 
     return build
 
 
 def _searched(k: int):
-    def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        distinct, points, graph, start, owners = pickle.loads(index["index"].iloc[0])
+    def search(index: tuple, queries: pd.DataFrame) -> pd.DataFrame:
+        distinct, points, graph, start, owners = index
         out_q, out_v, out_s = [], [], []
         beam = min(len(points), max(SEARCH_BEAM, k + 1))
         for part in range(0, len(queries), 256):
@@ -172,6 +169,31 @@ def _searched(k: int):
     return search
 
 
+def _streamed(k: int):
+    """Of each shard the rows come first and make its graph; the queries behind them stream past it and are never held."""
+    build, search = _built(k + 1), _searched(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held, index = None, [], None
+        for pdf in batches:
+            key = pdf[["size", "shard", "asking"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                part, at = pdf.iloc[low:high], tuple(key[low, :2])
+                if at != here:
+                    here, held, index = at, [], None
+                if not key[low, 2]:
+                    held.append(part)
+                    continue
+                if index is None:
+                    index, held = build(pd.concat(held)), []
+                yield search(index, part)
+
+    return run
+
+
 def graph_neighbours(df: DataFrame, query_filter: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20) -> DataFrame:
     """The ``k`` nearest rows found, by largest inner product in double precision, for each row that ``query_filter`` picks.
 
@@ -183,16 +205,15 @@ def graph_neighbours(df: DataFrame, query_filter: Column, id_col: str = "vec_id"
     base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), query_filter.alias("asks")).filter("id is not null")
     base = base.filter(usable()).groupBy("id").agg(F.min("vec").alias("vec"), F.bool_or("asks").alias("asks"))
     base = stored(base.withColumn("size", F.size("vec")))
-    parts = lambda n, rows: F.greatest(F.lit(1), F.bround(F.col(n) / rows).cast("int")).alias
-    lengths = base.groupBy("size").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("largest"))
+    lengths = base.groupBy("size").agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("largest"))
     # A row for each length: at most the square root of twice the number of all components.
-    lengths = lengths.select("size", "largest", parts("n", SHARD_ROWS)("shards"), parts("q", QUERY_ROWS)("blocks"))
+    lengths = lengths.select("size", "largest", F.greatest(F.lit(1), F.bround(F.col("n") / SHARD_ROWS).cast("int")).alias("shards"))
     rows = base.join(F.broadcast(lengths), "size")
-    built = rows.select("id", "vec", "size", "largest", "blocks", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard")).groupBy("size", "shard").applyInPandas(_built(k + 1), "size int, shard int, blocks int, index binary")
-    left = stored(built).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = rows.filter("asks").select("id", "vec", "size", "shards", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int").alias("block"))
-    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    by = ["size", "shard", "block"]
-    merged = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_searched(k), "query_id long, vec_id long, score double")
+    own = rows.select("size", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int").alias("shard"), F.lit(0).alias("asking"), "id", "vec", "largest")
+    asked = rows.filter("asks").select("size", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("asking"), "id", "vec", "largest")
+    # A graph is used where it is built; only queries travel to every shard of their length.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.unionByName(asked).repartition(n, "size", "shard").sortWithinPartitions("size", "shard", "asking", "id")
+    merged = dealt.mapInPandas(_streamed(k), "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
