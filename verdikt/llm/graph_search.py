@@ -2,7 +2,7 @@
 
 Rows are dealt to shards of bounded size by their vector's length and a hash of their id. In a shard, points are added
 in growing batches: a greedy beam search over the graph so far proposes neighbours, relaxed distance pruning keeps a
-diverse few, and reverse edges are pruned the same way. Queries go to every shard of their length in blocks, beam
+diverse few, and reverse edges are pruned the same way. Queries stream past every shard of their length, beam
 search finds candidates there, and a window merges the shards' nearest. Largest inner product is turned into smallest
 distance by one more coordinate.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .near_vectors import usable
 
-#: Rows of a shard and of a block of queries, on average.
+#: Rows of a shard, on average.
 SHARD_ROWS = 8192
 #: Out-neighbours kept, beam while building, beam while searching, and how much longer an edge may be than a detour.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 32, 64, 128, 1.2
