@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,8 @@ from verdikt.llm import near_vectors as N
 from verdikt.llm import ngram_join as J
 from verdikt.llm import packing as P
 from verdikt.llm import warc as W
-from verdikt.llm.common import components
+from verdikt.llm.common import components, frees_shuffles
+from verdikt.sources.store import CLEANUP
 
 
 def classes(nodes, links):
@@ -71,6 +73,60 @@ def test_ngram_components_equal_brute_force(spark, monkeypatch, n, percent, bloc
     assert got == {i: (len(sets[i]), want[i]) for i in ids}
 
 
+def test_ngram_pairs_travel_with_few_signatures(spark, monkeypatch):
+    """Rows of the second pass hold ``LEAST_SIGS`` signatures, not all of their set; no link is lost, and shuffle files go."""
+    monkeypatch.setattr(J, "LEAST_SIGS", 2)
+    widest, run, seen = [], J._candidates, []
+
+    def candidates(percent, every):
+        inner = run(percent, every)
+
+        def outer(batches):
+            def watched():
+                for batch in batches:
+                    if every and batch.num_rows:
+                        assert max(map(len, batch.column(batch.schema.get_field_index("sigs")).to_pylist())) <= 2
+                    yield batch
+
+            return inner(watched())
+
+        widest.append(every)
+        return outer
+
+    monkeypatch.setattr(J, "_candidates", candidates)
+    monkeypatch.setattr(J, "stored", lambda df, store=J.stored: seen.append(spark.conf.get(CLEANUP, None)) or store(df))
+    r = random.Random(8)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    rows = []
+    for k in range(60):  # near each other, in chains that just link or just don't
+        own = list(base)
+        for at in r.sample(range(120), r.choice([1, 2, 3, 4])):
+            own[at] = f"y{r.randrange(9)}"
+        rows.append((k, " ".join(own)))
+    before = spark.conf.get(CLEANUP, None)
+    got = {x.doc_id: x.component_id for x in J.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert got == classes(sorted(sets), links) and 1 < len(set(got.values())) < 60
+    assert widest == [False, True] and set(seen) == {"true"} and spark.conf.get(CLEANUP, None) == before
+
+
+def test_shuffle_files_go_once_a_table_is_stored(spark):
+    """Files of shuffles in this process's local folders, before and after; each table is kept alive meanwhile."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(manager.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(manager.getAllFiles().size()))
+    tables, grown = [], []
+    for how in (lambda df: J.stored(df), frees_shuffles(lambda df: J.stored(df))):
+        df = spark.range(1000).selectExpr("id % 7 k").groupBy("k").count()
+        had = files()
+        tables += [df, how(df)]
+        end = time.time() + 20
+        while files() > had and time.time() < end and len(tables) == 4:
+            time.sleep(0.2)
+        grown.append(files() - had)
+    assert grown[0] > 0 >= grown[1] and tables[3].count() == 7
+
+
 def test_ngram_empty_table(spark):
     assert J.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.store import forget, shared_folder, stored
+from ..sources.store import forget, frees_shuffles, shared_folder, stored
 
-__all__ = ["components", "fold_of", "forget", "free_name", "ranked", "scored", "shared_folder", "stored"]
+__all__ = ["components", "fold_of", "forget", "free_name", "frees_shuffles", "ranked", "scored", "shared_folder", "stored"]
 
 #: Texts that a task turns into Python strings at once.
 SLICE = 128

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forget, stored
+from .common import components, forget, frees_shuffles, stored
 from .words import MIX, hashes_of, mixed
 
 #: Counters of the sketch (a power of two) and the fullest that are still rare. As a corpus fills the counters, fewer
@@ -49,6 +49,8 @@ LEVELS = 15
 SMALL = 32
 #: Sets that a task remembers, so as to sign equal ones once.
 SEEN_SETS = 100_000
+#: Least signatures of a set that travel with its rows, to give a pair in few of its buckets.
+LEAST_SIGS = 8
 SALT = 0x2545F4914F6CDD1D
 
 
@@ -173,9 +175,10 @@ def forest(far: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _candidates(percent: int, every: bool):
-    """Pairs of each block that may link: all of them (``every``; rows have all signatures of their set) or a spanning forest.
+    """Pairs of each block that may link: all of them (``every``; rows have the least signatures of their set) or a spanning forest.
 
-    Rows of a block (sig, p, q) stand together; a block may reach over batches.
+    Rows of a block (sig, p, q) stand together; a block may reach over batches. Of the buckets that hold a pair, the one
+    of its least signature always gives it; another doesn't if the least signatures of both sets tell of an earlier one.
     """
 
     def pairs_of(table: pa.Table, cuts: np.ndarray) -> Iterator[np.ndarray]:
@@ -189,11 +192,11 @@ def _candidates(percent: int, every: bool):
             values = lists.values.to_numpy()
 
         def first_met(pairs: np.ndarray) -> np.ndarray:
-            """Of all buckets that hold both sets, only the one with the least signature gives the pair."""
+            """Pairs without those that a bucket with a smaller signature gives, as far as the least signatures tell."""
             if not every or not len(pairs):
                 return pairs
-            least = [np.intersect1d(values[place[i] : place[i + 1]], values[place[j] : place[j + 1]], assume_unique=True)[0] for i, j in pairs.tolist()]
-            return pairs[np.array(least) == sig[pairs[:, 0]]]
+            both = [np.intersect1d(values[place[i] : place[i + 1]], values[place[j] : place[j + 1]], assume_unique=True) for i, j in pairs.tolist()]
+            return pairs[np.array([not len(x) or x[0] >= s for x, s in zip(both, sig[pairs[:, 0]].tolist(), strict=True)])]
 
         first, many = cuts[:-1], np.diff(cuts)
         twos = first[many == 2]
@@ -238,6 +241,7 @@ def _candidates(percent: int, every: bool):
     return run
 
 
+@frees_shuffles
 def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` for every document: its set's size and the smallest id reachable by links.
 
@@ -344,7 +348,8 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
     again = docs.select("id", "text", spot.alias("spot")).mapInPandas(whole, "id long, key binary, tokens array<long>, band int, sketches array<binary>")
     # Of rows that repeat an id, the one that stands for it.
-    tokens = stored(again.join(sets.join(wanted.hint("merge"), "id", "left_semi").select("id", "key").hint("merge"), ["id", "key"], "left_semi").dropDuplicates(["id"]))
+    stands = sets.join(wanted.hint("merge"), "id", "left_semi").select("id", F.col("key").alias("own"))
+    tokens = stored(again.join(stands.hint("merge"), "id").filter("key = own").drop("own").dropDuplicates(["id"]))  # one shuffle, by id
     sketches = tokens.select("id", "band", F.posexplode("sketches").alias("k", "sketch")).select("id", (F.col("band") + F.col("k") + 1).alias("band"), "sketch")
 
     def candidates(rows: DataFrame, every: bool) -> DataFrame:
@@ -354,7 +359,8 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
         rows = rows.join(sketches.hint("merge"), ["id", "band"])
         if every:
-            rows = rows.join(rows.groupBy("id").agg(F.array_sort(F.collect_set("sig")).alias("sigs")).hint("merge"), "id")
+            least_sigs = F.slice(F.array_sort(F.collect_set("sig")), 1, LEAST_SIGS)
+            rows = rows.join(rows.groupBy("id").agg(least_sigs.alias("sigs")).hint("merge"), "id")
         one = rows.filter("parts = 1").withColumns({"p": F.lit(0), "q": F.lit(0)})
         more = rows.filter("parts > 1").withColumn("at", F.explode(meets)).withColumns({"p": F.col("at.p"), "q": F.col("at.q")})
         dealt = one.unionByName(more.drop("at")).select("sig", "p", "q", "id", "size", "component", "block", "sketch", *["sigs"] * every)
@@ -374,11 +380,11 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     labels = stored(components(links))
     rows = buckets.join(labels.hint("merge"), buckets["id"] == labels["node"], "left").select("sig", "id", "size", F.coalesce("component", "id").alias("component"))
     still = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-    rest = candidates(rows.join(still.hint("merge"), "sig", "left_semi"), True).join(first.hint("merge"), ["a", "b"], "left_anti")
+    rest = stored(candidates(rows.join(still.hint("merge"), "sig", "left_semi"), True).join(first.hint("merge"), ["a", "b"], "left_anti"))
     more = stored(verified(rest))
     if not more.isEmpty():
         labels = stored(components(links.union(more)))
-    forget(buckets, tokens, first, links, more)
+    forget(buckets, tokens, first, links, rest, more)
     per_set = sets.join(labels.hint("merge"), sets["id"] == labels["node"], "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = base.join(per_set.hint("merge"), "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
