@@ -44,6 +44,25 @@ def test_toxicity_learns_from_documents_and_finds_sentences(spark):
     assert found and np.mean(["grob" in r.sentence or "vile" in r.sentence for r in found]) > 0.95
 
 
+def test_toxicity_hashes_known_parts_of_new_words_once(monkeypatch):
+    r = random.Random(3)
+    weights = np.random.default_rng(3).standard_normal(T.SPACE).astype(np.float32)
+    pieces = ["".join(r.choice(["ka", "lo", "mi", "ter", "日本", "É"]) for _ in range(r.randint(1, 8))) for _ in range(2000)]
+    pieces += ["", "...", "a", "AB", "abc-abcabcabc", "don't", "𝔸𝔹ℂ𝔻𝔼", "x1yz_w", "İstanbul"]
+    words = set(pieces)
+    names = {n for p in words for w in T.LETTERS.findall(p.lower()) for n in [f"w:{w}"] + [f"b:{w[:k]}" for k in (3, 4, 5, 6) if len(w) > k] + [f"g:{x}" for x in (f"<{w}>"[i : i + 4] for i in range(len(w) - 1))]}
+    want = {p: weights[T.word_features(p)].astype(float).sum() for p in words}
+    hashed, digest = [], T.xxhash.xxh32_intdigest
+    monkeypatch.setattr(T.xxhash, "xxh32_intdigest", lambda x: hashed.append(x) or digest(x))
+    table = T.WordWeights(weights)
+    assert all(math.isclose(table[p], want[p], rel_tol=1e-9, abs_tol=1e-9) for p in words)
+    assert len(hashed) <= len(names)
+    monkeypatch.setattr(T, "TABLE_WORDS", 10)
+    table = T.WordWeights(weights)
+    assert all(math.isclose(table[p], want[p], rel_tol=1e-9, abs_tol=1e-9) for p in words)
+    assert max(map(len, (table, table.begins, table.groups))) <= 10
+
+
 def test_quality_learns_shapes(spark):
     x, y = texts(400, 2, lambda r, line: " ".join(w + "!!" for w in line.upper().split()))
     rows = [Y.indicators(t, Y.WordHashes()) for t in x]

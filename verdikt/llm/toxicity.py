@@ -24,7 +24,7 @@ from .common import scored
 SAMPLE_ROWS, SPACE = 3000, 1 << 18
 #: Bound of the bytes of these texts, for each class.
 SAMPLE_BYTES = 32 << 20
-#: Words a worker's table holds before it is emptied.
+#: Entries a worker's table (of words, of beginnings, of letter groups) holds before it is emptied.
 TABLE_WORDS = 100_000
 EPOCHS, RATE, SHRINK = 16, 0.5, 2e-5
 #: Sentences end at these characters, as long as something follows.
@@ -49,17 +49,41 @@ def sentences(text: str) -> list[str]:
     return [s for s in BREAKS.split(text) if s and not s.isspace()]
 
 
+class NameWeights(dict):
+    """Weight of the feature that ``kind`` and a key name; bounded."""
+
+    def __init__(self, weights: list[float], kind: str):
+        super().__init__()
+        self.weights, self.kind = weights, kind
+
+    def __missing__(self, key: str) -> float:
+        if len(self) >= TABLE_WORDS:
+            self.clear()
+        value = self[key] = self.weights[xxhash.xxh32_intdigest(self.kind + key) % SPACE]
+        return value
+
+
 class WordWeights(dict):
-    """Sum of a word's feature weights, looked up by the piece of text; bounded."""
+    """Sum of the weights of ``word_features``, looked up by the piece of text; bounded.
+
+    Most new words are made of known beginnings and letter groups, so these have tables of their own.
+    """
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights = weights
+        self.weights = weights.tolist()
+        self.begins, self.groups = NameWeights(self.weights, "b:"), NameWeights(self.weights, "g:")
 
     def __missing__(self, piece: str) -> float:
         if len(self) >= TABLE_WORDS:
             self.clear()
-        value = self[piece] = float(self.weights[word_features(piece)].sum())
+        value, low = 0.0, piece.lower()
+        for w in (low,) if low.isalpha() else LETTERS.findall(low):
+            marked = f"<{w}>"
+            value += self.weights[xxhash.xxh32_intdigest("w:" + w) % SPACE]
+            value += sum(map(self.begins.__getitem__, [w[:n] for n in (3, 4, 5, 6) if len(w) > n]))
+            value += sum(map(self.groups.__getitem__, {marked[i : i + 4] for i in range(len(marked) - 3)}))
+        self[piece] = value
         return value
 
 
