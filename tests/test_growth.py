@@ -22,3 +22,18 @@ def test_confusion_reads_answers_once(spark):
     assert "regexp" not in plan(got).lower() and len(plan(got)) < 20_000
     cells = {(r.truth, r.predicted): r.n for r in got.collect()}
     assert len(cells) == 16 and sum(cells.values()) == 240 and cells["C", "D"] == 0
+
+
+def test_long_answers_are_told_by_their_beginnings(spark):
+    """A long text is one of the choices only if its beginning may be: blanks, quotes and cut characters don't hide that."""
+    long = "é" * 200 + " " + "雨" * 150
+    choices = ["light rain", long, "Fog"]
+    filler = "Nothing in it settles the matter so far. " * 80
+    cases = [
+        ("　" * 900 + "FOG" + "\n" * 5, "C"), ("light" + "  " * 700 + "RAIN.", "A"), ("*" * 600 + "`light rain`" + "." * 600, "A"), ("x" + long, None), (long, "B"), (long.upper() + "..", "B"),
+        (filler + "\nB", "B"), (filler + "\x0bFog", None), (long + "\x85" + filler, "B"), ("fog" + " " * 400 + "\n" + filler, "C"), (filler + " C. fog " + filler, "C"), ("A) " + filler, "A"), (filler + "The ANSWER is B. " + filler, "B"), (filler + "The ANSWER is Bs " + filler, None), (filler + "final answer: B " + filler, "B"), ("\x1c" + filler + "\x1c", None),
+    ]
+    df = spark.createDataFrame([(k, t, choices) for k, (t, _) in enumerate(cases)], "i int, text string, choices array<string>")
+    got = X.with_letter(df)
+    assert "octet_length" in plan(got) and "translate" in plan(got)
+    assert [(t[:20], r.letter) for (t, _), r in zip(cases, got.orderBy("i").collect(), strict=True)] == [(t[:20], w) for t, w in cases]
