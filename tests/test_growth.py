@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from verdikt.functions import text as X
+from verdikt.operators import compare as C
 from verdikt.operators import outcomes as O
+from verdikt.plans import queries_outcomes as V
+from verdikt.plans import reports as R
 
 
 def plan(df):
@@ -37,3 +40,40 @@ def test_long_answers_are_told_by_their_beginnings(spark):
     got = X.with_letter(df)
     assert "octet_length" in plan(got) and "translate" in plan(got)
     assert [(t[:20], r.letter) for (t, _), r in zip(cases, got.orderBy("i").collect(), strict=True)] == [(t[:20], w) for t, w in cases]
+
+
+def stored_columns(monkeypatch, *modules):
+    """The columns of every table that is stored from now on."""
+    seen = []
+    for m in modules:
+        monkeypatch.setattr(m, "stored", lambda df, keep=m.stored: seen.append(df.columns) or keep(df))
+    return seen
+
+
+def test_reports_store_counts_not_answers(spark, monkeypatch):
+    """What reports store has as many rows as arms, answers and categories make, whatever the number of items."""
+    seen = stored_columns(monkeypatch, R, V)
+    for f in (V.r4_answer_shares, V.r5_compare_models, V.r6_compare_runs, V.r6_category_table, V.r2_item_table):
+        f(spark, "/root/testdata/sf0.001")
+    assert seen and not any("item_id" in c or "text" in c for c in seen)
+    assert not any({"run_idx", "choices"} <= set(c) for c in seen)
+
+
+def test_reports_of_odd_lines_equal_joins(spark):
+    """Items that miss in a run or an arm, lines that repeat, categories that change, against plain joins of majorities."""
+    rows = [r for k, r in enumerate(answers(spark).collect()) if k % 7 and not (r.model == "m2" and r.item_id < 4)] + answers(spark).filter("item_id in (5, 6) and run_idx = 2").collect()
+    rows = O.parsed(spark.createDataFrame(rows, answers(spark).schema))
+    right = O.outcomes(rows)
+    majority = O.majority_correct(right)
+    split = majority.filter("model = 'm1' and experiment = 't1'").select("item_id", F.when(F.col("correct"), "transcript_solvable").otherwise("audio_dependent").alias("subset"))
+    got = {r.experiment: r for r in R.compare_models(rows, "m1", "m2").collect()}
+    sides = [majority.filter(F.col("model") == m).select("experiment", "item_id", F.col("correct").alias(c)) for m, c in (("m1", "x"), ("m2", "y"))]
+    want = {r.experiment: r for r in sides[0].join(sides[1], ["experiment", "item_id"]).groupBy("experiment").agg(F.count("*").alias("n"), F.count_if("x").alias("a"), F.count_if("y").alias("b"), F.count_if(F.expr("y and not x")).alias("won"), F.count_if(F.expr("x and not y")).alias("lost")).collect()}
+    assert got.keys() == want.keys() and all((got[e].n, got[e].won, got[e].lost) == (want[e].n, want[e].won, want[e].lost) and abs(got[e].score_a - 100 * want[e].a / want[e].n) < 1e-9 for e in want)
+    told = {(r.model, r.experiment): r for r in R.compare_runs(right, split).collect()}
+    paired = C.with_baseline(majority).join(split, "item_id", "left")
+    plain = {(r.model, r.experiment): r for r in paired.groupBy("model", "experiment").agg(F.count("*").alias("n"), F.count_if("correct").alias("right"), F.count_if(F.expr("correct and not base")).alias("won"), F.count_if(F.expr("base and not correct")).alias("lost"), F.count_if(F.expr("subset = 'audio_dependent'")).alias("n_ad")).collect()}
+    assert told.keys() == plain.keys() and all([told[a][c] for c in ("n", "right", "won", "lost", "n_ad")] == [plain[a][c] for c in ("n", "right", "won", "lost", "n_ad")] for a in plain)
+    items = right.select("item_id").distinct().withColumn("sub_category", F.lit("s"))
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(R.item_table(majority, split, items)) == key(R.item_table(majority, F.expr("model = 'm1' and experiment = 't1'"), items))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -42,8 +42,18 @@ def choice_summary(parsed: DataFrame, baseline: str = "baseline", control: str =
     return out.join(O.top_answer(told, ARM), ARM).join(unparsed, ARM)
 
 
-def item_table(majority: DataFrame, split: DataFrame, items: DataFrame) -> DataFrame:
-    return majority.join(split, "item_id", "left").join(items.select("item_id", "sub_category"), "item_id", "left").select(*ARM, "item_id", "correct", "subset", F.col("category").alias("layer"), "sub_category")
+def item_table(majority: DataFrame, split: DataFrame | Column, items: DataFrame) -> DataFrame:
+    """Outcomes item by item with subset, layer and sub-category.
+
+    ``split`` has ``item_id, subset``, or it is a condition that holds for the rows of the text-only control: what they
+    say is then read off the item's group, without another pass or a join.
+    """
+    if isinstance(split, Column):
+        told = F.max(F.when(split & F.col("item_id").isNotNull(), F.col("correct"))).over(Window.partitionBy("item_id"))
+        rows = majority.withColumn("subset", F.when(told, "transcript_solvable").when(~told, "audio_dependent"))
+    else:
+        rows = majority.join(split, "item_id", "left")
+    return rows.join(items.select("item_id", "sub_category"), "item_id", "left").select(*ARM, "item_id", "correct", "subset", F.col("category").alias("layer"), "sub_category")
 
 
 def balanced_summary(majority: DataFrame, baseline: str = "baseline", silence: str = "t1") -> DataFrame:
@@ -57,36 +67,80 @@ def balanced_summary(majority: DataFrame, baseline: str = "baseline", silence: s
 
 
 def answer_shares(parsed: DataFrame, truth: DataFrame, control: str = "t1") -> DataFrame:
-    """Share of each answer per arm next to its share among gold answers and in the control arm."""
-    told = O.answer_distribution(parsed, ARM).select(*ARM, "answer", "share_pct")
+    """Share of each answer per arm next to its share among gold answers and in the control arm.
+
+    The shares are stored, not the answers: those are read once.
+    """
+    told = stored(O.answer_distribution(parsed, ARM).select(*ARM, "answer", "share_pct"))
     gold = truth.groupBy("answer").agg(F.count("*").alias("n")).withColumn("truth_pct", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))) * 100).drop("n")
     beside = told.filter(F.col("experiment") == control).select("model", "answer", F.col("share_pct").alias("control_pct"))
     return told.join(gold, "answer", "left").join(beside, ["model", "answer"], "left")
 
 
+def _lines(rows: DataFrame, by: list[str], *cols: str) -> DataFrame:
+    """The lines of each group in an array ``lines``: a line for each run and arm of an item that the group has."""
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("run_idx", *cols)).alias("lines"))
+
+
+def _tally(lines: Column) -> tuple[Column, Column]:
+    """How many of the lines are right, and how many runs they are of."""
+    return F.size(F.filter(lines, lambda x: x["correct"])).alias("right"), F.size(F.array_distinct(F.filter(F.transform(lines, lambda x: x["run_idx"]), lambda r: r.isNotNull()))).alias("seen")
+
+
 def compare_models(parsed: DataFrame, a: str, b: str) -> DataFrame:
-    """Shared experiments of two models over shared items: scores, delta, exact p adjusted over all, top answers, language."""
-    parsed = parsed.filter(F.col("model").isin(a, b))
-    of = lambda model: F.max(F.when(F.col("model") == model, F.col("correct")))
-    both = O.majority_correct(O.outcomes(parsed)).groupBy("experiment", "item_id").agg(of(a).alias("x"), of(b).alias("y")).filter("x is not null and y is not null")
-    x, y = F.col("x"), F.col("y")
-    out = both.groupBy("experiment").agg(F.count("*").alias("n"), O.pct(x).alias("score_a"), O.pct(y).alias("score_b"), F.count_if(y & ~x).alias("won"), F.count_if(~y & x).alias("lost"))
+    """Shared experiments of two models over shared items: scores, delta, exact p adjusted over all, top answers, language.
+
+    Answers are read once: an item's lines stand in one group, and what they say for the pair and for their own arm ends
+    in one stored table of counts.
+    """
+    rows = parsed.filter(F.col("model").isin(a, b)).withColumn("correct", F.col("letter").eqNullSafe(F.col("gold")))
+    items = _lines(rows, ["experiment", "item_id"], "model", "correct", "answer", "non_english")
+    side = lambda model: F.filter("lines", lambda x: x["model"] == model)
+    of = lambda model: [F.when(F.size(side(model)) > 0, x) for x in _tally(side(model))]
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("model", "string"), ("run_idx", parsed.schema["run_idx"].dataType), ("answer", "string"), ("non_english", "boolean"))]
+    no_pair = [F.lit(None).cast("int").alias(c) for c in ("right_a", "seen_a", "right_b", "seen_b")]
+    pair = F.struct(*nothing, *[x.alias(f"{c}_{side}") for side, model in (("a", a), ("b", b)) for c, x in zip(("right", "seen"), of(model), strict=True)])
+    own = F.transform("lines", lambda x: F.struct(x["model"].alias("model"), x["run_idx"].alias("run_idx"), x["answer"].alias("answer"), x["non_english"].alias("non_english"), *no_pair))
+    cells = items.select("experiment", F.explode(F.concat(F.array(pair), own)).alias("x")).select("experiment", "x.*")
+    cube = stored(cells.groupBy(*cells.columns).agg(F.count("*").alias("count")))
+    lines, count = cube.filter("model is not null"), F.col("count")
+    runs = lambda model, name: F.count_distinct(F.when(F.col("model") == model, F.col("run_idx"))).alias(name)
+    pairs = cube.filter("model is null").join(F.broadcast(lines.groupBy("experiment").agg(runs(a, "n_a"), runs(b, "n_b"))), "experiment").filter("seen_a = n_a and seen_b = n_b")
+    x, y = 2 * F.col("right_a") > F.col("n_a"), 2 * F.col("right_b") > F.col("n_b")
+    total = lambda when: F.coalesce(F.sum(F.when(when, count)), F.lit(0))
+    out = pairs.groupBy("experiment").agg(F.sum(count).alias("n"), (total(x) / F.sum(count) * 100).alias("score_a"), (total(y) / F.sum(count) * 100).alias("score_b"), total(y & ~x).alias("won"), total(~y & x).alias("lost"))
     out = S.holm(out.withColumn("delta", F.col("score_b") - F.col("score_a")).withColumn("p", S.mcnemar_exact("won", "lost")), "p", [])
-    # Answers and language of every arm from one grouping.
-    told = parsed.groupBy(*ARM, "answer").agg(F.count("*").alias("n"), F.count_if("non_english").alias("k"))
+    told = lines.groupBy(*ARM, "answer").agg(F.sum(count).alias("n"), total(F.col("non_english")).alias("k"))
     per = told.groupBy("experiment").agg(*[f.alias(f"{name}_{side}") for side, model in (("a", a), ("b", b)) for own in [F.col("model") == model] for f, name in ((F.max(F.when(own, F.col("n"))) / F.sum(F.when(own, F.col("n"))) * 100, "top_pct"), (F.sum(F.when(own, F.col("k"))) / F.sum(F.when(own, F.col("n"))) * 100, "non_english"))])
     return out.join(per, "experiment")
 
 
-def run_cube(rows: DataFrame, split: DataFrame, baseline: str = "baseline") -> DataFrame:
-    """Counts of majorities by arm, category and subset: the only pass over items that a comparison of runs needs.
+def run_cubes(rows: DataFrame, split: DataFrame, baseline: str = "baseline") -> tuple[DataFrame, DataFrame]:
+    """Counts of majorities by arm, category and subset, and of lines by arm, run and category: the only pass over answers.
 
-    n and right; of the items that the baseline has too (shared): right in this arm (a) and in the baseline (b), won and
-    lost. As many rows as arms, categories and subsets make.
+    The first has n and right; of the items that the baseline has too (shared): right in this arm (a) and in the
+    baseline (b), won and lost. As many rows as arms, categories and subsets make. An item's lines stand in one group;
+    what they come to is counted before it is known how many runs an arm has.
     """
-    pairs = C.with_baseline(O.majority_correct(rows), baseline).join(split.select("item_id", "subset"), "item_id", "left")
-    x, y, both = F.col("correct"), F.col("base"), F.col("correct").isNotNull() & F.col("base").isNotNull()
-    return stored(pairs.groupBy(*ARM, "category", "subset").agg(F.count("*").alias("n"), F.count_if(x).alias("right"), F.count_if(both).alias("shared"), F.count_if(both & x).alias("a"), F.count_if(both & y).alias("b"), F.count_if(both & x & ~y).alias("won"), F.count_if(both & ~x & y).alias("lost")))
+    items = _lines(rows, ["model", "item_id"], "experiment", "category", "correct").join(split.select("item_id", "subset"), "item_id", "left")
+    under = lambda e: F.filter("lines", lambda x: x["experiment"].eqNullSafe(e))
+    based = lambda k: F.when(F.size(under(F.lit(baseline))) > 0, _tally(under(F.lit(baseline)))[k])
+    run, correct = rows.schema["run_idx"].dataType, F.lit(None).cast("boolean").alias("correct")
+    last = lambda e: F.array_max(F.transform(F.filter(under(e), lambda x: x["run_idx"].isNotNull()), lambda x: F.struct(x["run_idx"].alias("run_idx"), x["category"].alias("category"))))["category"]
+    arms = F.transform(F.array_distinct(F.transform("lines", lambda x: x["experiment"])), lambda e: F.struct(e.alias("experiment"), last(e).alias("category"), *_tally(under(e)), F.col("base_right"), F.col("base_seen"), F.lit(None).cast(run).alias("run_idx"), correct))
+    none = [F.lit(None).cast("int").alias(c) for c in ("right", "seen", "base_right", "base_seen")]
+    lines = F.transform("lines", lambda x: F.struct(x["experiment"].alias("experiment"), x["category"].alias("category"), *none, x["run_idx"].alias("run_idx"), x["correct"].alias("correct")))
+    cells = items.withColumns({"base_right": based(0), "base_seen": based(1)}).select("model", "subset", F.explode(F.concat(arms, lines)).alias("x")).select("model", F.when(F.col("x.seen").isNotNull(), F.col("subset")).alias("subset"), "x.*")
+    cells = stored(cells.groupBy(*cells.columns).agg(F.count("*").alias("count")))
+    count, told = F.col("count"), cells.filter("seen is null")
+    total = lambda when: F.coalesce(F.sum(F.when(when, count)), F.lit(0))
+    runs = stored(told.groupBy(*ARM).agg(F.count_distinct("run_idx").alias("n_runs")))  # one row for each arm
+    base = runs.filter(F.col("experiment") == baseline).select("model", F.col("n_runs").alias("base_runs"))
+    pairs = cells.filter("seen is not null").join(F.broadcast(runs), ARM).filter("seen = n_runs").join(F.broadcast(base), "model", "left")
+    pairs = pairs.withColumns({"x": 2 * F.col("right") > F.col("n_runs"), "y": F.when(F.col("base_seen") == F.col("base_runs"), 2 * F.col("base_right") > F.col("base_runs"))})
+    x, y, both = F.col("x"), F.col("y"), F.col("y").isNotNull()
+    cube = pairs.groupBy(*ARM, "category", "subset").agg(F.sum(count).alias("n"), total(x).alias("right"), total(both).alias("shared"), total(both & x).alias("a"), total(both & y).alias("b"), total(both & x & ~y).alias("won"), total(both & ~x & y).alias("lost"))
+    return stored(cube), told.groupBy(*ARM, "run_idx", "category").agg(F.sum(count).alias("n"), total(F.col("correct")).alias("right"))
 
 
 def compare_runs(rows: DataFrame, split: DataFrame, baseline: str = "baseline") -> DataFrame:
@@ -94,9 +148,9 @@ def compare_runs(rows: DataFrame, split: DataFrame, baseline: str = "baseline")
 
     ``split`` has ``item_id, subset``. The exact p belongs to accuracy, ``p_ba`` (permutation) to balanced accuracy,
     which is over the categories present; ``categories`` has accuracy and n of each. Everything comes from one stored
-    cube of counts, read by grouping sets, and the counts of the single runs.
+    cube of counts, read by grouping sets, and the counts of the single runs; ``rows`` are read once.
     """
-    cube = run_cube(rows, split, baseline)
+    cube, runs = run_cubes(rows, split, baseline)
     counts = ["n", "right", "shared", "a", "b", "won", "lost"]
     level = F.grouping("category") * 2 + F.grouping("subset")
     sets = cube.groupingSets([[*ARM], [*ARM, "category"], [*ARM, "subset"], [*ARM, "category", "subset"]], *ARM, "category", "subset").agg(level.alias("level"), *[F.sum(c).alias(c) for c in counts])
@@ -127,7 +181,6 @@ def compare_runs(rows: DataFrame, split: DataFrame, baseline: str = "baseline")
         **{f"acc_{short}": F.col(f"right_{short}") / F.col(f"n_{short}") * 100 for _, short in sides},
     }).withColumn("paired", paired)
     out = S.with_intervals(out, ARM).withColumn("p", S.mcnemar_exact("won", "lost"))
-    runs = rows.groupBy(*ARM, "run_idx", "category").agg(F.count("*").alias("n"), F.count_if("correct").alias("right"))
     recall = F.when(classed, F.col("right") / F.col("n"))
     runs = runs.groupBy(*ARM, "run_idx").agg((F.sum("right") / F.sum("n") * 100).alias("acc"), (F.avg(recall) * 100).alias("ba"))
     runs = runs.groupBy(*ARM).agg(F.avg("acc").alias("mean_accuracy_pct"), F.count("*").alias("runs"), F.avg("ba").alias("mean_ba"))
