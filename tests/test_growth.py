@@ -1,9 +1,11 @@
 """What queries hold and move as their tables grow: plans, stored tables, files."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from verdikt.functions import text as X
 from verdikt.operators import compare as C
+from verdikt.operators import duplicates as U
 from verdikt.operators import outcomes as O
 from verdikt.plans import queries_outcomes as V
 from verdikt.plans import reports as R
@@ -77,3 +79,24 @@ def test_reports_of_odd_lines_equal_joins(spark):
     items = right.select("item_id").distinct().withColumn("sub_category", F.lit("s"))
     key = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert key(R.item_table(majority, split, items)) == key(R.item_table(majority, F.expr("model = 'm1' and experiment = 't1'"), items))
+
+
+def test_near_duplicates_rule_out_by_products_and_collapse_copies(spark, monkeypatch):
+    """Many short signals of mixed lengths, copies and flat ones: few reach the exact correlation, all pairs are found."""
+    r = np.random.default_rng(7)
+    rows = [(k, r.exponential(50, int(r.integers(30, 60))).tolist()) for k in range(60)]
+    rows += [(100 + k, (2 * np.array(rows[k][1][3:]) + 5).tolist()) for k in range(10)] + [(200 + k, rows[k % 3][1]) for k in range(6)] + [(300, [4.0] * 40), (301, [4.0] * 40), (302, [0.1] * 30 + [0.2] * 10)]
+    df = spark.createDataFrame(rows, "item_id long, samples array<double>")
+    block, whole = U.Block([s for _, s in rows]), {}
+    for k in range(len(rows)):
+        others = np.arange(k + 1, len(rows))
+        c = U.against(block, k, block, others, 24)
+        whole |= {tuple(sorted((rows[k][0], rows[o][0]))): v for o, v in zip(others, c, strict=True) if v >= 0.8}
+    assert {(200, 203), (0, 200), (0, 100)} <= whole.keys() and (300, 301) not in whole
+    one = U.Stretches(block)
+    some = U.likely(one, one, 24, 0.8)
+    assert sum(map(len, some.values())) < 2 * len(whole)
+    for samples in (4_000_000, 500):
+        monkeypatch.setattr(U, "BLOCK_SAMPLES", samples)
+        got = {(x.left_id, x.right_id): x.corr for x in U.near_duplicates(df, 24, 0.8, symmetric=False).collect()}
+        assert got.keys() == whole.keys() and all(abs(got[p] - whole[p]) < 1e-9 for p in got)
