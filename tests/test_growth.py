@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from verdikt.functions import text as X
+from verdikt.llm import near_vectors as N
 from verdikt.operators import compare as C
 from verdikt.operators import duplicates as U
 from verdikt.operators import outcomes as O
@@ -100,3 +101,20 @@ def test_near_duplicates_rule_out_by_products_and_collapse_copies(spark, monkeyp
         monkeypatch.setattr(U, "BLOCK_SAMPLES", samples)
         got = {(x.left_id, x.right_id): x.corr for x in U.near_duplicates(df, 24, 0.8, symmetric=False).collect()}
         assert got.keys() == whole.keys() and all(abs(got[p] - whole[p]) < 1e-9 for p in got)
+
+
+def test_near_vectors_write_nothing_for_a_pair_of_blocks(spark, monkeypatch):
+    """Blocks meet where their trees are read: what is stored of the pairs is at most a count and an edge for a vector and task."""
+    r = np.random.default_rng(3)
+    base = r.standard_normal((40, 16))
+    rows = [(k, (base[k % 40] + 0.1 * r.standard_normal(16)).tolist()) for k in range(1200)]
+    kept = []
+    monkeypatch.setattr(N, "stored", lambda df, keep=N.stored: kept.append(keep(df)) or kept[-1])
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    got = {x.vec_id: x for x in N.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert [got[k].n_links for k in range(1200)] == links.tolist() and links.max() > 10
+    found = next(t for t in kept if t.columns == ["a", "b", "n"])
+    assert not any(t.columns == ["x", "y"] for t in kept) and found.count() < 1200 * 2 * 8
